@@ -1,10 +1,13 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import mixing, sharding
+from . import bpe, media, mixing, sharding, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_mixing": mixing.op4_mixing,
+    "op5_bpe": bpe.op5_bpe,
+    "op7_media": media.op7_media,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE_SQL = {
