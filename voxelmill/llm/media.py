@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .arrow import with_python_columns
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes in a row of the images that stand for texts.
@@ -169,62 +169,48 @@ def with_media(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     Null and empty payloads give an image of one row of zeros. Equal payloads give equal images.
     """
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            filled = (payload_of(bytes(x) if x is not None else b"") for x in batch)
-            yield pd.Series([write_png(np.frombuffer(x, np.uint8).reshape(-1, ROW)) for x in filled], dtype=object)
+    def encode(payloads: list[bytes | None]) -> list[list[bytes]]:
+        return [[write_png(np.frombuffer(payload_of(x or b""), np.uint8).reshape(-1, ROW)) for x in payloads]]
 
-    # so marked, the planner makes each image once, however often the column is used
-    return df.withColumn(media, encode.asNondeterministic()(F.col(payload).cast("binary")))
+    return with_python_columns(df.withColumn(payload, F.col(payload).cast("binary")), [payload], StructType([StructField(media, BinaryType())]), encode)
 
 
-MEDIA_FIELDS = "payload binary, hash binary, width int, height int, error string"
+FEATURES = "payload binary, hash binary, width int, height int, image_error string"
 
 
-def with_media_features(df: DataFrame, media: str = "media", out: str = "image") -> DataFrame:
-    """Adds a struct column: the samples read back from the PNG, their 64-bit cosine hash, the size, and what is wrong.
+def with_media_features(df: DataFrame, media: str = "media") -> DataFrame:
+    """Adds the samples read back from the PNG, their 64-bit cosine hash, the size, and what is wrong with the image.
 
-    Null media give a null struct's fields and the error ``no image``; damaged ones their error and null fields.
+    The columns are payload, hash, width, height and image_error, and replace those of these names. Null media give
+    nulls and the error ``no image``; damaged ones nulls and their error.
     """
 
-    @F.pandas_udf(MEDIA_FIELDS)
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for x in batch:
-                try:
-                    image = read_png(bytes(x) if x is not None else b"")
-                    rows.append((image.tobytes(), cosine_hash(image), image.shape[1], image.shape[0], None))
-                except BadImage as wrong:
-                    rows.append((None, None, None, None, "no image" if x is None else str(wrong)))
-            yield pd.DataFrame(rows, columns=["payload", "hash", "width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
+    def decode(images: list[bytes | None]) -> list[list]:
+        rows = []
+        for x in images:
+            try:
+                image = read_png(x or b"")
+                rows.append((image.tobytes(), cosine_hash(image), image.shape[1], image.shape[0], None))
+            except BadImage as wrong:
+                rows.append((None, None, None, None, "no image" if x is None else str(wrong)))
+        return [list(column) for column in zip(*rows, strict=True)]
 
-    return df.withColumn(out, decode(F.col(media)))
+    return with_python_columns(df, [media], StructType.fromDDL(FEATURES), decode)
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
     """Every text as a PNG, read back with its checksums tested; ``feature`` is the cosine hash in hex."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     raw = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    stored = with_media(raw, "raw")
-    read = with_media_features(stored)
-
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                [(len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-ROW:])) for x in map(bytes, batch)],
-                columns=["payload_bytes", "payload_sha256", "tail_crc32"],
-            )
-
-    return read.withColumn("digest", digests(F.col("image.payload"))).select(
+    written = with_media(raw, "raw").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), "media")
+    read = with_media_features(written)
+    return read.select(
         "doc_id",
-        F.length("raw").cast("long").alias("n_bytes"),
-        "digest.payload_bytes",
-        "digest.payload_sha256",
-        "digest.tail_crc32",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(payload, -{ROW}, {ROW})")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.lower(F.hex("image.hash")).alias("feature"),
+        F.lower(F.hex("hash")).alias("feature"),
     )
