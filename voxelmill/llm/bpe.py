@@ -16,14 +16,16 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from .arrow import with_python_columns
 
 #: Stands for a vocabulary's end-of-word mark, as one character that the byte alphabet lacks.
 END = "\n"
 #: Encoded words and pieces that a worker keeps; at this many it begins anew.
-MOST_KEPT = 300_000
+MOST_KEPT = 150_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(f"[{SPACE}]+")
@@ -167,33 +169,27 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """Token ids of whole texts (array of int); null and empty texts have none. ``path`` must exist on every machine."""
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of whole texts (array of int); a column that is called as ``ids`` is replaced.
+
+    Null and empty texts have no ids; empty tables stay empty. ``path`` must exist on every machine.
+    """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(texts: list[str | None]) -> list[list]:
         own = encoder(path)
-        for batch in batches:
-            yield pd.Series([np.array(own.encode(t), np.int32) for t in batch], dtype=object)
+        return [[np.array(own.encode(t), np.int32) for t in texts]]
 
-    return encode(text)
+    return with_python_columns(docs, [text], StructType([StructField(ids, ArrayType(IntegerType()))]), encode)
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The texts that token ids stand for; null ids give null."""
+def decode_documents(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the text that its token ids stand for; null ids give null."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(rows: list[list[int] | None]) -> list[list]:
         own = encoder(path)
-        for batch in batches:
-            yield pd.Series([None if x is None else own.decode(x.tolist()) for x in batch], dtype=object)
+        return [[None if x is None else own.decode(x) for x in rows]]
 
-    return decode(ids)
-
-
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text``; a column that is called as ``ids`` is replaced. Empty tables stay empty."""
-    return docs.withColumn(ids, encoded(F.col(text), path))
+    return with_python_columns(docs, [ids], StructType([StructField(decoded, StringType())]), decode)
 
 
 def vocabulary() -> str:
@@ -205,7 +201,7 @@ def vocabulary() -> str:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document its number of tokens and the digests of ids and decoded text."""
     ids = encode_documents(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return ids.withColumn("decoded", decoded(F.col("ids"), path)).select(
+    return decode_documents(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
