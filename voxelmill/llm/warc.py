@@ -20,6 +20,8 @@ from .shared import fresh_path, stored
 
 SHARD_RECORDS = 4096
 ROLL_BYTES = 16 << 20
+#: Tasks that read archives at most; with more files a task reads several, one after the other.
+MOST_READERS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST_FIELDS = "shard long, file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD_FIELDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, file string, error string"
@@ -139,7 +141,7 @@ def write_warc(
     records = rows.withColumn("shard", shard_of(F.col("page_id"), F.col("sha1"), firsts))
     decisions = plan.select("shard", "page_id", "sha1", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"))
     both = decisions.unionByName(records.select("shard", "page_id", "sha1", F.lit(None).cast("long").alias("refers_to"), "url", "payload", F.lit(1).alias("kind")))
-    dealt = both.repartition(F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    dealt = both.repartition(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, key, refers_to, repeat = None, None, None, 0
@@ -250,7 +252,8 @@ def read_warc(manifest: DataFrame, path: str, with_payload: bool = True) -> Data
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.select("file").repartition("file").mapInPandas(read, RECORD_FIELDS)
+    # a stated number, since rows this small would all be put into one task otherwise
+    return manifest.select("file").repartition(max(1, min(manifest.count(), MOST_READERS)), "file").mapInPandas(read, RECORD_FIELDS)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
