@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, media, mixing, sharding, toxicity, warc
+from . import bpe, embeddings, media, mixing, sharding, toxicity, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op7_media": media.op7_media,
     "op8_warc": warc.op8_warc,
+    "op9_near_vectors": embeddings.op9_near_vectors,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
