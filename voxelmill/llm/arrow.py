@@ -56,3 +56,11 @@ def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, mak
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), *arrays], names=[*(f.name for f in out_columns), *added.names])
 
     return kept.mapInArrow(run, StructType([*out_columns, *added.fields]))
+
+
+def stretches(batches: Iterator[pa.RecordBatch], inputs: list[str], most: int = CHUNK_BYTES) -> Iterator[list[list]]:
+    """The columns' values as lists, in stretches of rows of about ``most`` bytes."""
+    for batch in batches:
+        used = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
+        for lo, hi in chunks([sum(row) for row in zip(*map(value_bytes, used), strict=True)], most):
+            yield [x.slice(lo, hi - lo).to_pylist() for x in used]
