@@ -35,8 +35,10 @@ def value_bytes(values: pa.Array) -> list[int]:
     return [8] * len(values)
 
 
-def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, make: Callable[..., list[list]]) -> DataFrame:
-    """``df`` with the columns ``added``, which ``make`` gives as lists for the lists of the input columns' values.
+def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, make: Callable[..., list], as_lists: bool = True) -> DataFrame:
+    """``df`` with the columns ``added``, which ``make`` gives as lists or arrays for the input columns' values.
+
+    The values come as lists, or as Arrow arrays unless ``as_lists``.
 
     Columns of ``df`` with the added names are replaced. ``make`` gets stretches of rows of about CHUNK_BYTES of input,
     so what a worker holds doesn't grow with the batches that Spark sends.
@@ -51,8 +53,8 @@ def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, mak
             sizes = [sum(row) for row in zip(*map(value_bytes, used), strict=True)]
             rest = [batch.column(batch.schema.get_field_index(f.name)) for f in out_columns]
             for lo, hi in chunks(sizes):
-                made = make(*(x.slice(lo, hi - lo).to_pylist() for x in used))
-                arrays = [pa.array(m, t) for m, t in zip(made, types, strict=True)]
+                made = make(*(part.to_pylist() if as_lists else part for part in (x.slice(lo, hi - lo) for x in used)))
+                arrays = [m.cast(t) if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), *arrays], names=[*(f.name for f in out_columns), *added.names])
 
     return kept.mapInArrow(run, StructType([*out_columns, *added.fields]))

@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -25,7 +27,7 @@ from .arrow import with_python_columns
 #: Stands for a vocabulary's end-of-word mark, as one character that the byte alphabet lacks.
 END = "\n"
 #: Encoded words and pieces that a worker keeps; at this many it begins anew.
-MOST_KEPT = 150_000
+MOST_KEPT = 400_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(f"[{SPACE}]+")
@@ -147,17 +149,25 @@ class PrefixEncoder:
         parts = self.added_pattern.split(piece)
         return tuple(chain.from_iterable((self.added[p],) if i % 2 else self.encode_plain(p) for i, p in enumerate(parts) if p))
 
-    def encode(self, text: str | None) -> list[int]:
-        pieces, out = self.pieces, []
+    def encode_packed(self, text: str | None) -> bytes:
+        """Tokens of a text as 32-bit numbers; pieces between white space are looked up whole."""
         text = text or ""
-        for piece in SPLIT.split(text) if OTHER_SPACE.search(text) else text.split():
-            ids = pieces.get(piece)
-            if ids is None:
-                if len(pieces) >= MOST_KEPT:
-                    pieces.clear()
-                ids = pieces[piece] = self.encode_piece(piece)
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        parts = [p for p in SPLIT.split(text) if p] if OTHER_SPACE.search(text) else text.split()
+        pieces = self.pieces
+        found = list(map(pieces.get, parts))
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    # a new piece may have come up again since
+                    if (known := pieces.get(parts[i])) is None:
+                        if len(pieces) >= MOST_KEPT:
+                            pieces.clear()
+                        known = pieces[parts[i]] = array("i", self.encode_piece(parts[i])).tobytes()
+                    found[i] = known
+        return b"".join(found)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         """Token strings joined by spaces, as for a vocabulary file without a decoder; end-of-word marks and byte letters stay."""
@@ -175,9 +185,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
     Null and empty texts have no ids; empty tables stay empty. ``path`` must exist on every machine.
     """
 
-    def encode(texts: list[str | None]) -> list[list]:
+    def encode(texts: list[str | None]) -> list:
         own = encoder(path)
-        return [[np.array(own.encode(t), np.int32) for t in texts]]
+        packed = [own.encode_packed(t) for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
 
     return with_python_columns(docs, [text], StructType([StructField(ids, ArrayType(IntegerType()))]), encode)
 
@@ -185,11 +197,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the text that its token ids stand for; null ids give null."""
 
-    def decode(rows: list[list[int] | None]) -> list[list]:
+    def decode(rows: pa.ListArray) -> list[list]:
         own = encoder(path)
-        return [[None if x is None else own.decode(x) for x in rows]]
-
-    return with_python_columns(docs, [ids], StructType([StructField(decoded, StringType())]), decode)
+        starts = rows.offsets.to_numpy()
+        flat, gone, first = rows.flatten().to_numpy().tolist(), rows.is_null().to_pylist(), 0
+        out: list[str | None] = []
+        for length, null in zip(np.diff(starts).tolist(), gone, strict=True):
+            length = 0 if null else length
+            out.append(None if null else own.decode(flat[first : first + length]))
+            first += length
+        return [out]
+
+    return with_python_columns(docs, [ids], StructType([StructField(decoded, StringType())]), decode, as_lists=False)
 
 
 def vocabulary() -> str:
