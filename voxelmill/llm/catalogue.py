@@ -1,11 +1,12 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, embeddings, media, mixing, sharding, toxicity, warc
+from . import bpe, embeddings, jaccard, media, mixing, sharding, toxicity, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_media": media.op7_media,
     "op8_warc": warc.op8_warc,
     "op9_near_vectors": embeddings.op9_near_vectors,
