@@ -1,9 +1,11 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, embeddings, jaccard, media, mixing, sharding, toxicity, warc
+from . import bpe, embeddings, jaccard, media, mixing, sharding, substrings, token_shards, toxicity, warc
 
 QUERIES = {
+    "op1_token_shards": token_shards.op1_token_shards,
     "op2_sharding": sharding.op2_sharding,
+    "op3_substrings": substrings.op3_substrings,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_jaccard": jaccard.op6_jaccard,
