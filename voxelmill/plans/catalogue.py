@@ -1,4 +1,8 @@
 """All queries of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import statistics
+
+PARTS = (statistics,)
+
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
