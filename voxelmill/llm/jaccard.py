@@ -28,6 +28,8 @@ PERCENT = 90
 SKETCH_BITS, SLICES = 20, 64
 #: Bits of a set's parity map; two maps differ in at most as many bits as the sets in members.
 PARITY_BITS = 1024
+#: So many 64-bit parts of the map, each folded from several, go along with index rows.
+FOLDED = 4
 
 
 def word_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -138,6 +140,14 @@ def apart_allowed(differing: Column, sizes: Column, percent: int) -> Column:
     return differing * (100 + percent) <= sizes * (100 - percent)
 
 
+def folded_parity(part: int) -> Column:
+    words = [F.col("parity")[i] for i in range(part, PARITY_BITS // 64, FOLDED)]
+    out = words[0]
+    for word in words[1:]:
+        out = out.bitwiseXOR(word)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(x, members) of the wanted sets, made from the texts of the documents that stand for them."""
     ids = classes.join(wanted, "x", "left_semi").select("doc_id")
@@ -195,7 +205,8 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     found = stored(measured_sets(docs, k), "measured-sets")
     counts = total_counts(found.filter("slice IS NOT NULL").select("slice", "counts"))
     measured = found.filter("slice IS NULL").select("doc_id", "n", "x", "parity")
-    classes = stored(measured.filter("n > 0 AND doc_id IS NOT NULL").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
+    classes = measured.filter("n > 0 AND doc_id IS NOT NULL").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = stored(classes.select("*", *[folded_parity(i).alias(f"f{i}") for i in range(FOLDED)]), "classes")
     rows = stored(prefix_rows(docs.filter("doc_id IS NOT NULL"), k, percent, counts), "prefixes")
     lists = rows.groupBy("token").agg(F.min(F.struct("at", "n", "x")).alias("leader"), F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high")
     members = stored(rows.join(lists.select("token", "leader"), "token").distinct(), "members")
@@ -213,10 +224,15 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     linked = apart_allowed(F.col("differing"), F.col("sizes"), percent)
     links = answers.filter(linked).select("a", "b")
     together = stored(components(links), "together")
-    named = members.join(together, members["x"] == together["node"], "left").select("token", F.col("leader.x").alias("lead"), "x", "n", "at", F.coalesce("component", "x").alias("group"))
-    left = named.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in ("x", "n", "at", "group")])
-    right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("x", "n", "at", "group")])
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("x_a") < F.col("x_b")) & (F.col("group_a") != F.col("group_b")) & may_link("n_a", "at_a", "n_b", "at_b"))
+    folds = [f"f{i}" for i in range(FOLDED)]
+    about = classes.join(together, classes["x"] == together["node"], "left").select("x", F.coalesce("component", "x").alias("group"), *folds)
+    named = members.withColumn("lead", F.col("leader.x")).join(about, "x")
+    carried = ("x", "n", "at", "group", *folds)
+    left = named.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried])
+    right = named.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in folds[1:]), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
+    apart = (F.col("x_a") < F.col("x_b")) & (F.col("group_a") != F.col("group_b")) & may_link("n_a", "at_a", "n_b", "at_b")
+    pairs = left.join(right, (F.col("token") == F.col("token_b")) & apart & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
     others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.col("x_a").alias("a"), F.col("x_b").alias("b")).agg(F.min("lead").alias("lead"))
     others = stored(near_by_parity(others, classes, percent), "others")
     # what sets both apart from their leader tells what sets them apart from each other
