@@ -43,9 +43,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EP
         F.sum("source_size").over(everything).cast("double").alias("budget"),
         (F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")).alias("capped_before"),
         F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)).alias("weight_from"),
+        F.row_number().over(by_ratio).alias("place"),
     )
     # the first source whose cap isn't reached sets the level
-    open_level = F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("ratio"), level.alias("level")))).over(everything)
+    open_level = F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct("place", level.alias("level")))).over(everything)
     target = F.least(F.col("cap"), open_level["level"] * F.col("weight"))
     return levels.withColumn("target", F.coalesce(target, F.col("cap"))).select("source", "source_size", "target")
 
@@ -121,8 +122,9 @@ n AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM n),
 l AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS budget,
         sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING) - cap AS capped_before,
-        sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from FROM w),
-v AS (SELECT min_by((budget - capped_before) / weight_from, cap / weight) AS level FROM l WHERE (budget - capped_before) / weight_from * weight <= cap),
+        sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from,
+        row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS place FROM w),
+v AS (SELECT min_by((budget - capped_before) / weight_from, place) AS level FROM l WHERE (budget - capped_before) / weight_from * weight <= cap),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM l, v),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before_doc,
         CAST(floor(target) AS BIGINT) AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
