@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelmill.operators import cohorts, geometry, histories, intensity, masks
+from voxelmill.operators import cohorts, geometry, histories, intensity, masks, registration
 from voxelmill.sources import views
 from voxelmill.sources.tables import table
 from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, SERIES, STUDIES
@@ -128,6 +128,11 @@ def largest_component(spark, d):
     return geometry.largest_component(views.dense_masks(spark, d).withColumn("volume", F.col("side")).filter("(z + y) % 4 <> 0"), "volume")
 
 
+def registration_grid(spark, d):
+    """The two dense masks registered under every configuration, a few steps each."""
+    return registration.register(views.dense_masks(spark, d), registration.grid(spark), "F", "O", GRID, SPACING, steps=3)
+
+
 def session_pick(spark, d):
     orders = table(spark, d, "orders")
     text = F.when(F.col("o_orderkey") % 97 == 0, "undated").otherwise(F.concat(F.date_format("o_orderdate", "MM-dd-yyyy"), F.lit("-"), F.col("o_orderkey").cast("string")))
@@ -181,6 +186,7 @@ QUERIES = {
     "warp_nearest": warp(False),
     "warp_linear": warp(True),
     "largest_component": largest_component,
+    "registration_grid": registration_grid,
 }
 
 NORMALISED = "coalesce(array_to_string(list_sort(string_split(trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')), ' ')), ' '), '')"
