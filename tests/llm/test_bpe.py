@@ -64,3 +64,11 @@ def test_nulls_and_nothing(spark, documents):
     ids = spark.createDataFrame([(1, None), (2, [5, 6]), (3, [])], "id int, ids array<int>")
     assert [r["decoded"] for r in bpe.decode_documents(ids, bpe.vocabulary()).orderBy("id").collect()] == [None, "& '", ""]
     assert bpe.digests(documents.limit(0), bpe.vocabulary()).count() == 0
+
+
+def test_one_pass_gives_what_two_give(documents):
+    path = bpe.vocabulary()
+    two = bpe.decode_documents(bpe.encode_documents(documents, path), path).drop("text")
+    one = bpe.encode_and_decode(documents, path)
+    assert sorted(one.columns) == sorted(two.columns)
+    assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))

@@ -35,16 +35,16 @@ def value_bytes(values: pa.Array) -> list[int]:
     return [8] * len(values)
 
 
-def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, make: Callable[..., list], as_lists: bool = True) -> DataFrame:
+def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, make: Callable[..., list], as_lists: bool = True, dropped: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``added``, which ``make`` gives as lists or arrays for the input columns' values.
 
     The values come as lists, or as Arrow arrays unless ``as_lists``.
 
-    Columns of ``df`` with the added names are replaced. ``make`` gets stretches of rows of about CHUNK_BYTES of input,
+    Columns of ``df`` with the added names are replaced, and those named in ``dropped`` don't come back. ``make`` gets stretches of rows of about CHUNK_BYTES of input,
     so what a worker holds doesn't grow with the batches that Spark sends.
     """
     kept = df.drop(*(f.name for f in added if f.name not in inputs))
-    out_columns = [f for f in kept.schema if f.name not in added.names]
+    out_columns = [f for f in kept.schema if f.name not in added.names and f.name not in dropped]
     types = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,36 +179,49 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+def ids_of(texts: list[str | None], path: str) -> pa.ListArray:
+    own = encoder(path)
+    packed = [own.encode_packed(t) for t in texts]
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def texts_of(rows: pa.ListArray, path: str) -> list[str | None]:
+    own = encoder(path)
+    starts = rows.offsets.to_numpy()
+    flat, gone, first = rows.flatten().to_numpy().tolist(), rows.is_null().to_pylist(), 0
+    out: list[str | None] = []
+    for length, null in zip(np.diff(starts).tolist(), gone, strict=True):
+        length = 0 if null else length
+        out.append(None if null else own.decode(flat[first : first + length]))
+        first += length
+    return out
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of whole texts (array of int); a column that is called as ``ids`` is replaced.
 
     Null and empty texts have no ids; empty tables stay empty. ``path`` must exist on every machine.
     """
-
-    def encode(texts: list[str | None]) -> list:
-        own = encoder(path)
-        packed = [own.encode_packed(t) for t in texts]
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
-
-    return with_python_columns(docs, [text], StructType([StructField(ids, ArrayType(IntegerType()))]), encode)
+    return with_python_columns(docs, [text], StructType([StructField(ids, ArrayType(IntegerType()))]), lambda texts: [ids_of(texts, path)])
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the text that its token ids stand for; null ids give null."""
+    return with_python_columns(docs, [ids], StructType([StructField(decoded, StringType())]), lambda rows: [texts_of(rows, path)], as_lists=False)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both of these in one pass, by one Python worker for each task: the ids, and the text that these ids stand for.
+
+    The column ``text`` itself isn't returned.
+    """
 
-    def decode(rows: pa.ListArray) -> list[list]:
-        own = encoder(path)
-        starts = rows.offsets.to_numpy()
-        flat, gone, first = rows.flatten().to_numpy().tolist(), rows.is_null().to_pylist(), 0
-        out: list[str | None] = []
-        for length, null in zip(np.diff(starts).tolist(), gone, strict=True):
-            length = 0 if null else length
-            out.append(None if null else own.decode(flat[first : first + length]))
-            first += length
-        return [out]
+    def both(texts: list[str | None]) -> list:
+        encoded = ids_of(texts, path)
+        return [encoded, texts_of(encoded, path)]
 
-    return with_python_columns(docs, [ids], StructType([StructField(decoded, StringType())]), decode, as_lists=False)
+    return with_python_columns(docs, [text], StructType([StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())]), both, dropped=(text,))
 
 
 def vocabulary() -> str:
@@ -219,8 +232,7 @@ def vocabulary() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document its number of tokens and the digests of ids and decoded text."""
-    ids = encode_documents(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode_documents(ids, path).select(
+    return encode_and_decode(docs.select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
