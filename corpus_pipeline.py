@@ -37,9 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and digests of the ids and of the text decoded from them."""
-    path = bpe.vocabulary()
-    with_ids = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode_documents(with_ids, path).select(
+    return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary()).select(
         "doc_id",
         "lang",
         "source",
