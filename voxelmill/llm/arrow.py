@@ -11,6 +11,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 2 << 20
+#: About so many bytes go to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends rows to Python in batches of a few megabytes, however long the texts are.
+
+    Spark counts 10,000 rows otherwise, and both the executor and the worker hold them. The setting stays.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -31,7 +42,8 @@ def value_bytes(values: pa.Array) -> list[int]:
     if pa.types.is_string(kind) or pa.types.is_binary(kind):
         return pc.fill_null(pc.binary_length(values), 0).to_pylist()
     if pa.types.is_list(kind):
-        return [8 * n for n in pc.fill_null(pc.list_value_length(values), 0).to_pylist()]
+        each = 400 if pa.types.is_struct(kind.value_type) else 8  # a struct becomes a dict
+        return [each * n for n in pc.fill_null(pc.list_value_length(values), 0).to_pylist()]
     return [8] * len(values)
 
 
@@ -57,7 +69,7 @@ def with_python_columns(df: DataFrame, inputs: list[str], added: StructType, mak
                 arrays = [m.cast(t) if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), *arrays], names=[*(f.name for f in out_columns), *added.names])
 
-    return kept.mapInArrow(run, StructType([*out_columns, *added.fields]))
+    return small_batches(kept).mapInArrow(run, StructType([*out_columns, *added.fields]))
 
 
 def stretches(batches: Iterator[pa.RecordBatch], inputs: list[str], most: int = CHUNK_BYTES) -> Iterator[list[list]]:

@@ -27,7 +27,7 @@ from .arrow import with_python_columns
 #: Stands for a vocabulary's end-of-word mark, as one character that the byte alphabet lacks.
 END = "\n"
 #: Encoded words and pieces that a worker keeps; at this many it begins anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 100_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(f"[{SPACE}]+")

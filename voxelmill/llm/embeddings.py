@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .arrow import with_python_columns
+from .arrow import small_batches, with_python_columns
 from .components import components, local_labels
 from .shared import stored
 from .words import mix
@@ -164,7 +164,7 @@ def bucket_links(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["id", "links", "root"])
 
-    return rows.mapInArrow(run, "id long, links long, root long")
+    return small_batches(rows).mapInArrow(run, "id long, links long, root long")
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str | None = "label", threshold: float = THRESHOLD) -> DataFrame:

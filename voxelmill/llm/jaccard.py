@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import stretches
+from .arrow import small_batches, stretches
 from .components import components
 from .shared import stored
 from .words import mix, shingle_hashes, text_batches, word_table
@@ -75,7 +75,7 @@ def measured_sets(docs: DataFrame, k: int) -> DataFrame:
         packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, list(range(SLICES)), packed), schema.types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET_FIELDS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, SET_FIELDS)
 
 
 def total_counts(partial: DataFrame) -> np.ndarray:
@@ -132,7 +132,7 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Da
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([t.view(np.int64) for t in tokens], owners, sizes, places)], names=["token", "x", "n", "at"])
 
-    return docs.select("text").mapInArrow(run, "token long, x long, n int, at int")
+    return small_batches(docs.select("text")).mapInArrow(run, "token long, x long, n int, at int")
 
 
 def apart_allowed(differing: Column, sizes: Column, percent: int) -> Column:
@@ -157,7 +157,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> D
             sets = list(word_sets(texts, k))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["x", "members"])
 
-    made = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(run, "x long, members binary")
+    made = small_batches(docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")).mapInArrow(run, "x long, members binary")
     return stored(made, "sets").dropDuplicates(["x"])
 
 
@@ -183,7 +183,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             )
 
     left, right = (sets.select(F.col("x").alias(c), F.col("members").alias(m)) for c, m in (("a", "left"), ("b", "right")))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, COMPARED)
+    return small_batches(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")).mapInArrow(run, COMPARED)
 
 
 def near_by_parity(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

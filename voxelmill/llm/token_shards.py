@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import stretches
+from .arrow import small_batches, stretches
 from .permutation import permute
 from .shared import fresh_path, stored
 from .warc import open_store
@@ -46,7 +46,7 @@ def tokens_of(text: str | None, path: str) -> list[int]:
 
 def source_rows(spark: SparkSession, documents: str) -> DataFrame:
     """The stored table's rows with where they stand: file and row in it, whatever the splits."""
-    return spark.read.parquet(documents).select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return small_batches(spark.read.parquet(documents)).select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> dict[tuple[str, int], int]:

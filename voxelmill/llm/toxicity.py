@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small_batches
 from .words import mix, text_batches, word_table
 
 #: At most so many labelled rows of each class are learnt from; they are the ones with the smallest hashes of doc_id.
@@ -173,7 +174,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
     Every row is scored on its own: repeated rows get equal scores, empty tables give empty results.
     """
-    scored = docs.withColumn("score", toxicity(F.col(text), model))
+    scored = small_batches(docs).withColumn("score", toxicity(F.col(text), model))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small_batches
 from .permutation import with_row_numbers
 from .shared import fresh_path, stored
 
@@ -164,7 +165,7 @@ def write_warc(
 
     # ids travel as text, since pandas would make floats of numbers with nulls
     sent = dealt.select("shard", F.col("page_id").cast("string"), "sha1", F.col("refers_to").cast("string"), "url", "payload", "kind")
-    return stored(sent.mapInPandas(write, MANIFEST_FIELDS), "warc-manifest")
+    return stored(small_batches(sent).mapInPandas(write, MANIFEST_FIELDS), "warc-manifest")
 
 
 def manifest_rows(rows: list[dict]) -> pd.DataFrame:
