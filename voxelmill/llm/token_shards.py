@@ -38,10 +38,11 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-def tokens_of(text: str | None, path: str) -> list[int]:
-    """The text's ids and the end mark; special tokens' strings are ordinary text."""
+def tokens_of(text: str | None, path: str) -> np.ndarray:
+    """The text's ids and the end mark as 16-bit numbers; special tokens' strings are ordinary text."""
     own, end = encoding(path)
-    return [*own.encode_ordinary((text or "").encode("utf-8", "replace").decode()), end]
+    ids = own.encode_to_numpy((text or "").encode("utf-8", "replace").decode(), disallowed_special=())
+    return np.append(ids, end).astype("<u2")
 
 
 def source_rows(spark: SparkSession, documents: str) -> DataFrame:
@@ -101,7 +102,7 @@ def write_token_shards(
             for doc_id, text, file, row in zip(ids, texts, files, places, strict=True):
                 if file != last:
                     last, number = file, known.value[file, row]
-                tokens = np.array(tokens_of(text, vocabulary), np.dtype("<u2"))
+                tokens = tokens_of(text, vocabulary)
                 n = -(-len(tokens) // length)
                 filled = np.full(n * length, PAD, np.dtype("<u2"))
                 filled[: len(tokens)] = tokens
