@@ -119,6 +119,16 @@ def test_whole_copies_go(spark):
     assert sorted(r["doc_id"] for r in left) == [1, 3]
 
 
+def test_leaders_that_fail_end_no_search(spark):
+    """Document 1 leads all keys of 2 and 3 but shares 42 words only; 2 and 3 are equal."""
+    words = [f"s2x{i}" for i in range(50)]
+    rows = [(1, " ".join([f"s2y{i}" for i in range(8)] + words[8:])), (2, " ".join(words)), (3, " ".join(words))]
+    keys = [set(substrings.window_keys(next(substrings.shingles_of([t]))[0], 46, substrings.HASHES)[0].tolist()) for _, t in rows]
+    assert keys[1] <= keys[0]
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["first_word"], r["end_word"], r["ref_doc_id"], r["similarity"]) for r in found] == [(3, 0, 50, 2, 1.0)]
+
+
 def test_no_passages(documents):
     assert substrings.repeated_passages(documents.limit(0)).count() == 0
     assert substrings.repeated_passages(documents).count() == 0
