@@ -119,6 +119,39 @@ def test_whole_copies_go(spark):
     assert sorted(r["doc_id"] for r in left) == [1, 3]
 
 
+def numbered(*shingle_ids):
+    return np.concatenate([np.asarray(s, np.uint64) for s in shingle_ids])
+
+
+def test_a_good_part_outlives_a_poor_continuation():
+    """60 words verbatim, then 156 with one change in 26, in shingles: a changed word takes five of them."""
+    picked = random.Random(2)
+    mine = np.arange(1, 213, dtype=np.uint64)
+    for at in range(56, 212, 26):
+        mine[at : at + 5] += np.uint64(10_000)
+    other = np.arange(1, 213, dtype=np.uint64)
+    for at in range(0, 56, 7):
+        found = substrings.passage(mine, other, (at, 0, 211, at, 0, 211), 46, 0.8)
+        assert found is not None and found[0] == 0 and found[1] >= 55 and found[4] >= 0.8
+    # exact runs in rows of matches in disorder, as repeated lines make them
+    line = np.arange(500, 520)
+    mine = numbered(np.arange(60), picked.sample(list(line), 20), line, line + 1000, line)
+    other = numbered(np.arange(60), line, line + 2000, line, line + 3000, line)
+    for at in range(0, 60, 6):
+        found = substrings.passage(mine, other, (at, 0, len(mine) - 1, at, 0, len(other) - 1), 46, 0.8)
+        assert found is not None and found[0] == 0 and found[1] >= 59
+
+
+def test_longest_stretch_by_brute_force():
+    random_ = np.random.default_rng(3)
+    for _ in range(200):
+        matches = random_.random(40) < 0.85
+        at = int(random_.integers(0, 40))
+        fits = [(j - i, i, j) for i in range(at + 1) for j in range(at, 40) if matches[i] and matches[j] and matches[i : j + 1].mean() >= 8 / 9 - 1e-9]
+        i, j = substrings.longest_stretch(matches, at, 8 / 9)
+        assert j - i == max(fits, default=(0,))[0]
+
+
 def test_leaders_that_fail_end_no_search(spark):
     """Document 1 leads all keys of 2 and 3 but shares 42 words only; 2 and 3 are equal."""
     words = [f"s2x{i}" for i in range(50)]
