@@ -142,6 +142,30 @@ def test_a_good_part_outlives_a_poor_continuation():
         assert found is not None and found[0] == 0 and found[1] >= 59
 
 
+def test_all_places_of_a_key_are_compared(spark):
+    """Document 1 has a paragraph first in other surroundings, then in what document 2 repeats."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    for seed in range(12):
+        line, shared = words(f"s{seed}line", 40), words(f"s{seed}p", 12)
+        rows = [(1, [*words("a", 60), *line, *words("b", 60), *line, *shared]), (2, [*words("c", 30), *line, *shared])]
+        (x, *_), (y, *_) = substrings.shingles_of([" ".join(w) for _, w in rows])
+        k, l = substrings.window_keys(x, 46, 3), substrings.window_keys(y, 46, 3)
+        groups = [tuple(np.stack(w[1:], axis=1)[w[0] == key] for w in (l, k)) for key in np.intersect1d(k[0], l[0])]
+        assert [p[:4] for p in substrings.passages_of_pair(y, x, groups, 46, 0.8)][:1] == [(30, 77, 160, 207)]
+        if seed == 0:
+            docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+            assert {(r["first_word"], r["end_word"], r["ref_first_word"], r["ref_end_word"]) for r in substrings.repeated_passages(docs).collect()} == {(30, 82, 160, 212)}
+
+
+def test_wide_windows_come_first():
+    """A narrow window's passage does not hide what the wide one around it has."""
+    a = np.arange(200, dtype=np.uint64)
+    narrow, wide = np.array([[60, 30, 90]]), np.array([[70, 0, 199]])
+    assert substrings.passages_of_pair(a, a, [(narrow, narrow), (wide, wide)], 46, 0.8) == [(0, 199, 0, 199, 1.0)]
+    apart = np.array([[150, 120, 199]])
+    assert len(substrings.passages_of_pair(a, a, [(narrow, narrow), (apart, apart)], 46, 0.8)) == 2
+
+
 def test_longest_stretch_by_brute_force():
     random_ = np.random.default_rng(3)
     for _ in range(200):
