@@ -43,3 +43,19 @@ def test_query_gives_what_its_sql_gives(name, spark, db):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_queries_without_sql_give_rows(name, spark):
     assert catalogue.QUERIES[name](spark, str(TABLES)).count() > 0
+
+
+def test_registration_takes_its_default_steps(monkeypatch):
+    """The registered query searches as long as the operator does by default, not for a few steps."""
+    import inspect
+
+    from voxelmill.operators import registration
+    from voxelmill.plans import imaging
+
+    made, signature = [], inspect.signature(registration.register)
+    monkeypatch.setattr(imaging.registration, "register", lambda *args, **named: made.append(signature.bind(*args, **named)))
+    monkeypatch.setattr(imaging.registration, "grid", lambda spark: None)
+    monkeypatch.setattr(imaging.views, "dense_masks", lambda spark, d: None)
+    imaging.registration_grid(None, "")
+    made[0].apply_defaults()
+    assert made[0].arguments["steps"] == signature.parameters["steps"].default == 100

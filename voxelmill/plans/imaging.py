@@ -129,8 +129,8 @@ def largest_component(spark, d):
 
 
 def registration_grid(spark, d):
-    """The two dense masks registered under every configuration, a few steps each."""
-    return registration.register(views.dense_masks(spark, d), registration.grid(spark), "F", "O", GRID, SPACING, steps=3)
+    """The two dense masks registered under every configuration."""
+    return registration.register(views.dense_masks(spark, d), registration.grid(spark), "F", "O", GRID, SPACING)
 
 
 def session_pick(spark, d):
