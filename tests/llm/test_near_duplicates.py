@@ -207,6 +207,33 @@ def test_leaders_that_fail_end_no_search(spark):
     assert [(r["doc_id"], r["first_word"], r["end_word"], r["ref_doc_id"], r["similarity"]) for r in found] == [(3, 0, 50, 2, 1.0)]
 
 
+def test_exact_passages_by_brute_force(spark):
+    """No stretch of 50 words that nobody marked lies in two documents, and what is marked is alike."""
+    picked = random.Random(9)
+    words = lambda n: [f"b{picked.getrandbits(24)}" for _ in range(n)]
+    parts = [words(picked.choice((30, 45, 52, 70, 120))) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        text = words(picked.randint(0, 30))
+        for part in picked.sample(parts, picked.randint(0, 3)):
+            begin = picked.randint(0, len(part) // 3)
+            text += part[begin : len(part) - picked.randint(0, 10)] + words(picked.randint(0, 20))
+        rows.append((i, text))
+    found = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    marked = {i: set() for i, _ in rows}
+    texts = dict(rows)
+    for r in found:
+        a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (texts[r["doc_id"]][r["first_word"] : r["end_word"]], texts[r["ref_doc_id"]][r["ref_first_word"] : r["ref_end_word"]]))
+        assert r["ref_doc_id"] < r["doc_id"] and len(a & b) >= 0.8 * len(a | b)
+        marked[r["doc_id"]].update(range(r["first_word"], r["end_word"]))
+    seen = {}
+    for i, text in rows:
+        for at in range(len(text) - 49):
+            if not marked[i].intersection(range(at, at + 50)):
+                seen.setdefault(tuple(text[at : at + 50]), set()).add(i)
+    assert found and max(map(len, seen.values())) == 1
+
+
 def test_no_passages(documents):
     assert substrings.repeated_passages(documents.limit(0)).count() == 0
     assert substrings.repeated_passages(documents).count() == 0
