@@ -89,3 +89,11 @@ def test_largest_part_by_flood_fill(spark):
     best = max(parts, key=lambda p: (len(p), tuple(-c for c in min(p))))
     rows = spark.createDataFrame([(1, *v) for v in cells], "volume long, z int, y int, x int")
     assert {(r["z"], r["y"], r["x"]) for r in geometry.largest_component(rows, "volume").collect()} == best
+
+
+def test_no_task_holds_a_whole_mask(spark):
+    """Parts of many masks at once, equal ones by their first voxel, without a grouped Python function."""
+    rows = [("a", z, 0, 0) for z in range(300)] + [("a", z, 5, 5) for z in range(299)] + [("b", 9, 9, 9), ("b", 1, 2, 3), ("b", 1, 2, 5)]
+    found = geometry.largest_component(spark.createDataFrame(rows, "volume string, z int, y int, x int").repartition(5), "volume")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted([*rows[:300], ("b", 1, 2, 3)])

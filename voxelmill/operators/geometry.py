@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..components import components
+from ..shared import stored
 from .masks import VOXEL
 
 ANGLES = ("rz", "ry", "rx")
@@ -99,35 +101,17 @@ def common_grid(grids: DataFrame, key: str) -> DataFrame:
 def largest_component(masks: DataFrame, key: str) -> DataFrame:
     """The largest face-connected part of each mask; of equally large ones that with the first voxel in (z, y, x) order.
 
-    A task labels one mask by runs of minima over its sorted voxels, so a mask must fit into a worker.
+    Voxels meet their neighbours by equi-joins and parts are found for all masks at once, so no task holds a mask.
     """
-    import numpy as np
-    import pandas as pd
-
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(VOXEL).reset_index(drop=True)
-        points = group[VOXEL].to_numpy(np.int64)
-        low = points.min(axis=0)
-        shape = points.max(axis=0) - low + 2
-        flat = ((points[:, 0] - low[0]) * shape[1] + points[:, 1] - low[1]) * shape[2] + points[:, 2] - low[2]
-        links = []
-        for step in (shape[1] * shape[2], shape[2], 1):
-            at = np.searchsorted(flat, flat + step)
-            met = (at < len(flat)) & (flat[np.minimum(at, len(flat) - 1)] == flat + step)
-            links.append((np.flatnonzero(met), at[met]))
-        i, j = (np.concatenate(x) for x in zip(*links, strict=True))
-        part = np.arange(len(flat))
-        while True:
-            lower = np.minimum(part[i], part[j])
-            new = part.copy()
-            for ends in (i, j, part[i], part[j]):
-                np.minimum.at(new, ends, lower)
-            new = new[new]
-            if np.array_equal(new, part):
-                break
-            part = new
-        sizes = np.bincount(part, minlength=len(part))
-        return group[part == int(sizes.argmax())][[key, *VOXEL]]
-
-    fields = masks.select(key, *VOXEL).schema
-    return masks.select(key, *VOXEL).groupBy(key).applyInPandas(label, fields)
+    voxels = stored(masks.select(key, *VOXEL).distinct().withColumn("_id", F.monotonically_increasing_id()), "voxels")
+    beside = F.explode(F.array(*[F.struct(*[(F.col(a) + int(a == axis)).alias(a) for a in VOXEL]) for axis in VOXEL]))
+    nexts = voxels.select(F.col(key).alias("_key"), F.col("_id").alias("b"), beside.alias("_at"))
+    met = F.col(key).eqNullSafe(F.col("_key"))
+    for axis in VOXEL:
+        met = met & (F.col(axis) == F.col(f"_at.{axis}"))
+    parts = components(voxels.join(nexts, met).select(F.col("_id").alias("a"), "b"))
+    labelled = voxels.join(parts, F.col("_id") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "_id")).select(key, *VOXEL, "_part")
+    sizes = labelled.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*VOXEL)).alias("first"))
+    rank = F.struct("n", *[(-F.col(f"first.{a}")).alias(a) for a in VOXEL])
+    best = sizes.groupBy(key).agg(F.max_by("_part", rank).alias("_part")).select("_part")
+    return labelled.join(best, "_part", "left_semi").select(key, *VOXEL)

@@ -125,7 +125,7 @@ points AS (SELECT pose, z, y, x, {at} FROM grid, mat), mask AS (SELECT z, y, x F
 
 
 def largest_component(spark, d):
-    return geometry.largest_component(views.dense_masks(spark, d).withColumn("volume", F.col("side")).filter("(z + y) % 4 <> 0"), "volume")
+    return geometry.largest_component(views.dense_masks(spark, d).withColumn("volume", F.col("side")), "volume")
 
 
 def registration_grid(spark, d):
