@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from voxelmill.llm import embeddings, jaccard, substrings
+from voxelmill.llm import embeddings, jaccard
 from voxelmill.llm.components import components, local_labels
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,173 +82,6 @@ def test_similar_sets_of_odd_tables(documents):
     assert jaccard.similar_sets(documents.limit(0)).count() == 0
 
 
-def passage_corpus():
-    picked = random.Random(4)
-    vocabulary = [f"v{i}" for i in range(5000)]
-    words = lambda n: [picked.choice(vocabulary) for _ in range(n)]
-    shared, short, line = words(70), words(40), words(12)
-    near = list(shared)
-    near[35] = "changed"
-    docs = [(i, words(60) + line + words(60)) for i in range(30)]
-    docs += [(100, words(30) + shared + words(90)), (101, words(10) + shared), (102, shared + words(200)), (103, words(50) + near + words(20))]
-    docs += [(200, words(60) + short), (201, short + words(60))]
-    return [(i, " ".join(w)) for i, w in docs], " ".join(shared)
-
-
-def test_repeated_passages(spark):
-    rows, shared = passage_corpus()
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows] + [(300, None, "c"), (301, "", "c"), (None, shared, "c"), (302, "few words", "c")], "doc_id long, text string, at string").repartition(3)
-    found = substrings.repeated_passages(docs).collect()
-    assert {r["doc_id"] for r in found} == {101, 102, 103} and {r["ref_doc_id"] for r in found} <= {100, 101, 102}
-    texts = dict(rows)
-    for r in found:
-        mine = texts[r["doc_id"]].split()[r["first_word"] : r["end_word"]]
-        other = texts[r["ref_doc_id"]].split()[r["ref_first_word"] : r["ref_end_word"]]
-        a, b = shingles(" ".join(mine), 5), shingles(" ".join(other), 5)
-        assert len(a & b) / len(a | b) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8 and len(mine) >= 50
-        if r["doc_id"] != 103:
-            assert mine == shared.split()
-    cut = {r["doc_id"]: r["text"] for r in substrings.without_passages(docs, substrings.repeated_passages(docs)).collect()}
-    assert cut[100] == texts[100] and shared not in cut[101] and len(cut[101].split()) == 10 and len(cut[102].split()) == 200
-
-
-def test_whole_copies_go(spark):
-    text = " ".join(f"x{i}" for i in range(80))
-    docs = spark.createDataFrame([(1, text, 5), (2, text, 5), (3, "kept as it is", 13)], "doc_id long, text string, n_chars long")
-    left = substrings.without_passages(docs, substrings.repeated_passages(docs)).collect()
-    assert sorted(r["doc_id"] for r in left) == [1, 3]
-
-
-def numbered(*shingle_ids):
-    return np.concatenate([np.asarray(s, np.uint64) for s in shingle_ids])
-
-
-def test_a_good_part_outlives_a_poor_continuation():
-    """60 words verbatim, then 156 with one change in 26, in shingles: a changed word takes five of them."""
-    picked = random.Random(2)
-    mine = np.arange(1, 213, dtype=np.uint64)
-    for at in range(56, 212, 26):
-        mine[at : at + 5] += np.uint64(10_000)
-    other = np.arange(1, 213, dtype=np.uint64)
-    for at in range(0, 56, 7):
-        found = substrings.passage(mine, other, (at, 0, 211, at, 0, 211), 46, 0.8)
-        assert found is not None and found[0] == 0 and found[1] >= 55 and found[4] >= 0.8
-    # exact runs in rows of matches in disorder, as repeated lines make them
-    line = np.arange(500, 520)
-    mine = numbered(np.arange(60), picked.sample(list(line), 20), line, line + 1000, line)
-    other = numbered(np.arange(60), line, line + 2000, line, line + 3000, line)
-    for at in range(0, 60, 6):
-        found = substrings.passage(mine, other, (at, 0, len(mine) - 1, at, 0, len(other) - 1), 46, 0.8)
-        assert found is not None and found[0] == 0 and found[1] >= 59
-
-
-def test_all_places_of_a_key_are_compared(spark):
-    """Document 1 has a paragraph first in other surroundings, then in what document 2 repeats."""
-    words = lambda name, n: [f"{name}{i}" for i in range(n)]
-    for seed in range(12):
-        line, shared = words(f"s{seed}line", 40), words(f"s{seed}p", 12)
-        rows = [(1, [*words("a", 60), *line, *words("b", 60), *line, *shared]), (2, [*words("c", 30), *line, *shared])]
-        (x, *_), (y, *_) = substrings.shingles_of([" ".join(w) for _, w in rows])
-        k, l = substrings.window_keys(x, 46, 3), substrings.window_keys(y, 46, 3)
-        groups = [tuple(np.stack(w[1:], axis=1)[w[0] == key] for w in (l, k)) for key in np.intersect1d(k[0], l[0])]
-        assert [p[:4] for p in substrings.passages_of_pair(y, x, groups, 46, 0.8)][:1] == [(30, 77, 160, 207)]
-        if seed == 0:
-            docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-            assert {(r["first_word"], r["end_word"], r["ref_first_word"], r["ref_end_word"]) for r in substrings.repeated_passages(docs).collect()} == {(30, 82, 160, 212)}
-
-
-def test_wide_windows_come_first():
-    """A narrow window's passage does not hide what the wide one around it has."""
-    a = np.arange(200, dtype=np.uint64)
-    narrow, wide = np.array([[60, 30, 90]]), np.array([[70, 0, 199]])
-    assert substrings.passages_of_pair(a, a, [(narrow, narrow), (wide, wide)], 46, 0.8) == [(0, 199, 0, 199, 1.0)]
-    apart = np.array([[150, 120, 199]])
-    assert len(substrings.passages_of_pair(a, a, [(narrow, narrow), (apart, apart)], 46, 0.8)) == 2
-
-
-def test_recall_of_planted_near_passages():
-    """Of passages of 50 to 160 words that are similar by 0.8 or more, by comparing the sets, keys and tests find 0.95."""
-    picked = random.Random(7)
-    words = lambda n: [picked.getrandbits(60) for _ in range(n)]
-    hashes = lambda w: substrings.shingle_hashes(np.array(w, np.uint64), 5)
-    hits = []
-    for _ in range(400):
-        base = words(picked.randint(50, 160))
-        copy = list(base)
-        for _ in range(picked.randint(1, max(1, len(base) // 30))):
-            copy[picked.randrange(len(base))] = picked.getrandbits(60)
-        a, b = set(hashes(base).tolist()), set(hashes(copy).tolist())
-        if len(a & b) < 0.8 * len(a | b):
-            continue
-        x, y = hashes(words(80) + base + words(80)), hashes(words(50) + copy + words(120))
-        k, l = (substrings.window_keys(s, 46, substrings.HASHES) for s in (x, y))
-        groups = [tuple(np.stack(w[1:], axis=1)[w[0] == key] for w in (k, l)) for key in np.intersect1d(k[0], l[0])]
-        hits.append(bool(substrings.passages_of_pair(x, y, groups, 46, 0.8)))
-    assert len(hits) > 200 and np.mean(hits) >= 0.95
-
-
-def test_longest_stretch_by_brute_force():
-    random_ = np.random.default_rng(3)
-    for _ in range(200):
-        matches = random_.random(40) < 0.85
-        at = int(random_.integers(0, 40))
-        fits = [(j - i, i, j) for i in range(at + 1) for j in range(at, 40) if matches[i] and matches[j] and matches[i : j + 1].mean() >= 8 / 9 - 1e-9]
-        i, j = substrings.longest_stretch(matches, at, 8 / 9)
-        assert j - i == max(fits, default=(0,))[0]
-
-
-def test_leaders_that_fail_end_no_search(spark):
-    """Document 1 leads all keys of 2 and 3 but shares 42 words only; 2 and 3 are equal."""
-    words = [f"s2x{i}" for i in range(50)]
-    rows = [(1, " ".join([f"s2y{i}" for i in range(8)] + words[8:])), (2, " ".join(words)), (3, " ".join(words))]
-    keys = [set(substrings.window_keys(next(substrings.shingles_of([t]))[0], 46, substrings.HASHES)[0].tolist()) for _, t in rows]
-    assert keys[1] <= keys[0]
-    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(r["doc_id"], r["first_word"], r["end_word"], r["ref_doc_id"], r["similarity"]) for r in found] == [(3, 0, 50, 2, 1.0)]
-
-
-def test_exact_passages_by_brute_force(spark):
-    """No stretch of 50 words that nobody marked lies in two documents, and what is marked is alike."""
-    picked = random.Random(9)
-    words = lambda n: [f"b{picked.getrandbits(24)}" for _ in range(n)]
-    parts = [words(picked.choice((30, 45, 52, 70, 120))) for _ in range(12)]
-    rows = []
-    for i in range(40):
-        text = words(picked.randint(0, 30))
-        for part in picked.sample(parts, picked.randint(0, 3)):
-            begin = picked.randint(0, len(part) // 3)
-            text += part[begin : len(part) - picked.randint(0, 10)] + words(picked.randint(0, 20))
-        rows.append((i, text))
-    found = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
-    marked = {i: set() for i, _ in rows}
-    texts = dict(rows)
-    for r in found:
-        a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (texts[r["doc_id"]][r["first_word"] : r["end_word"]], texts[r["ref_doc_id"]][r["ref_first_word"] : r["ref_end_word"]]))
-        assert r["ref_doc_id"] < r["doc_id"] and len(a & b) >= 0.8 * len(a | b)
-        marked[r["doc_id"]].update(range(r["first_word"], r["end_word"]))
-    seen = {}
-    for i, text in rows:
-        for at in range(len(text) - 49):
-            if not marked[i].intersection(range(at, at + 50)):
-                seen.setdefault(tuple(text[at : at + 50]), set()).add(i)
-    assert found and max(map(len, seen.values())) == 1
-
-
-def test_no_passages(documents):
-    assert substrings.repeated_passages(documents.limit(0)).count() == 0
-    assert substrings.repeated_passages(documents).count() == 0
-
-
-@pytest.mark.parametrize("ties", [False, True])
-def test_every_stretch_has_its_minimum_at_a_window(ties):
-    values = np.random.default_rng(0).integers(0, 9 if ties else 1 << 40, 120).astype(np.uint64)
-    windows = substrings.compact_windows(values, 12, True)
-    for i in range(len(values) - 11):
-        for j in range(i + 11, min(len(values), i + 30)):
-            low = values[i : j + 1].min()
-            assert any(left <= i and j <= right and i <= c <= j and values[c] == low for left, c, right in windows)
-
-
 def brute_vectors(rows):
     links, ids = [], [i for i, *_ in rows]
     for a in range(len(rows)):

@@ -1,5 +1,5 @@
 """Tables between jobs, as the whole library has them."""
 
-from ..shared import fresh_path, shared_folder, stored
+from ..shared import dropped, fresh_path, shared_folder, stored
 
-__all__ = ["fresh_path", "shared_folder", "stored"]
+__all__ = ["dropped", "fresh_path", "shared_folder", "stored"]
