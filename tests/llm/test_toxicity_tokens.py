@@ -21,48 +21,93 @@ def sentences(n, seed=0):
     return texts, np.array(labels)
 
 
-def test_held_out_accuracy():
+def fitted(spark, texts, labels, **options):
+    """A model of texts whose ids are all in the training part."""
+    ids = [i for i in range(4 * len(texts) + 40) if zlib.crc32(str(i).encode()) % 3 != 1][: len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in zip(ids, labels, strict=True)], "doc_id long, toxic int")
+    return toxicity.fit(docs, marks, **options)
+
+
+def scored(model, texts):
+    return toxicity.scores(model, texts, toxicity.lookup_table(model.features))
+
+
+def test_held_out_accuracy(spark):
     texts, labels = sentences(600)
-    model = toxicity.train(texts, labels)
+    model = fitted(spark, texts, labels)
     fresh, truth = sentences(300, seed=1)
-    found = toxicity.scores(model, fresh, toxicity.lookup_table(model.features)) >= toxicity.THRESHOLD
-    assert (found == truth).mean() > 0.97
+    assert ((scored(model, fresh) >= toxicity.THRESHOLD) == truth).mean() > 0.97
 
 
-def test_counterfactual_penalty_levels_group_names():
+def named_mostly_in_toxic_texts():
     random_ = np.random.default_rng(0)
-    texts, labels = [], []
+    texts = []
     for i in range(400):
-        toxic = i % 2
-        named = random_.random() < (0.9 if toxic else 0.05)
-        texts.append(f"w{i} v{i % 7}" + (" idiot" if toxic else "") + (" gay" if named else ""))
-        labels.append(toxic)
-    neutral = ["the gay people w3", "the people w3"]
+        named = random_.random() < (0.9 if i % 2 else 0.05)
+        texts.append(f"Word w{i} here. Then v{i % 7}" + (" idiot" if random_.random() < (0.8 if i % 2 else 0.1) else "") + (" gay" if named else "") + ".")
+    return texts, [i % 2 for i in range(400)]
+
+
+def test_counterfactual_penalty_levels_group_names(spark):
     gap = []
     for strength in (0.0, toxicity.COUNTERFACTUAL):
-        model = toxicity.train(texts, np.array(labels), strength)
-        s = toxicity.scores(model, neutral, toxicity.lookup_table(model.features))
-        gap.append(abs(s[0] - s[1]))
-    assert gap[1] < gap[0] / 5
+        a, b, c = scored(fitted(spark, *named_mostly_in_toxic_texts(), counterfactual=strength), ["the gay people w3", "the people w3", "the muslim people w3"])
+        gap.append(max(abs(a - b), abs(a - c)))
+    assert gap[1] < gap[0] / 5 and gap[1] < 0.05
+
+
+def test_terms_are_a_parameter(spark):
+    texts, labels = named_mostly_in_toxic_texts()
+    texts = [t.replace("gay", "martian") for t in texts]
+    model = fitted(spark, texts, labels, terms=("martian", "venusian"))
+    a, b = scored(model, ["the martian came w3", "the venusian came w3"])
+    other = fitted(spark, texts, labels)
+    c, d = scored(other, ["the martian came w3", "the venusian came w3"])
+    assert abs(a - b) < 0.05 < abs(c - d)
+
+
+def test_the_penalty_acts_on_texts_that_name_no_group(spark):
+    """In the query's own fit there are changes, and swaps leave scores where they are."""
+    folder = "/root/testdata/sf0.001"
+    docs, marks = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    labelled = toxicity.labelled_features(docs, marks).cache()
+    chosen = toxicity.choose_features(labelled, labelled.count(), labelled.filter("toxic = 1").count(), np.unique(toxicity.feature_pairs([" ".join(toxicity.IDENTITY_TERMS)])[1]))
+    examples = toxicity.examples_of(labelled, chosen)
+    assert examples.changes > 0 and len(examples.change_at) > examples.changes
+    model = toxicity.train(examples, chosen)
+    texts = [pair for r in docs.select("text").collect() for pair in toxicity.counterfactuals(r["text"])]
+    assert texts and np.abs(scored(model, [a for a, _ in texts]) - scored(model, [b for _, b in texts])).max() < 0.05
 
 
 def test_swaps():
     assert toxicity.swapped("A Muslim spoke", 0) == "A people spoke"
     assert "muslim" not in toxicity.swapped("a muslim, a gay man", 1)
+    for odd in ("h\u0131ndu", "chri\u017ftian", "JEW\u0130SH", "\u00fcmuslim", "muslim's"):
+        assert toxicity.swapped(odd, 1) == odd
+
+
+def test_counterfactual_sentences():
+    pairs = toxicity.counterfactuals("A Muslim spoke. Nobody else did! A deaf man came.")
+    assert len(pairs) == 2 * toxicity.TURNS and {a for a, _ in pairs} == {"A Muslim spoke.", "A deaf man came."}
+    made = toxicity.counterfactuals("Nothing of that kind. Here neither.")
+    assert len(made) == toxicity.TURNS and made == toxicity.counterfactuals("Nothing of that kind. Here neither.")
+    assert toxicity.counterfactuals(None) == toxicity.counterfactuals(" \n ") == []
+    assert len(toxicity.counterfactuals("A gay man. " * 5000)) <= toxicity.MOST_SENTENCES * toxicity.TURNS
 
 
-def test_one_class_or_none():
-    assert toxicity.train([], np.array([])).constant == 0.0
-    model = toxicity.train(["a", "b"], np.array([1, 1]))
-    assert toxicity.scores(model, ["x", None], toxicity.lookup_table(model.features)).tolist() == [1.0, 1.0]
+def test_one_class_or_none(spark):
+    assert fitted(spark, [], []).constant == 0.0
+    assert scored(fitted(spark, ["a", "b"], [1, 1]), ["x", None]).tolist() == [1.0, 1.0]
+    assert np.isfinite(scored(fitted(spark, ["", None, "x", "y"], [1, 1, 0, 0]), ["x", None])).all()
 
 
 def test_scores_of_odd_tables(documents, spark):
     texts, labels = sentences(60)
     labelled = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     marks = spark.createDataFrame([(1000 + i, int(y)) for i, y in enumerate(labels)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    sample = toxicity.labelled_sample(labelled, marks)
-    assert not {1000 + i for i, t in enumerate(texts) if t in set(sample["text"])} & {d for d in range(1000, 1060) if zlib.crc32(str(d).encode()) % 3 == 1}
+    sample = {r["doc_id"] for r in toxicity.labelled_features(labelled, marks).collect()}
+    assert sample == {d for d in range(1000, 1060) if zlib.crc32(str(d).encode()) % 3 != 1}
     model = toxicity.fit(labelled, marks)
     rows = toxicity.score_documents(documents.withColumnRenamed("shard", "score"), model).collect()
     assert len(rows) == documents.count() and all(0 <= r["score"] <= 1 for r in rows)
@@ -72,6 +117,14 @@ def test_scores_of_odd_tables(documents, spark):
     assert toxicity.score_documents(documents.limit(0), model).count() == 0
 
 
+def test_query_on_the_small_tables(spark):
+    rows = toxicity.op10_toxicity(spark, "/root/testdata/sf0.01").collect()
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic is not null").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    truth = [(r["predicted"], marks[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in marks]
+    assert len(truth) > 50 and np.mean([p == y for p, y in truth]) > 0.95
+
+
 def test_words_by_hand():
     texts = ["A b\tC", None, "", "  x ", "ü" * 5, "one\x00two " * 3]
     hashes, first, starts, ends, _ = word_table(texts, lower=True)

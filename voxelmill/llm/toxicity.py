@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .arrow import small_batches
+from .arrow import small_batches, with_python_columns
+from .shared import dropped, stored
 from .words import mix, text_batches, word_table
 
 #: At most so many labelled rows of each class are learnt from; they are the ones with the smallest hashes of doc_id.
@@ -23,16 +27,19 @@ MOST_FEATURES = 8192
 LEAST_ROWS = 3
 THRESHOLD = 0.7
 STEPS, RATE, SHRINK = 300, 0.1, 3e-3
-#: Weight of the penalty on the squared change of the score when a group's name is swapped.
-COUNTERFACTUAL = 5.0
-#: Names of groups that may be swapped for each other, and a neutral word.
+#: Weight of the penalty: the mean squared change of the score (before squashing) when the groups that a sentence names are swapped.
+COUNTERFACTUAL = 20.0
+#: Names of groups that may be swapped for each other, lower-case ASCII, and a neutral word. Defaults of a parameter.
 IDENTITY_TERMS = (
     "asian", "atheist", "black", "blind", "buddhist", "catholic", "christian", "christians", "deaf", "disabled", "elderly", "female", "gay",
     "hindu", "immigrant", "immigrants", "jewish", "jews", "lesbian", "male", "men", "muslim", "muslims", "old", "poor", "queer", "refugees",
     "transgender", "white", "women", "young",
 )
 NEUTRAL_TERM = "people"
-TERM_PATTERN = re.compile(r"(?<![\w'])(" + "|".join(IDENTITY_TERMS) + r")(?![\w'])", re.IGNORECASE)
+TURNS = 3
+#: At most so many sentences of a labelled text, spread evenly over it, make counterfactuals.
+MOST_SENTENCES = 32
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 @dataclass(frozen=True)
@@ -45,14 +52,38 @@ class Model:
     constant: float | None = None
 
 
-def swapped(text: str, turn: int) -> str:
+@lru_cache(maxsize=8)
+def term_pattern(terms: tuple[str, ...]) -> re.Pattern:
+    """Whole words that are a term, in ASCII letters of either case; other letters that fold to them don't count."""
+    return re.compile(r"(?<![\w'])((?ai:" + "|".join(map(re.escape, terms)) + r"))(?![\w'])")
+
+
+def swapped(text: str, turn: int, terms: tuple[str, ...] = IDENTITY_TERMS) -> str:
     """The text with every group name replaced: by the neutral word at turn 0, else by another name of the list."""
 
     def other(found: re.Match) -> str:
-        at = IDENTITY_TERMS.index(found[0].lower())
-        return NEUTRAL_TERM if turn == 0 else IDENTITY_TERMS[(at + turn * 7) % len(IDENTITY_TERMS)]
+        return NEUTRAL_TERM if turn == 0 else terms[(terms.index(found[0].lower()) + turn * 7) % len(terms)]
+
+    return term_pattern(terms).sub(other, text)
 
-    return TERM_PATTERN.sub(other, text)
+
+def counterfactuals(text: str | None, terms: tuple[str, ...] = IDENTITY_TERMS, most: int = MOST_SENTENCES) -> list[tuple[str, str]]:
+    """Pairs of sentences that differ in the groups they name.
+
+    They are the text's own sentences that name one. Where none does, one is made: a sentence of the text gets a name
+    between two of its words; which sentence, place and name depends on the text alone. Texts without words give none.
+    """
+    sentences = [s for s in SENTENCE_END.split(text or "") if s.split()]
+    if not sentences or not terms:
+        return []
+    named = [s for s in sentences if term_pattern(terms).search(s)]
+    if not named:
+        turn = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+        words = sentences[turn % len(sentences)].split()
+        at = turn % (len(words) + 1)
+        named = [" ".join([*words[:at], terms[turn % len(terms)], *words[at:]])]
+    step = max(1, -(-len(named) // most))
+    return [(s, swapped(s, turn, terms)) for s in named[::step] for turn in range(TURNS)]
 
 
 def feature_pairs(texts: list[str | None], lookup: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +108,45 @@ def feature_pairs(texts: list[str | None], lookup: np.ndarray | None = None) ->
     return np.concatenate(rows_out), np.concatenate(features_out)
 
 
-def choose_features(rows: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose presence tells most about the class, by the chi-square statistic; rare ones are left out."""
-    n, positive = len(y), y.sum()
-    with_it = np.bincount(features, minlength=1 << FEATURE_BITS).astype(np.float64)
-    toxic_with = np.bincount(features, weights=y[rows], minlength=1 << FEATURE_BITS)
-    expected = with_it * positive / n
-    spread = with_it * (n - with_it) / n * positive * (n - positive) / n / n
-    score = np.where((with_it >= LEAST_ROWS) & (spread > 0), (toxic_with - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.argsort(-score, kind="stable")[:MOST_FEATURES]
-    return np.sort(best[score[best] > 6.6])
+def choose_features(labelled: DataFrame, rows: int, positive: int, forced: np.ndarray, most: int = MOST_FEATURES) -> np.ndarray:
+    """The features whose presence tells most about the class, by the chi-square statistic, and ``forced``; rare ones are left out."""
+    n, p = float(max(rows, 1)), float(positive)
+    counts = labelled.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("with_it"), F.sum("toxic").alias("toxic_with"))
+    spread = F.col("with_it") * (n - F.col("with_it")) / n * (p * (n - p) / n / n)
+    score = F.when((F.col("with_it") >= LEAST_ROWS) & (spread > 0), F.pow(F.col("toxic_with") - F.col("with_it") * (p / n), 2) / spread)
+    best = counts.select("feature", score.alias("score")).filter("score > 6.6").orderBy(F.desc("score"), "feature").limit(most)
+    return np.union1d(np.array([r["feature"] for r in best.collect()], np.int64), forced)
 
 
-def train(texts: list[str], labels: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Logistic regression, each class weighing as much, plus the counterfactual penalty, by full-batch Adam steps."""
-    y = np.asarray(labels, np.float64)
+@dataclass(frozen=True)
+class Examples:
+    """Labelled rows as (row, feature) pairs with the rows' labels, and changes of sentences as (change, feature, +1 or -1)."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    labels: np.ndarray
+    change_rows: np.ndarray
+    change_at: np.ndarray
+    change_sign: np.ndarray
+    changes: int
+
+
+def train(examples: Examples, chosen: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Logistic regression, each class weighing as much, plus the penalty on changes of the score, by full-batch Adam steps."""
+    y = examples.labels
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    rows, features = feature_pairs(texts)
-    chosen = choose_features(rows, features, y)
-    lookup = lookup_table(chosen)
     k, n = len(chosen), len(y)
-    at = lookup[features]
-    rows, at = rows[at >= 0], at[at >= 0]
-    named = [i for i, t in enumerate(texts) if t and TERM_PATTERN.search(t)]
-    change_rows, change_at, change_sign, changes = swaps(texts, named, lookup)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, weights=w[at], minlength=n) + w[k]
+        z = np.bincount(examples.rows, weights=w[examples.at], minlength=n) + w[k]
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        slope = np.append(np.bincount(at, weights=off[rows], minlength=k), off.sum())
+        slope = np.append(np.bincount(examples.at, weights=off[examples.rows], minlength=k), off.sum())
         slope[:k] += SHRINK * w[:k] / max(1, k) ** 0.5
-        if changes:
-            moved = np.bincount(change_rows, weights=change_sign * w[change_at], minlength=changes)
-            slope[:k] += 2 * counterfactual / changes * np.bincount(change_at, weights=change_sign * moved[change_rows], minlength=k)
+        if examples.changes and counterfactual:
+            moved = np.bincount(examples.change_rows, weights=examples.change_sign * w[examples.change_at], minlength=examples.changes)
+            slope[:k] += 2 * counterfactual / examples.changes * np.bincount(examples.change_at, weights=examples.change_sign * moved[examples.change_rows], minlength=k)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(chosen, w[:k].copy(), float(w[k]))
@@ -123,14 +158,6 @@ def lookup_table(chosen: np.ndarray) -> np.ndarray:
     return table
 
 
-def swaps(texts: list[str], named: list[int], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each text that names a group and each of three swaps: the features that go (+1) and come (-1)."""
-    own = [texts[i] for i in named for _ in range(3)]
-    other = [swapped(texts[i], turn) for i in named for turn in range(3)]
-    (r1, f1), (r2, f2) = feature_pairs(own, lookup), feature_pairs(other, lookup)
-    return np.concatenate((r1, r2)), np.concatenate((f1, f2)), np.concatenate((np.ones(len(r1)), -np.ones(len(r2)))), len(own)
-
-
 def scores(model: Model, texts: list[str | None], lookup: np.ndarray) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
@@ -143,18 +170,68 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> pd.DataFrame:
-    """At most ``most`` labelled texts of each class, none of the held-out rows; the same rows whatever the partitions."""
+def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, terms: tuple[str, ...] = IDENTITY_TERMS) -> DataFrame:
+    """(doc_id, toxic, features, changes) of at most ``most`` labelled texts of each class, none of the held-out rows.
+
+    The rows are the same whatever the partitions. ``features`` are the text's, ``changes`` has for each counterfactual
+    pair of sentences the features that go and those that come (as -1 - feature). Labels other than 0 and 1, and rows
+    without id, don't count; of several texts of an id the smallest counts.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(most).unionByName(known.filter("toxic = 0").orderBy(*order).limit(most))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return rows.orderBy(*order, "toxic").select("text", "toxic").toPandas()
 
+    def split(rows: np.ndarray, features: np.ndarray, n: int) -> list[np.ndarray]:
+        order = np.argsort(rows, kind="stable")
+        return np.split(features[order], np.searchsorted(rows[order], np.arange(1, n)))
+
+    def made(texts: list[str | None]) -> list[list]:
+        features = split(*feature_pairs(texts), len(texts))
+        changes = []
+        for text in texts:
+            pairs = counterfactuals(text, terms)
+            both = split(*feature_pairs([s for pair in pairs for s in pair]), 2 * len(pairs)) if pairs else []
+            changes.append([[*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist()] for a, b in zip(both[::2], both[1::2], strict=True)])
+        return [[f.tolist() for f in features], changes]
+
+    return with_python_columns(rows, ["text"], StructType.fromDDL("features array<int>, changes array<array<int>>"), made, dropped=("text",))
+
+
+def examples_of(labelled: DataFrame, chosen: np.ndarray) -> Examples:
+    """What the driver learns from: of the bounded sample the chosen features only."""
+    kept = F.broadcast(labelled.sparkSession.createDataFrame([(int(f), k) for k, f in enumerate(chosen)], "feature int, at int"))
+    numbers = labelled.select("doc_id", "toxic", "features", "changes")
+    by_row = numbers.select("doc_id", "toxic", F.explode_outer("features").alias("feature")).join(kept, "feature", "left")
+    rows = by_row.groupBy("doc_id", "toxic").agg(F.sort_array(F.collect_list("at")).alias("at")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").select("toxic", "at").toPandas()
+    apart = numbers.select("doc_id", F.posexplode("changes").alias("turn", "change")).select("doc_id", "turn", F.explode("change").alias("code"))
+    apart = apart.select("doc_id", "turn", F.when(F.col("code") < 0, -1).otherwise(1).alias("sign"), F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("feature"))
+    changes = apart.join(kept, "feature").groupBy("doc_id", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "sign"))).alias("moves")).orderBy(F.xxhash64("doc_id"), "doc_id", "turn").select(F.col("moves.at").alias("at"), F.col("moves.sign").alias("sign")).toPandas()
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, counterfactual: float = COUNTERFACTUAL) -> Model:
-    sample = labelled_sample(docs, labels, most)
-    return train([t or "" for t in sample["text"]], sample["toxic"].to_numpy(np.float64), counterfactual)
+    def flat(lists, kind) -> np.ndarray:
+        return np.concatenate([np.asarray(x, kind) for x in lists]) if len(lists) else np.empty(0, kind)
+
+    def owners(lists) -> np.ndarray:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+    return Examples(owners(rows["at"]), flat(rows["at"], np.int64), rows["toxic"].to_numpy(np.float64), owners(changes["at"]), flat(changes["at"], np.int64), flat(changes["sign"], np.float64), len(changes))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, counterfactual: float = COUNTERFACTUAL, terms: tuple[str, ...] = IDENTITY_TERMS) -> Model:
+    """A model of the labelled rows that aren't held out.
+
+    Executors make hashed features of the sample and of its counterfactual sentences and choose among them; the driver
+    gets at most ``MOST_FEATURES`` and the terms' own for each of at most 2 * ``most`` rows, never texts. Names in
+    ``terms`` are swapped for each other; what depends on them is penalised. Without labelled rows, or with one class
+    only, the score is a constant.
+    """
+    labelled = stored(labelled_features(docs, labels, most, terms), "labelled-features")
+    count = labelled.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("positive")).first()
+    own = np.unique(feature_pairs([" ".join(terms)])[1]).astype(np.int64)
+    chosen = choose_features(labelled, count["rows"], count["positive"], own)
+    examples = examples_of(labelled, chosen)
+    dropped(labelled)
+    return train(examples, chosen, counterfactual)
 
 
 def toxicity(text: Column, model: Model) -> Column:
