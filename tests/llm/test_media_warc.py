@@ -107,6 +107,21 @@ def test_archives_do_not_depend_on_partitions(pages, tmp_path, spark):
     assert sums[0] == sums[1]
 
 
+def test_an_id_with_other_payloads_has_records_of_its_own(spark, tmp_path):
+    rows = [(1, "a", "u"), (1, "b", "u"), (1, "b", "u"), (2, "b", "u"), (3, None, None), (4, "", "u")]
+    table = spark.createDataFrame(rows, "page_id long, html string, url string")
+    manifest = warc.write_warc(table, str(tmp_path), shard_records=2)
+    ids, refers = [], []
+    for file in (r["file"] for r in manifest.collect()):
+        for record in warc.members(open(tmp_path / file, "rb")):
+            lines = dict(x.split(": ", 1) for x in record.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            ids.append(lines["WARC-Record-ID"])
+            refers += [lines[k] for k in lines if k == "WARC-Refers-To"]
+    assert len(ids) == len(set(ids)) == 6 and len(refers) == 2 and set(refers) <= set(ids)
+    back = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(manifest, str(tmp_path)).collect() if r["record_type"] == "revisit")
+    assert back == [(2, "revisit", 1), (4, "revisit", 3)]
+
+
 def test_least_revisit_bytes(pages, tmp_path):
     path = str(tmp_path / "w")
     rows = warc.read_warc(warc.write_warc(pages, path, least_revisit_bytes=5), path).collect()

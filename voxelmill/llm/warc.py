@@ -41,8 +41,9 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_urn(page_id: int | None, repeat: int) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}{f':{repeat}' if repeat else ''}>"
+def record_urn(page_id: int | None, digest: str, repeat: int) -> str:
+    """Unique for every record: rows may repeat an id with another payload, or a whole row."""
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{digest}{f':{repeat}' if repeat else ''}>"
 
 
 def record_bytes(page_id, url, payload: bytes, refers_to, repeat: int = 0, date: str = DATE) -> bytes:
@@ -53,14 +54,14 @@ def record_bytes(page_id, url, payload: bytes, refers_to, repeat: int = 0, date:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_urn(page_id, repeat)}",
+        f"WARC-Record-ID: {record_urn(page_id, base32_sha1(payload), repeat)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {address}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to, 0)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to, base32_sha1(payload), 0)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -117,7 +118,8 @@ def write_warc(
     Records are numbered in order of id, then digest; each ``shard_records`` numbers in a row make a shard, so the files'
     names and bytes depend on the rows alone. Of records with equal payloads of at least ``least_revisit_bytes`` bytes
     the one with the smallest id is a response and the others revisit it. Null payloads are empty ones. Null ids come
-    first, are responses and are never referred to; a repeated row of the response is a response too.
+    first, are responses and are never referred to; a repeated row of the response is a response too. Rows of one id with
+    other payloads are records of their own.
     """
     html = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), (F.col(url) if url else F.lit(None)).cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"))
@@ -142,7 +144,7 @@ def write_warc(
     records = rows.withColumn("shard", shard_of(F.col("page_id"), F.col("sha1"), firsts))
     decisions = plan.select("shard", "page_id", "sha1", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"))
     both = decisions.unionByName(records.select("shard", "page_id", "sha1", F.lit(None).cast("long").alias("refers_to"), "url", "payload", F.lit(1).alias("kind")))
-    dealt = both.repartition(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    dealt = both.repartitionById(max(1, len(firsts)), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, key, refers_to, repeat = None, None, None, 0
