@@ -82,6 +82,17 @@ def test_mix_repeats_and_cuts_texts(documents):
     assert words == {d: n for d, n in plan.items() if n}
 
 
+def test_mix_keeps_its_budget_with_repeated_ids(spark):
+    rows = [(1, "a b c", "x"), (1, "d e f", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (None, "a b", "x"), (None, "c d", "x"), (None, None, None), (2, "g h", None), (3, " ".join("w" * 40), "z")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, size string").repartition(3)
+    plan = {r["source"]: r["n"] for r in mixing.mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    written = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert written == {s: n for s, n in plan.items() if n}
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs.repartition(1)).collect()))
+
+
 def test_mix_of_nothing(documents):
     assert mixing.mix_plan(documents.limit(0)).count() == 0
     assert mixing.mix(documents.limit(0)).count() == 0

@@ -94,12 +94,30 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, s
 def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: documents repeated once for each epoch that takes them, the last repetition cut to its words.
 
-    Needs doc_id, text and source; doc_id must be unique for its rows to get their own share (rows that repeat an id
-    share the largest share planned for it). All columns are kept, text is the part taken.
+    Needs doc_id, text and source. All columns are kept, text is the part taken. Rows that repeat an id within a source
+    and have as many words share what is planned for them, the largest share first, in order of their texts; so each
+    source's budget holds whatever ids are repeated. Null ids are one such id.
     """
-    plan = mix_plan(docs, weights, most_epochs, seed).filter(F.col("taken") > 0)
-    shares = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    joined = docs.join(shares, docs["doc_id"].eqNullSafe(F.col("_id")) & (word_count(docs["text"]) == F.col("_size")))
+    plan = stored(mix_plan(docs, weights, most_epochs, seed).select("doc_id", "source", "size", "taken"), "mix-plan")
+    key = ["doc_id", "source", "size"]
+    rows = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("taken").alias("taken")).filter("taken > 0")
+    own = {"doc_id": "_id", "source": "_source", "size": "_size", "taken": "_taken"}
+
+    def same_row(shares: DataFrame, columns: DataFrame) -> Column:
+        return columns["doc_id"].eqNullSafe(shares["_id"]) & columns["source"].eqNullSafe(shares["_source"]) & (word_count(columns["text"]) == shares["_size"])
+
+    once = rows.filter("rows = 1").drop("rows").withColumnsRenamed(own)
+    single = docs.join(once, same_row(once, docs)).select(*docs.columns, "_size", "_taken")
+    # the rows that repeat an id: the n-th text gets the n-th share
+    several = stored(rows.filter("rows > 1").select(*key), "mix-repeated")
+    turn = Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("_taken"))
+    again = several.withColumnsRenamed(own)
+    shares = plan.withColumnsRenamed(own).join(again.withColumnsRenamed({c: f"{c}_again" for c in again.columns}), F.col("_id").eqNullSafe(F.col("_id_again")) & F.col("_source").eqNullSafe(F.col("_source_again")) & (F.col("_size") == F.col("_size_again")))
+    shares = shares.select("_id", "_source", "_size", "_taken", F.row_number().over(turn).alias("_turn"))
+    texts = docs.join(again, same_row(again, docs)).withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text")))
+    texts = texts.select(*docs.columns, "_turn", F.col("_size").alias("_words"))
+    dealt = texts.join(shares, texts["doc_id"].eqNullSafe(shares["_id"]) & texts["source"].eqNullSafe(shares["_source"]) & (texts["_words"] == shares["_size"]) & (texts["_turn"] == shares["_turn"]))
+    joined = single.unionByName(dealt.filter("_taken > 0").select(*docs.columns, "_size", "_taken"))
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     repeated = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
     left = F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")
