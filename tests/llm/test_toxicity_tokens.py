@@ -161,7 +161,7 @@ def test_token_files_round_trip(documents, spark, tmp_path, length, shard_sequen
         own = sorted((e for e in entries if e["doc_id"] == doc_id), key=lambda e: e["sequence"])
         if len([e for e in own if e["sequence"] == 0]) == 1:
             tokens = np.concatenate([read[e["slot"]][: e["n_tokens"]] for e in own]).tolist()
-            assert tokens == token_shards.tokens_of(next(iter(variants)), vocabulary).tolist()
+            assert tokens == [*token_shards.ids_of(next(iter(variants)), vocabulary).tolist(), token_shards.encoding(vocabulary)[1]]
     assert all((read[e["slot"]][e["n_tokens"] :] == token_shards.PAD).all() for e in entries)
     if total > 12:
         part = token_shards.read_token_shards(spark, out, total, length, shard_sequences, 7, 12).collect()
@@ -172,3 +172,12 @@ def test_no_documents_no_token_files(documents, spark, tmp_path):
     stored = str(tmp_path / "docs")
     documents.limit(0).write.parquet(stored)
     assert token_shards.write_token_shards(spark, stored, str(tmp_path / "out"), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_vocabularies_that_need_more_bits_are_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "large.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(255)) + f"{base64.b64encode(bytes([255])).decode()} {token_shards.PAD - 1}\n")
+    with pytest.raises(ValueError, match="16 bits"):
+        token_shards.encoding(str(path))

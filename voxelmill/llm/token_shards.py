@@ -35,14 +35,15 @@ def encoding(path: str):
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+    end = max(ranks.values()) + 1
+    if end >= PAD:
+        raise ValueError(f"ids up to {end} and the mark for filling up don't fit into 16 bits")
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), end
 
 
-def tokens_of(text: str | None, path: str) -> np.ndarray:
-    """The text's ids and the end mark as 16-bit numbers; special tokens' strings are ordinary text."""
-    own, end = encoding(path)
-    ids = own.encode_to_numpy((text or "").encode("utf-8", "replace").decode(), disallowed_special=())
-    return np.append(ids, end).astype("<u2")
+def ids_of(text: str | None, path: str) -> np.ndarray:
+    """The text's ids without the end mark; special tokens' strings are ordinary text."""
+    return encoding(path)[0].encode_to_numpy(text or "", disallowed_special=())
 
 
 def source_rows(spark: SparkSession, documents: str) -> DataFrame:
@@ -59,7 +60,7 @@ def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> dict[tu
             for text, file, row in zip(texts, files, places, strict=True):
                 if not sums or sums[-1][0] != file:
                     sums.append([file, row, 0])
-                sums[-1][2] += -(-len(tokens_of(text, vocabulary)) // length)
+                sums[-1][2] += len(ids_of(text, vocabulary)) // length + 1
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sums, strict=True)], names=["file", "row", "sequences"])
 
@@ -87,7 +88,8 @@ def write_token_shards(
     numbers under ``seed`` gives every sequence its slot. Slot s stands in shard s div ``shard_sequences`` at byte
     (s mod ``shard_sequences``) * 2 * ``length``: a reader can begin anywhere and resume by slot alone. The index has
     (shard, slot, doc_id, sequence, n_tokens) for every sequence. Null and empty texts have one sequence, the end mark;
-    repeated rows are written as often as they stand there; an empty table gives no shards. A first pass counts, so no
+    repeated rows are written as often as they stand there; an empty table gives no shards. Vocabularies whose ids and two
+    marks don't fit into 16 bits are refused. A first pass counts, so no
     tokens are kept between the passes; a shard's file has its name only once it is whole.
     """
     rows = source_rows(spark, documents)
@@ -96,20 +98,21 @@ def write_token_shards(
     known = spark.sparkContext.broadcast(starts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number = None, 0
+        last, number, end = None, 0, encoding(vocabulary)[1]
         for ids, texts, files, places in stretches(batches, ["doc_id", "text", "file", "row"]):
             owners, parts, counts, sequences, numbers = [], [], [], [], []
             for doc_id, text, file, row in zip(ids, texts, files, places, strict=True):
                 if file != last:
                     last, number = file, known.value[file, row]
-                tokens = tokens_of(text, vocabulary)
-                n = -(-len(tokens) // length)
+                tokens = ids_of(text, vocabulary)
+                n = len(tokens) // length + 1
                 filled = np.full(n * length, PAD, np.dtype("<u2"))
                 filled[: len(tokens)] = tokens
+                filled[len(tokens)] = end
                 data = filled.tobytes()
                 owners += [doc_id] * n
                 parts += [data[i * 2 * length : (i + 1) * 2 * length] for i in range(n)]
-                counts += [min(length, len(tokens) - i * length) for i in range(n)]
+                counts += [min(length, len(tokens) + 1 - i * length) for i in range(n)]
                 sequences += range(n)
                 numbers += range(number, number + n)
                 number += n
@@ -195,4 +198,4 @@ def op1_token_shards(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(used, pa.int32()), pa.array(crcs, pa.int64())], names=["slot", "n_read", "tokens_crc32"])
 
     back = read.mapInArrow(measured, "slot long, n_read int, tokens_crc32 long")
-    return index.join(back, "slot").select("doc_id", "sequence", "shard", "slot", F.col("n_read").alias("n_tokens"), "tokens_crc32")
+    return index.join(back.hint("merge"), "slot").select("doc_id", "sequence", "shard", "slot", F.col("n_read").alias("n_tokens"), "tokens_crc32")
