@@ -74,6 +74,18 @@ def test_similar_sets_by_brute_force(spark, k, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(sets))}
 
 
+def test_a_cluster_of_near_copies_makes_no_pairs_of_all(spark, monkeypatch):
+    """200 texts, each with its own two changed words: all are linked by their leaders, few pairs are compared."""
+    counted = []
+    compared = jaccard.compared
+    monkeypatch.setattr(jaccard, "compared", lambda pairs, *a: (counted.append(pairs.count()), compared(pairs, *a))[1])
+    base = [f"b{k}" for k in range(300)]
+    rows = [(i, " ".join(w if k not in (i % 140, 150 + i % 149) else f"x{i}y{k}" for k, w in enumerate(base))) for i in range(200)]
+    found = jaccard.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sum(counted) < 10 * len(rows)
+
+
 def test_similar_sets_of_odd_tables(documents):
     rows = jaccard.similar_sets(documents).collect()
     assert len(rows) == documents.count()
@@ -120,6 +132,13 @@ def test_near_vectors_by_brute_force(spark, monkeypatch):
     assert got == {i: (counts[i], want[i], want[i] == i) for i, *_ in rows}
 
 
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [1e-170, 2e-170]), (3, [1e160, 2e160]), (4, [1.0, 2.0]), (5, [1e300, -1e300]), (6, [5e-324, -5e-324]), (7, [float("inf"), 1.0]), (8, [1e160, 2.5e160])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(table).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 8: (4, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(empty).count() == 0

@@ -178,6 +178,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     """
     x = F.col("embedding")
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), (F.col(label) if label else F.lit(0)).alias("label"))
+    # very large or small vectors are scaled by a power of two, which changes no cosine, so that squares stay finite
+    largest = F.array_max(F.transform(x, F.abs))
+    factor = F.when(largest > 1e100, F.lit(2.0**-600)).when(largest < 1e-100, F.lit(2.0**600)).otherwise(F.lit(1.0))
+    rows = rows.withColumn("embedding", F.transform(x, lambda v: v * factor))
     squares = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
     distinct = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))

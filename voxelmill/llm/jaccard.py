@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrow import small_batches, stretches
 from .components import components
-from .shared import stored
+from .shared import dropped, stored
 from .words import mix, shingle_hashes, text_batches, word_table
 
 WORDS = 3
@@ -137,7 +137,7 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Da
 
 def apart_allowed(differing: Column, sizes: Column, percent: int) -> Column:
     """Whether sets of these sizes together may differ in so many members and still be linked."""
-    return differing * (100 + percent) <= sizes * (100 - percent)
+    return differing.cast("long") * (100 + percent) <= sizes.cast("long") * (100 - percent)
 
 
 def folded_parity(part: int) -> Column:
@@ -210,11 +210,12 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     rows = stored(prefix_rows(docs.filter("doc_id IS NOT NULL"), k, percent, counts), "prefixes")
     lists = rows.groupBy("token").agg(F.min(F.struct("at", "n", "x")).alias("leader"), F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high")
     members = stored(rows.join(lists.select("token", "leader"), "token").distinct(), "members")
+    dropped(rows)
 
     def may_link(n1: str, at1: str, n2: str, at2: str) -> Column:
         """What sizes and positions of a pair's first shared n-gram allow: all before it in either list is not shared."""
-        sizes = F.col(n1) + F.col(n2)
-        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & apart_allowed(F.col(at1) + F.col(at2), sizes, percent)
+        sizes = F.col(n1).cast("long") + F.col(n2)
+        return (F.least(n1, n2).cast("long") * 100 >= F.greatest(n1, n2).cast("long") * percent) & apart_allowed(F.col(at1) + F.col(at2), sizes, percent)
 
     to_leader = members.filter((F.col("x") != F.col("leader.x")) & may_link("n", "at", "leader.n", "leader.at"))
     stars = to_leader.select(F.col("leader.x").alias("a"), F.col("x").alias("b")).distinct()
@@ -227,14 +228,24 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     folds = [f"f{i}" for i in range(FOLDED)]
     about = classes.join(together, classes["x"] == together["node"], "left").select("x", F.coalesce("component", "x").alias("group"), *folds)
     named = members.withColumn("lead", F.col("leader.x")).join(about, "x")
+    named = stored(named.select("token", "lead", "x", "n", "at", "group", *folds), "lists")
+    # of a list, the sets that one leader has already linked are a block; blocks are skipped whole, by size and position
+    blocks = named.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"))
+    several = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("token")
+    blocks = stored(blocks.join(several, "token"), "blocks")
+    other = blocks.select("token", F.col("group").alias("group_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("at").alias("at_b"))
+    fits = (F.col("most").cast("long") * 100 >= F.col("least_b").cast("long") * percent) & (F.col("most_b").cast("long") * 100 >= F.col("least").cast("long") * percent)
+    near = apart_allowed(F.col("at") + F.col("at_b"), F.col("most").cast("long") + F.col("most_b"), percent)
+    meeting = blocks.join(other, "token").filter((F.col("group") < F.col("group_b")) & fits & near).select("token", F.col("group").alias("group_a"), "group_b")
+    meeting = stored(meeting, "meeting-blocks")
     carried = ("x", "n", "at", "group", *folds)
-    left = named.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried])
-    right = named.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    left = meeting.join(named.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried]), ["token", "group_a"])
+    right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in carried])
     bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in folds[1:]), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
-    apart = (F.col("x_a") < F.col("x_b")) & (F.col("group_a") != F.col("group_b")) & may_link("n_a", "at_a", "n_b", "at_b")
-    pairs = left.join(right, (F.col("token") == F.col("token_b")) & apart & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
-    others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.col("x_a").alias("a"), F.col("x_b").alias("b")).agg(F.min("lead").alias("lead"))
+    pairs = left.join(right, ["token", "group_b"]).filter(may_link("n_a", "at_a", "n_b", "at_b") & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
+    others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).agg(F.min("lead").alias("lead"))
     others = stored(near_by_parity(others, classes, percent), "others")
+    dropped(named, blocks, meeting, members)
     # what sets both apart from their leader tells what sets them apart from each other
     known = answers.filter("apart IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("member"), "apart")
     sizes = classes.select("x", "n")
