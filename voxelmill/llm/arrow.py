@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: About so many bytes go to Python at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

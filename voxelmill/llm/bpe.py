@@ -12,12 +12,12 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -26,8 +26,8 @@ from .arrow import with_python_columns
 
 #: Stands for a vocabulary's end-of-word mark, as one character that the byte alphabet lacks.
 END = "\n"
-#: Encoded words and pieces that a worker keeps; at this many it begins anew.
-MOST_KEPT = 100_000
+#: Of pieces between white space a worker keeps so many new ones, and as many that came before them; of words and of tested pairs half as many.
+MOST_KEPT = 80_000
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile(f"[{SPACE}]+")
@@ -40,6 +40,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Kept:
+    """A bounded store in two generations: what is asked for again moves to the new one, the old one goes as a whole."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        """The value, or None; a value from the old generation is kept on."""
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class PrefixEncoder:
     """A vocabulary with merges (a ``tokenizers`` file) as automaton, ranks and splits."""
 
@@ -56,6 +77,8 @@ class PrefixEncoder:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of = {i: token for token, i in model["vocab"].items()} | {i: token for token, i in added.items()}
         self.added = added
+        if odd := [token for token in added if "<" not in token or SPLIT.search(token) or OTHER_SPACE.search(token)]:
+            raise ValueError(f"added tokens without '<', or with white space, aren't supported: {odd[:3]}")
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
@@ -73,9 +96,9 @@ class PrefixEncoder:
             if self.stands(i, kept):
                 self.automaton.add_word(token, (i, len(token) - token.endswith(END), token.endswith(END)))
         self.automaton.make_automaton()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pieces, self.words, self.pairs = Kept(MOST_KEPT), Kept(MOST_KEPT // 2), Kept(MOST_KEPT // 2)
+        numbers = range(max(self.text_of, default=-1) + 1)
+        self.strings = pa.array([self.text_of.get(i) for i in numbers], pa.string())
 
     def goes_together(self, a: int, b: int, before: float = float("inf")) -> bool:
         """Whether no merge across the boundary would have come before the merges that made tokens a and b.
@@ -117,8 +140,9 @@ class PrefixEncoder:
             if start:
                 if (before := last[start]) < 0:
                     continue
-                if (fits := pairs.get((before, token))) is None:
-                    fits = pairs[before, token] = self.goes_together(before, token)
+                if (fits := pairs.new.get((before, token))) is None and (fits := pairs.get((before, token))) is None:
+                    fits = self.goes_together(before, token)
+                    pairs.put((before, token), fits)
                 if not fits:
                     continue
             last[end], came[end] = token, start
@@ -130,17 +154,16 @@ class PrefixEncoder:
             at = came[at]
         return tuple(out[::-1])
 
-    def encode_plain(self, text: str) -> Iterator[int]:
+    def encode_plain(self, text: str) -> list[int]:
         # capital sigma is lowered without regard to its place
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        out: list[int] = []
         for word in self.pattern.findall(lowered):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= MOST_KEPT:
-                    self.words.clear()
-                    self.pairs.clear()
-                ids = self.words[word] = self.encode_word(word.encode("utf-8").decode("latin-1").translate(self.letters))
-            yield from ids
+            if (ids := self.words.get(word)) is None:
+                ids = self.encode_word(word.encode("utf-8").decode("latin-1").translate(self.letters))
+                self.words.put(word, ids)
+            out += ids
+        return out
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Tokens of a stretch without white space; the added tokens' own strings in it are those tokens."""
@@ -154,15 +177,14 @@ class PrefixEncoder:
         text = text or ""
         parts = [p for p in SPLIT.split(text) if p] if OTHER_SPACE.search(text) else text.split()
         pieces = self.pieces
-        found = list(map(pieces.get, parts))
+        found = list(map(pieces.new.get, parts))
         if None in found:
             for i, known in enumerate(found):
                 if known is None:
-                    # a new piece may have come up again since
+                    # it may be in the old generation, or have come up again since
                     if (known := pieces.get(parts[i])) is None:
-                        if len(pieces) >= MOST_KEPT:
-                            pieces.clear()
-                        known = pieces[parts[i]] = array("i", self.encode_piece(parts[i])).tobytes()
+                        known = array("i", self.encode_piece(parts[i])).tobytes()
+                        pieces.put(parts[i], known)
                     found[i] = known
         return b"".join(found)
 
@@ -186,16 +208,12 @@ def ids_of(texts: list[str | None], path: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def texts_of(rows: pa.ListArray, path: str) -> list[str | None]:
-    own = encoder(path)
-    starts = rows.offsets.to_numpy()
-    flat, gone, first = rows.flatten().to_numpy().tolist(), rows.is_null().to_pylist(), 0
-    out: list[str | None] = []
-    for length, null in zip(np.diff(starts).tolist(), gone, strict=True):
-        length = 0 if null else length
-        out.append(None if null else own.decode(flat[first : first + length]))
-        first += length
-    return out
+def texts_of(rows: pa.ListArray, path: str) -> pa.Array:
+    """The decoded text of each row of ids; null rows give null."""
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+    ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, encoder(path).strings.take(rows.flatten())), " ")
+    return pc.if_else(pc.is_valid(rows), joined, pa.scalar(None, pa.string()))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

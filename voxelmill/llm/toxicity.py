@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,7 +90,7 @@ def counterfactuals(text: str | None, terms: tuple[str, ...] = IDENTITY_TERMS, m
 def feature_pairs(texts: list[str | None], lookup: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs: hashed lower-case words and word beginnings. ``lookup`` maps features, -1 drops them."""
     rows_out, features_out = [], []
-    for lo, hi in text_batches(texts):
+    for lo, hi in text_batches(texts, 1 << 19):
         hashes, first, _, _, beginnings = word_table(texts[lo:hi], lower=True, letters_only=True, prefixes=PREFIXES)
         rows = np.repeat(np.arange(lo, hi), np.diff(first))
         for kind, h in enumerate((hashes, *beginnings)):
@@ -193,7 +194,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABEL
             pairs = counterfactuals(text, terms)
             both = split(*feature_pairs([s for pair in pairs for s in pair]), 2 * len(pairs)) if pairs else []
             changes.append([[*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist()] for a, b in zip(both[::2], both[1::2], strict=True)])
-        return [[f.tolist() for f in features], changes]
+        ends = np.cumsum([0, *map(len, features)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(features))), changes]
 
     return with_python_columns(rows, ["text"], StructType.fromDDL("features array<int>, changes array<array<int>>"), made, dropped=("text",))
 

@@ -103,7 +103,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def text_batches(texts: list, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def text_batches(texts: list, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of a batch whose texts have about ``most_bytes`` characters together."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
