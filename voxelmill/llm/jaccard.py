@@ -229,23 +229,25 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     about = classes.join(together, classes["x"] == together["node"], "left").select("x", F.coalesce("component", "x").alias("group"), *folds)
     named = members.withColumn("lead", F.col("leader.x")).join(about, "x")
     named = stored(named.select("token", "lead", "x", "n", "at", "group", *folds), "lists")
-    # of a list, the sets that one leader has already linked are a block; blocks are skipped whole, by size and position
+    # of a list, the sets that one leader has already linked are a block; blocks that no other can meet, by size and
+    # position, are skipped whole
     blocks = named.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"))
     several = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("token")
     blocks = stored(blocks.join(several, "token"), "blocks")
-    other = blocks.select("token", F.col("group").alias("group_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("at").alias("at_b"))
+    other = blocks.select(F.col("token").alias("token_b"), F.col("group").alias("group_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("at").alias("at_b"))
     fits = (F.col("most").cast("long") * 100 >= F.col("least_b").cast("long") * percent) & (F.col("most_b").cast("long") * 100 >= F.col("least").cast("long") * percent)
     near = apart_allowed(F.col("at") + F.col("at_b"), F.col("most").cast("long") + F.col("most_b"), percent)
-    meeting = blocks.join(other, "token").filter((F.col("group") < F.col("group_b")) & fits & near).select("token", F.col("group").alias("group_a"), "group_b")
-    meeting = stored(meeting, "meeting-blocks")
+    meeting = blocks.join(other, (F.col("token") == F.col("token_b")) & (F.col("group") != F.col("group_b")) & fits & near, "left_semi").select("token", "group")
+    open_lists = stored(named.join(stored(meeting, "meeting-blocks"), ["token", "group"], "left_semi"), "open-lists")
     carried = ("x", "n", "at", "group", *folds)
-    left = meeting.join(named.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried]), ["token", "group_a"])
-    right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in carried])
+    left = open_lists.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried])
+    right = open_lists.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
     bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in folds[1:]), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
-    pairs = left.join(right, ["token", "group_b"]).filter(may_link("n_a", "at_a", "n_b", "at_b") & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
-    others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).agg(F.min("lead").alias("lead"))
+    apart = (F.col("x_a") < F.col("x_b")) & (F.col("group_a") != F.col("group_b")) & may_link("n_a", "at_a", "n_b", "at_b")
+    pairs = left.join(right, (F.col("token") == F.col("token_b")) & apart & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
+    others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.col("x_a").alias("a"), F.col("x_b").alias("b")).agg(F.min("lead").alias("lead"))
     others = stored(near_by_parity(others, classes, percent), "others")
-    dropped(named, blocks, meeting, members)
+    dropped(named, blocks, open_lists, members)
     # what sets both apart from their leader tells what sets them apart from each other
     known = answers.filter("apart IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("member"), "apart")
     sizes = classes.select("x", "n")
