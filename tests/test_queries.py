@@ -40,20 +40,6 @@ def test_query_gives_what_its_sql_gives(name, spark, db):
     assert sorted(tuple(plain(v) for v in r) for r in rows.select(columns).collect()) == expected
 
 
-@pytest.mark.parametrize("name", ["op2_sharding", "op4_mixing"])
-def test_training_text_gives_what_its_sql_gives(name, spark, db):
-    from voxelmill.llm import catalogue as training
-
-    rows = training.QUERIES[name](spark, str(TABLES))
-    columns = sorted(rows.columns)
-    found = db.execute(training.ORACLE_SQL[name])
-    names = [c[0] for c in found.description]
-    assert sorted(names) == columns
-    places = [names.index(c) for c in columns]
-    expected = sorted(tuple(plain(r[p]) for p in places) for r in found.fetchall())
-    assert expected and sorted(tuple(plain(v) for v in r) for r in rows.select(columns).collect()) == expected
-
-
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_queries_without_sql_give_rows(name, spark):
     assert catalogue.QUERIES[name](spark, str(TABLES)).count() > 0

@@ -21,14 +21,25 @@ def normalised(description: Column) -> Column:
 
 
 def cleaned_series(series: DataFrame) -> DataFrame:
-    """A uid that stands in the description moves to its column, where that has none; trimmed descriptions."""
-    misplaced = F.coalesce(looks_like_uid(F.trim("description")), F.lit(False))
+    """A uid that stands in the description moves to its column, whatever that has; other descriptions stay as they are."""
+    misplaced = F.coalesce(looks_like_uid(F.col("description")), F.lit(False))
     return series.withColumns({
-        "uid": F.when(misplaced, F.coalesce("uid", F.trim("description"))).otherwise(F.col("uid")),
-        "description": F.when(~misplaced, F.trim("description")),
+        "uid": F.when(misplaced, F.col("description")).otherwise(F.col("uid")),
+        "description": F.when(~misplaced, F.col("description")),
     })
 
 
+def cleaned_catalogue(rows: DataFrame) -> DataFrame:
+    """Catalogue rows with trimmed names, trimmed phases in lower case, and uids put in their place."""
+    return cleaned_series(rows).withColumns({"name": F.trim("name"), "phase": F.lower(F.trim("phase"))})
+
+
+def series_lists(rows: DataFrame) -> DataFrame:
+    """(name, series): each patient's series of the first study date that are of a wanted phase, in order of row."""
+    dated = rows.withColumn("_first", F.min("study_date").over(Window.partitionBy("name"))).filter("study_date = _first").filter(F.col("phase").isin(*PHASES))
+    return dated.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("row", "uid", "description", "phase", "n"))).alias("series"))
+
+
 def last_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the last in ``order``; rows without a key are left out."""
     for key in keys:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelmill.operators import cohorts, geometry, histories, intensity, masks, registration
 from voxelmill.sources import views
 from voxelmill.sources.tables import table
-from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, SERIES, STUDIES
+from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, RAW_CATALOGUE, SERIES, STUDIES
 
 SPACING = (1.0, 0.5, 0.5)
 SHAPE = {"z": 51, "y": 11, "x": 9}
@@ -88,6 +88,28 @@ def hu_window(spark, d):
     return shown.groupBy("volume").agg(F.sum("shown").alias("total"), F.min("shown").alias("low"), F.max("shown").alias("high")).join(ends, "volume")
 
 
+PRESETS = (*intensity.WINDOWS, "none")
+
+
+def window_presets(spark, d):
+    """Prices by supplier under every window, and under the one that follows from mean and spread."""
+    hu = intensity.to_hu(F.col("l_extendedprice"), F.lit(0.01), F.when(F.col("l_returnflag") == "R", -200.0))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("volume"), F.round(hu, 4).alias("hu"))
+    out = None
+    for preset in PRESETS:
+        levels = intensity.window_levels(rows, "volume", "hu", preset)
+        total = F.sum("pixel") if preset in intensity.WINDOWS else F.lit(None)  # where bounds aren't exact, pixels at a step aren't either
+        one = levels.groupBy("volume").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"), F.avg("level").alias("mean_level"), total.cast("long").alias("pixels"))
+        one = rounded(one, 3, "lower", "upper", "mean_level").withColumn("preset", F.lit(preset))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def series_lists(spark, d):
+    lists = cohorts.series_lists(cohorts.cleaned_catalogue(views.raw_catalogue(spark, d)))
+    return lists.select("name", F.size("series").alias("n_series"), F.array_join(F.transform("series", lambda s: s["row"].cast("string")), "|").alias("rows"), F.array_join(F.transform("series", lambda s: s["phase"]), "|").alias("phases"))
+
+
 def matrices(spark):
     return geometry.with_matrix(spark.createDataFrame(POSES, "pose string, tz double, ty double, tx double, rz double, ry double, rx double"), GRID)
 
@@ -180,6 +202,9 @@ QUERIES = {
     "quality_gate": lambda s, d: cohorts.usable_phases(quality(s, d), USABLE),
     "convergence_best": convergence_best,
     "hu_window": hu_window,
+    "window_presets": window_presets,
+    "cleaned_catalogue": lambda s, d: cohorts.cleaned_catalogue(views.raw_catalogue(s, d)).withColumn("study_date", F.col("study_date").cast("string")),
+    "series_lists": series_lists,
     "z_gaps": lambda s, d: rounded(masks.gaps(views.masks(s, d), ["volume", "side"]), 6, "mean_gap"),
     "median_index": lambda s, d: masks.middle(views.masks(s, d), "volume", "z", SHAPE["z"] // 2),
     "rigid_matrix": rigid_matrix,
@@ -191,8 +216,8 @@ QUERIES = {
 
 NORMALISED = "coalesce(array_to_string(list_sort(string_split(trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')), ' ')), ' '), '')"
 CLEANED = SERIES + f""",
-cleaned AS (SELECT row, CASE WHEN regexp_matches(trim(description), '^[0-9.]+$') AND contains(trim(description), '.') THEN coalesce(uid, trim(description)) ELSE uid END AS uid,
-  CASE WHEN NOT (regexp_matches(trim(description), '^[0-9.]+$') AND contains(trim(description), '.')) THEN trim(description) END AS description, n FROM series),
+cleaned AS (SELECT row, CASE WHEN regexp_matches(description, '^[0-9.]+$') AND contains(description, '.') THEN description ELSE uid END AS uid,
+  CASE WHEN NOT (regexp_matches(description, '^[0-9.]+$') AND contains(description, '.')) THEN description END AS description, n FROM series),
 entries AS (SELECT *, {NORMALISED} AS words FROM cleaned)"""
 
 ORACLE_SQL = {
@@ -240,6 +265,16 @@ SELECT run, arg_min(loss, idx) AS first_loss, arg_max(loss, idx) AS last_loss, m
     "hu_window": """WITH h AS (SELECT l_suppkey AS volume, round(l_extendedprice * 0.01::DOUBLE + CASE WHEN l_returnflag = 'R' THEN -200.0 ELSE 0.0 END, 4) AS hu FROM lineitem),
 s AS (SELECT *, CAST(trunc((greatest(-160.0, least(240.0, hu)) + 160.0) / 400.0 * 255) AS INTEGER) AS shown FROM h)
 SELECT volume, CAST(sum(shown) AS BIGINT) AS total, min(shown) AS low, max(shown) AS high, round(quantile_cont(hu, 0.01), 4) AS p01, round(quantile_cont(hu, 0.99), 4) AS p99 FROM s GROUP BY volume""",
+    "window_presets": """WITH h AS (SELECT l_suppkey AS volume, round(l_extendedprice * 0.01::DOUBLE + CASE WHEN l_returnflag = 'R' THEN -200.0 ELSE 0.0 END, 4) AS hu FROM lineitem),
+s AS (SELECT volume, avg(hu) AS m, stddev_pop(hu) AS sd, min(hu) AS least, max(hu) AS most FROM h GROUP BY volume),
+w(preset, a, b) AS (VALUES ('abdomen', -160.0::DOUBLE, 240.0::DOUBLE), ('liver', -15.0, 135.0), ('lung', -1350.0, 150.0), ('bone', -500.0, 1300.0), ('soft_tissue', -125.0, 225.0), ('none', NULL, NULL)),
+k AS (SELECT volume, preset, coalesce(a, m - 2 * sd) AS lower, coalesce(b, m + 2 * sd) AS upper, least, most FROM s, w),
+c AS (SELECT *, greatest(lower, least(upper, least)) AS low, greatest(lower, least(upper, most)) AS high FROM k),
+v AS (SELECT c.*, (greatest(lower, least(upper, hu)) - low) / (high - low + 1e-12::DOUBLE) * 255 AS level FROM c JOIN h USING (volume))
+SELECT volume, preset, round(max(lower), 3) AS lower, round(max(upper), 3) AS upper, round(avg(level), 3) AS mean_level, CASE WHEN preset <> 'none' THEN CAST(sum(CAST(trunc(level) AS BIGINT)) AS BIGINT) END AS pixels FROM v GROUP BY volume, preset""",
+    "cleaned_catalogue": f"WITH {RAW_CATALOGUE} SELECT row, uid, description, n, name, phase, CAST(study_date AS VARCHAR) AS study_date FROM catalogue",
+    "series_lists": f"""WITH {RAW_CATALOGUE}, f AS (SELECT *, min(study_date) OVER (PARTITION BY name) AS first FROM catalogue)
+SELECT name, CAST(count(*) AS INTEGER) AS n_series, string_agg(CAST(row AS VARCHAR), '|' ORDER BY row) AS rows, string_agg(phase, '|' ORDER BY row) AS phases FROM f WHERE study_date = first AND phase IN ('pre-contrast', 'arterial', 'pv') GROUP BY name""",
     "z_gaps": f"""WITH {MASKS}, g AS (SELECT volume, side, z, lead(z) OVER w - z AS gap, row_number() OVER w AS place FROM (SELECT DISTINCT volume, side, z FROM vox) WINDOW w AS (PARTITION BY volume, side ORDER BY z)),
 m AS (SELECT *, avg(gap) OVER (PARTITION BY volume, side) AS mean FROM g WHERE gap IS NOT NULL)
 SELECT volume, side, round(avg(gap), 6) AS mean_gap, min(gap) AS min_gap, max(gap) AS max_gap, max(CASE WHEN place = 1 THEN gap END) AS first_gap, bool_and(abs(gap - mean) <= 0.01 + 0.00001 * abs(mean)) AS uniform FROM m GROUP BY volume, side""",

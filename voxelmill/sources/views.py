@@ -69,20 +69,33 @@ LABELLED = f"lab AS (SELECT l_suppkey AS volume, {VOXEL}, CASE WHEN l_returnflag
 
 
 def series(spark: SparkSession, folder: str) -> DataFrame:
-    """(row, uid, description, n): catalogue rows; some have their uid in the description, some none."""
+    """(row, uid, description, n): catalogue rows; some have their uid in the description, of these some have another one in its place, and some have none."""
     key, uid = F.col("p_partkey"), F.concat(F.lit("1.2."), F.col("p_partkey").cast("string"))
     return table(spark, folder, "part").select(
         key.alias("row"),
-        F.when(key % 5 > 1, uid).alias("uid"),
+        F.when(key % 5 > 1, uid).when(key % 10 == 0, F.lit("0.0")).alias("uid"),
         F.when(key % 5 == 0, uid).otherwise(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  (CT)."))).alias("description"),
         F.col("p_size").alias("n"),
     )
 
 
-SERIES = """series AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 5 > 1 THEN '1.2.' || p_partkey END AS uid,
+SERIES = """series AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 5 > 1 THEN '1.2.' || p_partkey WHEN p_partkey % 10 = 0 THEN '0.0' END AS uid,
   CASE WHEN p_partkey % 5 = 0 THEN '1.2.' || p_partkey ELSE ' ' || upper(p_name) || '  (CT).' END AS description, p_size AS n FROM part)"""
 
 
+def raw_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue rows as they are typed in: padded names, phases in mixed case, uids in either column."""
+    key = F.col("row")
+    phase = F.element_at(F.array(*map(F.lit, (" PV", "Arterial ", "pre-contrast", "delayed", "pv"))), (key % 5 + 1).cast("int"))
+    return series(spark, folder).select("*", F.concat(F.lit(" p"), (key % 40).cast("string"), F.lit("  ")).alias("name"), phase.alias("phase"), F.date_add(F.lit("2020-01-01").cast("date"), (key % 3).cast("int")).alias("study_date"))
+
+
+RAW_CATALOGUE = SERIES + """, raw AS (SELECT *, ' p' || (row % 40) || '  ' AS name, [' PV', 'Arterial ', 'pre-contrast', 'delayed', 'pv'][row % 5 + 1] AS phase, DATE '2020-01-01' + CAST(row % 3 AS INTEGER) AS study_date FROM series),
+catalogue AS (SELECT row, trim(name) AS name, lower(trim(phase)) AS phase, study_date, n,
+  CASE WHEN regexp_matches(description, '^[0-9.]+$') AND contains(description, '.') THEN description ELSE uid END AS uid,
+  CASE WHEN NOT (regexp_matches(description, '^[0-9.]+$') AND contains(description, '.')) THEN description END AS description FROM raw)"""
+
+
 def folders(spark: SparkSession, folder: str) -> DataFrame:
     """(folder, uid, description, n_slices): series folders to be matched with the catalogue."""
     key = F.col("p_partkey")
