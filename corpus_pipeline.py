@@ -61,7 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole table ``documents``; what a stage returns is stored and read by the next."""
+    """The stages in order over the whole table ``documents``; what a stage returns is stored and read by the next.
+
+    Null texts count as empty: they are scored as such, have no near copies or passages, and are never taken by the mix,
+    which has no words to take. Documents without id are scored and mixed, and are no copies of others. Repeated rows
+    are scored alike; of rows with one id all stay or go together until the mix, which gives each its share. Without
+    documents the result is empty; without labels no document is rejected. Other columns of documents are kept up to
+    the mix, which hands on text, source and what encoding returns.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
