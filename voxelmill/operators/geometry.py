@@ -88,16 +88,6 @@ def grid_from_slices(slices: DataFrame, key: str) -> DataFrame:
     return placed.filter("place = 1").select(key, F.col("z").alias("oz"), F.col("y0").alias("oy"), F.col("x0").alias("ox"), F.abs(F.col("next") - F.col("z")).alias("sz"), F.col("dy").alias("sy"), F.col("dx").alias("sx"), "n")
 
 
-def common_grid(grids: DataFrame, key: str) -> DataFrame:
-    """Per group of grids (oz, oy, ox, sz, sy, sx, nz, ny, nx): the finest spacing by axis over the union of their extents."""
-    low = {a: F.min(f"o{a}") for a in VOXEL}
-    high = {a: F.max(F.col(f"o{a}") + (F.col(f"n{a}") - 1) * F.col(f"s{a}")) for a in VOXEL}
-    step = {a: F.min(f"s{a}") for a in VOXEL}
-    found = grids.groupBy(key).agg(*[low[a].alias(f"o{a}") for a in VOXEL], *[step[a].alias(f"s{a}") for a in VOXEL], *[high[a].alias(f"e{a}") for a in VOXEL])
-    size = [(F.ceil(F.round((F.col(f"e{a}") - F.col(f"o{a}")) / F.col(f"s{a}"), 9)) + 1).cast("int").alias(f"n{a}") for a in VOXEL]
-    return found.select(key, *[f"o{a}" for a in VOXEL], *[f"s{a}" for a in VOXEL], *size)
-
-
 def largest_component(masks: DataFrame, key: str) -> DataFrame:
     """The largest face-connected part of each mask; of equally large ones that with the first voxel in (z, y, x) order.
 

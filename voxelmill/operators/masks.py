@@ -114,6 +114,12 @@ def surface_metrics(distances: DataFrame, tolerance: float = TOLERANCE) -> DataF
     )
 
 
+def metric_bundle(masks: DataFrame, a: str, b: str, spacing: tuple[float, float, float], tolerance: float = TOLERANCE) -> DataFrame:
+    """(volume, dsc, assd, hd, hd95, nsd): all metrics of two masks; where either is empty, Dice stays and the others are null."""
+    surfaces = surface_metrics(surface_distances(masks, a, b, spacing), tolerance)
+    return overlap(masks, a, b).select("volume", "dsc").join(surfaces, "volume", "left")
+
+
 def modal_value(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Per group the most frequent value; of equally frequent ones that which comes first in ``order``."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
