@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 VOXEL = ["z", "y", "x"]
 #: Distances up to this count as within tolerance, in mm.
 TOLERANCE = 2.0
 #: Rows a box is widened by on every side before surfaces are compared.
 PAD = 3
+#: Edge in voxels of the cells by which surfaces are compared before their voxels are.
+CELL = 8
 
 
 def merge_labels(voxels: DataFrame) -> DataFrame:
@@ -88,14 +92,25 @@ def boundary(masks: DataFrame, keys: list[str]) -> DataFrame:
 def surface_distances(masks: DataFrame, a: str, b: str, spacing: tuple[float, float, float]) -> DataFrame:
     """(volume, direction, d): for each boundary voxel the distance in mm to the other mask's nearest one, both ways.
 
-    The join is within a volume only; volumes with masks of many voxels should be cropped or coarsened first, since it
-    compares all boundary voxels of the two masks.
+    Surfaces are cut into cells. A cell's voxels are compared only with those of cells that may hold the nearest one: no
+    further away, at the least, than the closest cell is at the most. What is paired within a volume is occupied cells,
+    of which there are ``CELL`` squared times fewer than voxels of a surface.
     """
-    edge = boundary(masks.filter(F.col("side").isin(a, b)), ["volume", "side"])
-    one, other = edge.alias("p"), edge.alias("q")
-    squares = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) * s) ** 2 for c, s in zip(VOXEL, spacing, strict=True))
-    pairs = one.join(other, (F.col("p.volume") == F.col("q.volume")) & (F.col("p.side") != F.col("q.side")))
-    nearest = pairs.groupBy(F.col("p.volume").alias("volume"), F.col("p.side").alias("direction"), *[F.col(f"p.{c}").alias(c) for c in VOXEL]).agg(F.sqrt(F.min(squares)).alias("d"))
+    cell = [f"c{c}" for c in VOXEL]
+    placed = boundary(masks.filter(F.col("side").isin(a, b)), ["volume", "side"]).withColumns({f"c{c}": F.floor(F.col(c) / CELL).cast("int") for c in VOXEL})
+    edge = stored(placed, "surfaces")
+    cells = edge.select("volume", "side", *cell).distinct()
+    others = cells.select(F.col("volume").alias("_volume"), F.col("side").alias("other"), *[F.col(c).alias(f"o{c}") for c in cell])
+    apart = [F.abs(F.col(c) - F.col(f"o{c}")) * CELL for c in cell]
+    least = sum((F.greatest(F.lit(0), x - (CELL - 1)) * s) ** 2 for x, s in zip(apart, spacing, strict=True))
+    most = sum(((x + CELL - 1) * s) ** 2 for x, s in zip(apart, spacing, strict=True))
+    met = cells.join(others, (F.col("volume") == F.col("_volume")) & (F.col("side") != F.col("other"))).drop("_volume")
+    bound = F.min(most).over(Window.partitionBy("volume", "side", *cell))
+    near = met.withColumns({"_least": least, "_bound": bound}).filter("_least <= _bound").drop("_least", "_bound")
+    there = edge.select("volume", F.col("side").alias("other"), *[F.col(c).alias(f"o{c}") for c in [*cell, *VOXEL]])
+    pairs = edge.join(near, ["volume", "side", *cell]).join(there, ["volume", "other", *[f"o{c}" for c in cell]])
+    squares = sum(((F.col(c) - F.col(f"o{c}")) * s) ** 2 for c, s in zip(VOXEL, spacing, strict=True))
+    nearest = pairs.groupBy("volume", F.col("side").alias("direction"), *VOXEL).agg(F.sqrt(F.min(squares)).alias("d"))
     return nearest.select("volume", "direction", "d")
 
 

@@ -76,8 +76,17 @@ def wide_blocks(spark, d):
 
 def friedman_p(spark, d):
     """Tail probabilities of the omnibus statistics, a row for each phase."""
-    rows = [(r["phase"], tails.chi2_tail(r["chi2"], r["df1"]), tails.f_tail(r["f"], r["df1"], r["df2"])) for r in bs.friedman(ranked(spark, d), "phase", "block", "config").collect() if r["chi2"] is not None]
-    return spark.createDataFrame(rows, "phase string, p_chi2 double, p_f double")
+
+    @F.pandas_udf("double")
+    def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([tails.chi2_tail(a, int(b)) for a, b in zip(x, df, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def f_tail(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+        return pd.Series([tails.f_tail(a, int(b), int(c)) for a, b, c in zip(x, df1, df2, strict=True)], dtype="float64")
+
+    found = bs.friedman(ranked(spark, d), "phase", "block", "config").filter("chi2 IS NOT NULL")
+    return found.select("phase", chi2_tail("chi2", "df1").alias("p_chi2"), f_tail("f", "df1", "df2").alias("p_f"))
 
 
 def nemenyi_p(spark, d):
@@ -99,8 +108,12 @@ def sign_p(spark, d):
         return pd.Series([tails.sign_tail(int(a), int(b)) for a, b in zip(plus, n, strict=True)], dtype="float64")
 
     counts = bs.paired_summary(differences(spark, d), ["phase", "config"])
-    tests = counts.select("phase", "config", "n", "zeros", "plus", tail("plus", F.col("plus") + F.col("minus")).alias("p"))
-    return bs.holm(tests, "p", ["phase", "config"])
+    tests = counts.select("phase", "config", "n", "zeros", "plus", F.round(tail("plus", F.col("plus") + F.col("minus")), 9).alias("p"))
+    return rounded(bs.holm(tests, "p", ["phase", "config"]), 8, "p_adj")
+
+
+#: Values drawn at once by the bootstrap.
+DRAWN = 1 << 20
 
 
 def bootstrap_ci(spark, d, resamples: int = 10_000, seed: int = 42):
@@ -109,7 +122,8 @@ def bootstrap_ci(spark, d, resamples: int = 10_000, seed: int = 42):
     def resample(group: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(group["d"].to_numpy())
         random = np.random.default_rng(seed)
-        medians = np.concatenate([np.median(x[random.integers(0, len(x), (1000, len(x)))], axis=1) for _ in range(resamples // 1000)])
+        rows = max(1, DRAWN // len(x))  # so many resamples at once
+        medians = np.concatenate([np.median(x[random.integers(0, len(x), (min(rows, resamples - at), len(x)))], axis=1) for at in range(0, resamples, rows)])
         low, high = np.percentile(medians, [2.5, 97.5])
         return pd.DataFrame({"phase": [group["phase"].iloc[0]], "config": [group["config"].iloc[0]], "median": [float(np.median(x))], "low": [low], "high": [high]})
 
@@ -173,6 +187,11 @@ SELECT phase, config, count(d) AS n, count(*) FILTER (d = 0) AS zeros, count(*)
 r AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, phase, config) + 1) * p AS raw FROM t),
 a AS (SELECT phase, config, p, least(1.0, max(raw) OVER (ORDER BY p, phase, config ROWS UNBOUNDED PRECEDING)) AS p_adj FROM r)
 SELECT phase, config, p, round(p_adj, 6) AS p_adj, p_adj < 0.05 AS significant FROM a""",
+    "sign_p": f"""WITH {RANKED}, c AS (SELECT phase, config, count(d) AS n, count(*) FILTER (d = 0) AS zeros, count(*) FILTER (d > 0) AS plus, count(*) FILTER (d <> 0) AS m FROM diffs GROUP BY ALL),
+t AS (SELECT phase, config, n, zeros, plus, round(sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) - m * ln(2.0::DOUBLE))), 9) AS p FROM (SELECT *, unnest(range(plus, m + 1)) AS k FROM c) GROUP BY ALL),
+r AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, phase, config) + 1) * p AS raw FROM t),
+a AS (SELECT phase, config, n, zeros, plus, p, least(1.0, max(raw) OVER (ORDER BY p, phase, config ROWS UNBOUNDED PRECEDING)) AS p_adj FROM r)
+SELECT phase, config, n, zeros, plus, p, round(p_adj, 8) AS p_adj, p_adj < 0.05 AS significant FROM a""",
     "relevance_label": f"""WITH {RANKED}, e AS (SELECT phase, config, round(quantile_cont(d, 0.25), 4) AS low, round(quantile_cont(d, 0.75), 4) AS high FROM diffs GROUP BY ALL)
 SELECT *, CASE WHEN low >= {DELTA} THEN 'relevant' WHEN high < {DELTA} THEN 'below threshold' ELSE 'undecided' END AS label FROM e""",
     "symmetry_histogram": f"""WITH {RANKED}, e AS (SELECT phase, config, min(d) AS low, max(d) AS high FROM diffs GROUP BY ALL)
