@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import tails
 from voxelmill.operators import block_statistics as bs
-from voxelmill.operators import cohorts, geometry, masks
+from voxelmill.operators import cohorts, geometry, grids, masks, series
 
 VOXELS = "volume long, side string, z int, y int, x int"
 
@@ -97,3 +97,48 @@ def test_no_task_holds_a_whole_mask(spark):
     found = geometry.largest_component(spark.createDataFrame(rows, "volume string, z int, y int, x int").repartition(5), "volume")
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == sorted([*rows[:300], ("b", 1, 2, 3)])
+
+
+def test_surfaces_far_apart_meet_across_cells(spark):
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 40, (60, 3)), axis=0)
+    b = np.unique(rng.integers(-50, 90, (60, 3)), axis=0)
+    rows = spark.createDataFrame([(1, s, *map(int, v)) for s, m in (("a", a), ("b", b)) for v in m], VOXELS)
+    spacing = np.array((2.5, 1.0, 0.5))
+    expected = sorted(round(float(np.sqrt((((p - other) * spacing) ** 2).sum(axis=1)).min()), 6) for one, other in ((a, b), (b, a)) for p in one)
+    assert sorted(round(r["d"], 6) for r in masks.surface_distances(rows, "a", "b", tuple(spacing)).collect()) == expected
+
+
+def test_bundle_keeps_pairs_with_an_empty_mask(spark):
+    rows = [(1, s, *v) for s in "ab" for v in product(range(2), repeat=3)] + [(2, "a", 0, 0, 0)]
+    found = {r["volume"]: r.asDict() for r in masks.metric_bundle(spark.createDataFrame(rows, VOXELS), "a", "b", (1.0, 1.0, 1.0)).collect()}
+    assert found[1] == {"volume": 1, "dsc": 1.0, "assd": 0.0, "hd": 0.0, "hd95": 0.0, "nsd": 1.0}
+    assert found[2] == {"volume": 2, "dsc": 0.0, "assd": None, "hd": None, "hd95": None, "nsd": None}
+
+
+def test_a_required_row_that_is_missing_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early")], "k string, n int, v string")
+    assert series.required_rows(spark.createDataFrame([("a",)], "k string"), rows, ["k"], ["n"]).collect() == [("a", 1, "early")]
+    with pytest.raises(Exception, match="no row for b"):
+        series.required_rows(spark.createDataFrame([("b",)], "k string"), rows, ["k"], ["n"]).collect()
+
+
+@pytest.mark.parametrize("cosines, turns, flips", [((1, 0, 0, 0, 1, 0), 0, ()), ((-1, 0, 0, 0, 1, 0), 0, (1,)), ((1, 0, 0, 0, -1, 0), 0, (0,)), ((-1, 0, 0, 0, -1, 0), 2, ()), ((0, 1, 0, 1, 0, 0), 1, ()), ((0, 1, 0, -1, 0, 0), 3, ())])
+def test_orientation_is_that_of_turned_planes(spark, cosines, turns, flips):
+    plane = np.zeros((3, 4), bool)
+    plane[0, 1] = plane[2, 3] = plane[1, 0] = True
+    rows = [(0, int(y), int(x), 3, 4, [float(c) for c in cosines]) for y, x in np.argwhere(plane)]
+    expected = np.flip(np.rot90(plane, turns), flips) if flips else np.rot90(plane, turns)
+    found = series.reoriented(spark.createDataFrame(rows, "z int, y int, x int, ny int, nx int, cosines array<double>"), "cosines").collect()
+    assert {(r["y"], r["x"]) for r in found} == {tuple(map(int, v)) for v in np.argwhere(expected)}
+    assert {(r["ny"], r["nx"]) for r in found} == {expected.shape}
+
+
+def test_extremes_pass_over_missing_values(spark):
+    rows = spark.createDataFrame([("p", 0.5, -0.75), ("p", math.nan, 0.5), ("p", 0.75, None), ("q", math.nan, None)], "k string, dsc double, rvd double")
+    assert sorted(map(tuple, grids.extremes(rows, "k").collect())) == [("p", 0.5, 0.75), ("q", None, None)]
+
+
+def test_texts_of_vectors(spark):
+    texts = spark.createDataFrame([("[1.5, -2e-3,3 ]",), ("[]",), ("[x,1]",), (None,)], "t string")
+    assert [r[0] for r in texts.select(series.text_vector(F.col("t"))).collect()] == [[1.5, -0.002, 3.0], [], [None, 1.0], None]

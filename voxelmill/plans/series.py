@@ -147,15 +147,15 @@ def inverse_warp(spark, d):
 
 
 def phase_shapes(spark, d):
-    """Phases of which the mask, of the rows of one status, has as many slices as the series has."""
+    """Phases of which the mask, in every other patient of the rows of one status only, has the shape of the series."""
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patient"), F.col("l_returnflag").alias("phase"), "l_linestatus", *views.voxel_columns())
     shape = [F.count_distinct(a).alias(f"n{a}") for a in AXES]
-    return series.phases_with_masks(rows.groupBy("patient", "phase").agg(*shape), rows.filter("l_linestatus = 'F'").groupBy("patient", "phase").agg(*shape), ["patient", "phase"])
+    return series.phases_with_masks(rows.groupBy("patient", "phase").agg(*shape), rows.filter("l_linestatus = 'F' OR patient % 2 = 0").groupBy("patient", "phase").agg(*shape), ["patient", "phase"])
 
 
 def shapes_sql() -> str:
     shape = lambda where: f"SELECT l_suppkey AS patient, l_returnflag AS phase, count(DISTINCT z) AS nz, count(DISTINCT y) AS ny, count(DISTINCT x) AS nx FROM (SELECT *, {views.VOXEL} FROM lineitem {where}) GROUP BY ALL"
-    return f"{shape('')} INTERSECT {shape('WHERE l_linestatus = ' + repr('F'))}"
+    return f"{shape('')} INTERSECT {shape("WHERE l_linestatus = 'F' OR l_suppkey % 2 = 0")}"
 
 
 def first_results(spark, d):
@@ -201,7 +201,7 @@ def slice_survival(spark, d):
 
 
 def outcome_counts(spark, d):
-    studies = views.studies(spark, d).filter("phase <> 'delayed' AND study_date < '1994-01-01'").select(F.col("name").alias("patient"), "phase")
+    studies = views.studies(spark, d).filter("phase <> 'delayed' AND month(study_date) <= 3").select(F.col("name").alias("patient"), "phase")
     return series.outcomes(table(spark, d, "customer").select(F.col("c_custkey").alias("patient")).join(studies, "patient", "left"), "pv")
 
 
@@ -266,7 +266,7 @@ SELECT key, CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[:-2], '_ct') E
 SELECT volume, side, z, gap FROM (SELECT volume, side, z, abs(z - aim) AS gap, row_number() OVER (PARTITION BY volume, side ORDER BY abs(z - aim), z) AS place FROM b) WHERE place = 1""",
     "slice_survival": f"""WITH {MASKS}, {nearest_sql('vox')}, b AS (SELECT volume, side, count(DISTINCT z) AS n_before FROM vox GROUP BY ALL), a AS (SELECT volume, side, count(DISTINCT z) AS n_after FROM near GROUP BY ALL)
 SELECT volume, side, n_before, coalesce(n_after, 0) AS n_after, round(coalesce(n_after, 0) / n_before, 6) AS ratio FROM b LEFT JOIN a USING (volume, side)""",
-    "outcome_counts": f"""WITH {STUDIES}, p AS (SELECT c_custkey, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM customer LEFT JOIN (SELECT * FROM studies WHERE phase <> 'delayed' AND study_date < DATE '1994-01-01') s ON c_custkey = name GROUP BY ALL)
+    "outcome_counts": f"""WITH {STUDIES}, p AS (SELECT c_custkey, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM customer LEFT JOIN (SELECT * FROM studies WHERE phase <> 'delayed' AND month(study_date) <= 3) s ON c_custkey = name GROUP BY ALL)
 SELECT CASE WHEN NOT pv THEN 'no pv' WHEN n < 2 THEN 'fewer than 2 phases' ELSE 'usable' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
     "reoriented": reoriented_sql(),
     "grid_from_seg": f"""WITH {FRAMES}, h AS (SELECT volume, side, count(DISTINCT z) AS nz, max(z) AS oz, min(z) AS low FROM frames GROUP BY ALL),
