@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import bpe, embeddings, jaccard, media, mixing, sharding, substrings, token_shards, toxicity, warc
+from . import bpe, collocations, embeddings, jaccard, media, mixing, secret_scan, sharding, substrings, token_shards, toxicity, warc, whitening
 
 QUERIES = {
     "op1_token_shards": token_shards.op1_token_shards,
@@ -13,9 +13,13 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_near_vectors": embeddings.op9_near_vectors,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_secrets": secret_scan.op11_secrets,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
