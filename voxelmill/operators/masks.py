@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
+from .distances import distances_to
 
 VOXEL = ["z", "y", "x"]
 #: Distances up to this count as within tolerance, in mm.
 TOLERANCE = 2.0
 #: Rows a box is widened by on every side before surfaces are compared.
 PAD = 3
-#: Edge in voxels of the cells by which surfaces are compared before their voxels are.
-CELL = 8
 
 
 def merge_labels(voxels: DataFrame) -> DataFrame:
@@ -43,10 +42,10 @@ def centroids(masks: DataFrame, *keys: str) -> DataFrame:
 
 
 def centroid_shift(masks: DataFrame, fixed: str, moving: str) -> DataFrame:
-    """Per volume the translation that carries the moving mask's centroid onto the fixed one's, with no rotation."""
+    """Per volume the pose (no rotation) under which a warp carries the moving mask's centroid onto the fixed one's."""
     centre = centroids(masks, "volume", "side")
     f, m = (centre.filter(F.col("side") == s).alias(n) for s, n in ((fixed, "f"), (moving, "m")))
-    shift = [(F.col(f"m.c{c}") - F.col(f"f.c{c}")).alias(f"t{c}") for c in VOXEL]
+    shift = [(F.col(f"f.c{c}") - F.col(f"m.c{c}")).alias(f"t{c}") for c in VOXEL]
     return f.join(m, "volume").select("volume", *shift, *[F.lit(0.0).alias(r) for r in ("rz", "ry", "rx")])
 
 
@@ -90,28 +89,11 @@ def boundary(masks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def surface_distances(masks: DataFrame, a: str, b: str, spacing: tuple[float, float, float]) -> DataFrame:
-    """(volume, direction, d): for each boundary voxel the distance in mm to the other mask's nearest one, both ways.
-
-    Surfaces are cut into cells. A cell's voxels are compared only with those of cells that may hold the nearest one: no
-    further away, at the least, than the closest cell is at the most. What is paired within a volume is occupied cells,
-    of which there are ``CELL`` squared times fewer than voxels of a surface.
-    """
-    cell = [f"c{c}" for c in VOXEL]
-    placed = boundary(masks.filter(F.col("side").isin(a, b)), ["volume", "side"]).withColumns({f"c{c}": F.floor(F.col(c) / CELL).cast("int") for c in VOXEL})
-    edge = stored(placed, "surfaces")
-    cells = edge.select("volume", "side", *cell).distinct()
-    others = cells.select(F.col("volume").alias("_volume"), F.col("side").alias("other"), *[F.col(c).alias(f"o{c}") for c in cell])
-    apart = [F.abs(F.col(c) - F.col(f"o{c}")) * CELL for c in cell]
-    least = sum((F.greatest(F.lit(0), x - (CELL - 1)) * s) ** 2 for x, s in zip(apart, spacing, strict=True))
-    most = sum(((x + CELL - 1) * s) ** 2 for x, s in zip(apart, spacing, strict=True))
-    met = cells.join(others, (F.col("volume") == F.col("_volume")) & (F.col("side") != F.col("other"))).drop("_volume")
-    bound = F.min(most).over(Window.partitionBy("volume", "side", *cell))
-    near = met.withColumns({"_least": least, "_bound": bound}).filter("_least <= _bound").drop("_least", "_bound")
-    there = edge.select("volume", F.col("side").alias("other"), *[F.col(c).alias(f"o{c}") for c in [*cell, *VOXEL]])
-    pairs = edge.join(near, ["volume", "side", *cell]).join(there, ["volume", "other", *[f"o{c}" for c in cell]])
-    squares = sum(((F.col(c) - F.col(f"o{c}")) * s) ** 2 for c, s in zip(VOXEL, spacing, strict=True))
-    nearest = pairs.groupBy("volume", F.col("side").alias("direction"), *VOXEL).agg(F.sqrt(F.min(squares)).alias("d"))
-    return nearest.select("volume", "direction", "d")
+    """(volume, direction, d): for each boundary voxel the distance in mm to the other mask's nearest one, both ways."""
+    edge = stored(boundary(masks.filter(F.col("side").isin(a, b)), ["volume", "side"]), "surfaces")
+    opposite = F.when(F.col("side") == a, b).otherwise(a)
+    found = distances_to(edge.select("volume", opposite.alias("direction"), *VOXEL), edge.select("volume", F.col("side").alias("direction"), *VOXEL), ["volume", "direction"], spacing)
+    return found.select("volume", "direction", "d")
 
 
 def surface_metrics(distances: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -167,13 +149,15 @@ def nearest_slice(slices: DataFrame, key: str, z: str, target: Column) -> DataFr
 
 
 def gaps(slices: DataFrame, keys: list[str], z: str = "z", absolute: float = 1e-2, relative: float = 1e-5) -> DataFrame:
-    """Per group the mean, least and largest gap between neighbouring slices, the first gap, and whether all are alike."""
-    order = Window.partitionBy(*keys).orderBy(z)
-    steps = slices.select(*keys, z).distinct().withColumns({"gap": F.lead(z).over(order) - F.col(z), "place": F.row_number().over(order)}).filter("gap IS NOT NULL")
-    means = steps.withColumn("mean", F.avg("gap").over(Window.partitionBy(*keys)))
-    even = F.min((F.abs(F.col("gap") - F.col("mean")) <= absolute + relative * F.abs(F.col("mean"))).cast("int")) == 1
-    first = F.max(F.when(F.col("place") == 1, F.col("gap")))
-    return means.groupBy(*keys).agg(F.avg("gap").alias("mean_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), first.alias("first_gap"), even.alias("uniform"))
+    """Per group the mean, least and largest gap between neighbouring slices, that of the two topmost slices, and whether all are like that one.
+
+    A single slice has no gaps: nulls, and uniform.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc(z))
+    steps = slices.select(*keys, z).distinct().withColumns({"gap": F.col(z) - F.lead(z).over(order), "place": F.row_number().over(order)})
+    compared = steps.withColumn("first", F.max(F.when(F.col("place") == 1, F.col("gap"))).over(Window.partitionBy(*keys)))
+    even = F.coalesce(F.min((F.abs(F.col("gap") - F.col("first")) <= absolute + relative * F.abs(F.col("first"))).cast("int")) == 1, F.lit(True))
+    return compared.groupBy(*keys).agg(F.avg("gap").alias("mean_gap"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.max("first").alias("first_gap"), even.alias("uniform"))
 
 
 def middle(masks: DataFrame, key: str, axis: str, centre: int) -> DataFrame:
