@@ -142,3 +142,57 @@ def test_extremes_pass_over_missing_values(spark):
 def test_texts_of_vectors(spark):
     texts = spark.createDataFrame([("[1.5, -2e-3,3 ]",), ("[]",), ("[x,1]",), (None,)], "t string")
     assert [r[0] for r in texts.select(series.text_vector(F.col("t"))).collect()] == [[1.5, -0.002, 3.0], [], [None, 1.0], None]
+
+
+def test_start_pose_carries_the_moving_centroid_onto_the_fixed_one(spark):
+    """A warp under the pose of ``centroid_shift`` moves the moving mask, not the other way round."""
+    fixed, moving = [(10, 5, 4), (12, 5, 4)], [(7, 2, 6), (9, 2, 6)]
+    rows = spark.createDataFrame([(1, s, *v) for s, m in (("f", fixed), ("m", moving)) for v in m], VOXELS)
+    pose = masks.centroid_shift(rows, "f", "m").drop("volume")
+    assert tuple(pose.first())[:3] == (3.0, 3.0, -2.0)
+    points = geometry.source_points(geometry.grid_of(spark, (20, 10, 10)), geometry.with_matrix(pose, (20, 10, 10)))
+    found = geometry.warp_nearest(rows.filter("side = 'm'"), points, [])
+    assert sorted(map(tuple, found.collect())) == fixed
+
+
+@pytest.mark.parametrize("heights, first, uniform", [((3.0, 2.0, 0.985), 1.0, False), ((2.015, 1.0, 0.0), 1.015, False), ((2.0095, 1.0, 0.0), 1.0095, True), ((5.0,), None, True)])
+def test_gaps_are_compared_with_the_topmost(spark, heights, first, uniform):
+    row = masks.gaps(spark.createDataFrame([("a", h) for h in heights], "k string, z double"), ["k"]).first()
+    assert row["uniform"] is uniform
+    assert row["first_gap"] == (None if first is None else pytest.approx(first))
+
+
+@pytest.mark.parametrize("thickness, heights, step", [(2.5, (4.0,), 2.5), (None, (4.0,), 1.0), (2.5, (4.0, 1.0, 0.5), 3.0)])
+def test_step_of_a_grid(spark, thickness, heights, step):
+    rows = spark.createDataFrame([("s", z, 0.0, 0.0, 1.0, 1.0, thickness) for z in heights], "k string, z double, y0 double, x0 double, dy double, dx double, thickness double")
+    assert geometry.grid_from_slices(rows, "k").first()["sz"] == step
+
+
+def test_series_match_their_own_patient_only(spark):
+    series_rows = spark.createDataFrame([("p", 1, " 1.2.3 ", "Liver CT", 9), ("q", 2, None, "liver (ct)", 9), ("q", 3, None, "CT, Liver", 7), ("q", 4, None, "Arms", None)], "patient string, row int, uid string, description string, n int")
+    folders = spark.createDataFrame([("p", "a", "1.2.3", "x", 0), ("q", "b", "1.2.3", "ct liver", 9), ("q", "c", None, "Ct  liver", 1), ("r", "d", "1.2.3", "ct liver", 9), ("q", "e", None, None, 9), (None, "f", "1.2.3", "ct liver", 9)], "patient string, folder string, uid string, description string, n_slices int")
+    assert sorted(map(tuple, cohorts.match_series(folders, series_rows).collect())) == [("a", 1, "uid"), ("b", 2, "description and slices"), ("c", 3, "description")]
+
+
+def test_missing_values_are_no_differences(spark):
+    rows = spark.createDataFrame([("g", "a", "t", 2.0, 1.0), ("g", "b", "t", math.nan, 1.0), ("g", "c", "t", None, 1.0), ("g", "d", "t", 1.0, math.nan), ("g", "e", "t", 1.0, 3.0)], "phase string, block string, config string, metric double, control double")
+    found = bs.with_controls(rows, "phase", "block", "config", "metric", "control")
+    assert sorted(r["block"] for r in found.collect()) == ["a", "e"]
+    assert tuple(bs.paired_summary(found, ["config"]).select("n", "zeros", "plus", "minus").first()) == (2, 0, 1, 1)
+    assert bs.no_improvement(found, ["config"]).first()["pct_worse"] == 50
+
+
+def test_of_equally_frequent_acquisitions_the_first_met_stays(spark):
+    rows = [("v", ["0", "0", str(z)], None, a, None, seen) for seen, (z, a) in enumerate([(1, 4), (2, 7), (3, 7), (4, 4), (9, None)])]
+    found = series.series_slices(spark.createDataFrame(rows, "volume string, position array<string>, location string, acquisition int, wanted int, seen int"), "volume")
+    assert [(r["z"], r["place"]) for r in found.orderBy("place").collect()] == [(4.0, 0), (1.0, 1)]
+    assert {r["acquisition"] for r in found.collect()} == {4}
+
+
+def test_an_incomplete_design_fails(spark):
+    rows = spark.createDataFrame([("g", "a", "t", 1.0), ("g", "a", "u", 2.0), ("g", "b", "t", 3.0)], "phase string, block string, config string, metric double")
+    check = bs.block_check(rows, "phase", "block", "config", "metric", 2)
+    with pytest.raises(Exception, match="incomplete block design: g"):
+        bs.require_complete(check, "phase").collect()
+    whole = bs.block_check(rows.filter("block = 'a'"), "phase", "block", "config", "metric", 2)
+    assert bs.require_complete(whole, "phase").first()["complete"]

@@ -122,9 +122,9 @@ def nemenyi(means: DataFrame, group: str, treatment: str) -> DataFrame:
 
 
 def with_controls(facts: DataFrame, group: str, block: str, treatment: str, metric: str, control: str) -> DataFrame:
-    """(group, treatment, block, d): each value less its block's control, which is constant in a block."""
-    controls = facts.groupBy(group, block).agg(F.min(control).alias("_control"))
-    return facts.select(group, block, treatment, metric).join(controls, [group, block]).select(group, treatment, block, (F.col(metric) - F.col("_control")).alias("d")).filter("d IS NOT NULL")
+    """(group, treatment, block, d): each value less its block's control, which is constant in a block; pairs that lack either (null or NaN) go."""
+    controls = facts.groupBy(group, block).agg(F.min(clean(control)).alias("_control"))
+    return facts.select(group, block, treatment, metric).join(controls, [group, block]).select(group, treatment, block, (clean(metric) - F.col("_control")).alias("d")).filter("d IS NOT NULL")
 
 
 def paired_summary(differences: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,18 +48,19 @@ def last_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def match_series(folders: DataFrame, series: DataFrame) -> DataFrame:
-    """Each folder with its catalogue row: by uid, else by description and number of slices, else by description.
+    """Each folder with its patient's catalogue row: by uid, else by description and number of slices, else by description.
 
-    Of catalogue rows with equal keys the last one counts. Folders without any match are dropped. Columns: folder, row,
-    matched_by.
+    Both have ``patient``; rows of other patients never match. Catalogue uids are trimmed. Of a patient's rows with equal
+    keys the last one counts. Folders without any match, a patient or a description and uid are dropped. Columns: folder,
+    row, matched_by.
     """
-    entries = cleaned_series(series).withColumns({"words": normalised(F.col("description")), "entry": F.col("row")})
+    entries = cleaned_series(series).withColumns({"words": normalised(F.col("description")), "entry": F.col("row"), "uid": F.trim("uid")})
     named = entries.filter("description IS NOT NULL")
-    by_uid = last_by(entries, ["uid"], "row").withColumnRenamed("entry", "by_uid")
-    by_both = last_by(named, ["words", "n"], "row").withColumnRenamed("entry", "by_both")
-    by_words = last_by(named, ["words"], "row").withColumnRenamed("entry", "by_words")
-    sides = folders.withColumns({"words": normalised(F.col("description")), "n": F.col("n_slices")})
-    joined = sides.join(by_uid, "uid", "left").join(by_both, ["words", "n"], "left").join(by_words, "words", "left")
+    by_uid = last_by(entries, ["patient", "uid"], "row").withColumnRenamed("entry", "by_uid")
+    by_both = last_by(named, ["patient", "words", "n"], "row").withColumnRenamed("entry", "by_both")
+    by_words = last_by(named, ["patient", "words"], "row").withColumnRenamed("entry", "by_words")
+    sides = folders.withColumns({"words": F.when(F.col("description").isNotNull(), normalised(F.col("description"))), "n": F.col("n_slices")})
+    joined = sides.join(by_uid, ["patient", "uid"], "left").join(by_both, ["patient", "words", "n"], "left").join(by_words, ["patient", "words"], "left")
     how = F.when(F.col("by_uid").isNotNull(), "uid").when(F.col("by_both").isNotNull(), "description and slices").when(F.col("by_words").isNotNull(), "description")
     return joined.select("folder", F.coalesce("by_uid", "by_both", "by_words").alias("row"), how.alias("matched_by")).filter("row IS NOT NULL")
 

@@ -82,10 +82,13 @@ def inverse_poses(points: DataFrame, matrices: DataFrame) -> DataFrame:
 
 
 def grid_from_slices(slices: DataFrame, key: str) -> DataFrame:
-    """Per series origin, spacing and number of slices from its headers (z, y0, x0, dy, dx), the topmost slice first."""
+    """Per series origin, spacing and number of slices from its headers (z, y0, x0, dy, dx, thickness), the topmost slice first.
+
+    The step is that between the two topmost slices; of a single slice its thickness, else 1.
+    """
     order = Window.partitionBy(key).orderBy(F.desc("z"))
     placed = slices.withColumns({"place": F.row_number().over(order), "next": F.lead("z").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    return placed.filter("place = 1").select(key, F.col("z").alias("oz"), F.col("y0").alias("oy"), F.col("x0").alias("ox"), F.abs(F.col("next") - F.col("z")).alias("sz"), F.col("dy").alias("sy"), F.col("dx").alias("sx"), "n")
+    return placed.filter("place = 1").select(key, F.col("z").alias("oz"), F.col("y0").alias("oy"), F.col("x0").alias("ox"), F.coalesce(F.abs(F.col("next") - F.col("z")), F.col("thickness"), F.lit(1.0)).alias("sz"), F.col("dy").alias("sy"), F.col("dx").alias("sx"), "n")
 
 
 def largest_component(masks: DataFrame, key: str) -> DataFrame:

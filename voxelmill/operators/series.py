@@ -18,14 +18,15 @@ EXCHANGED = 0.9
 def series_slices(slices: DataFrame, key: str) -> DataFrame:
     """A series' slices with their height ``z`` and ``place`` from the top, 0 first; of one acquisition only.
 
-    ``slices`` has position, location, acquisition and wanted. Slices without a height go. Of the others those of the
-    wanted acquisition stay; where none is wanted, or there, those of the most frequent one (no acquisition counts as one
-    of its own; of equally frequent ones the highest stays).
+    ``slices`` has position, location, acquisition, wanted and seen, the order in which they are read. Slices without a
+    height go. Of the others those of the wanted acquisition stay; where none is wanted, or there, those of the most
+    frequent one (no acquisition counts as one of its own; of equally frequent ones that which is met first stays).
     """
     placed = slices.withColumn("z", slice_height(F.col("position"), F.col("location"))).filter("z IS NOT NULL")
     wanted = F.coalesce(F.col("acquisition") == F.col("wanted"), F.lit(False))
-    counted = placed.groupBy(key, "acquisition").agg(F.max(wanted).alias("_wanted"), F.count(F.lit(1)).alias("_n"))
-    chosen = counted.groupBy(key).agg(F.max_by("acquisition", F.struct("_wanted", "_n", "acquisition")).alias("_acquisition"))
+    counted = placed.groupBy(key, "acquisition").agg(F.max(wanted).alias("_wanted"), F.count(F.lit(1)).alias("_n"), F.min("seen").alias("_seen"))
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_wanted"), F.desc("_n"), F.asc("_seen")))
+    chosen = counted.withColumn("_best", best).filter("_best = 1").select(key, F.col("acquisition").alias("_acquisition"))
     kept = placed.join(chosen.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & F.col("acquisition").eqNullSafe(F.col("_acquisition")))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("z"))) - 1
     return kept.drop("_key", "_acquisition").withColumn("place", place)

@@ -155,6 +155,16 @@ def registration_grid(spark, d):
     return registration.register(views.dense_masks(spark, d), registration.grid(spark), "F", "O", GRID, SPACING)
 
 
+#: Patients among whom series and folders are dealt.
+PATIENTS = 40
+
+
+def prioritized_match(spark, d):
+    """The folders of each patient matched with the patient's own catalogue rows, some of which have blanks around their uid."""
+    listed = views.series(spark, d).withColumns({"patient": F.col("row") % PATIENTS, "uid": F.when(F.col("row") % 4 == 0, F.concat(F.lit(" "), "uid", F.lit(" "))).otherwise(F.col("uid"))})
+    return cohorts.match_series(views.folders(spark, d).withColumn("patient", F.col("folder") % PATIENTS), listed)
+
+
 def session_pick(spark, d):
     orders = table(spark, d, "orders")
     text = F.when(F.col("o_orderkey") % 97 == 0, "undated").otherwise(F.concat(F.date_format("o_orderdate", "MM-dd-yyyy"), F.lit("-"), F.col("o_orderkey").cast("string")))
@@ -184,7 +194,7 @@ QUERIES = {
     "earliest_study": lambda s, d: cohorts.earliest_studies(views.studies(s, d)).withColumn("study_date", F.date_format("study_date", "yyyy-MM-dd")),
     "cohort_having": lambda s, d: cohorts.cohort(cohorts.unambiguous(views.studies(s, d)), discarded=(1, 2, 3)),
     "normalized_desc": lambda s, d: cohorts.cleaned_series(views.series(s, d)).withColumn("words", cohorts.normalised(F.col("description"))),
-    "prioritized_match": lambda s, d: cohorts.match_series(views.folders(s, d), views.series(s, d)),
+    "prioritized_match": prioritized_match,
     "session_pick": session_pick,
     "modal_value": lambda s, d: masks.modal_value(table(s, d, "lineitem").select(F.col("l_suppkey").alias("volume"), "l_linenumber", F.struct("l_shipdate", "l_orderkey").alias("seen")), ["volume"], "l_linenumber", "seen"),
     "label_merge": label_merge,
@@ -225,10 +235,10 @@ ORACLE_SQL = {
     "cohort_having": f"""WITH {STUDIES}, once AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name, phase) AS times FROM studies) WHERE times = 1 AND name NOT IN (1, 2, 3))
 SELECT name, array_to_string(list_sort(list(DISTINCT phase)), '|') AS phases FROM once GROUP BY name HAVING count(DISTINCT phase) >= 2 AND bool_or(phase = 'pv')""",
     "normalized_desc": f"WITH {CLEANED} SELECT row, uid, description, n, words FROM entries",
-    "prioritized_match": f"""WITH {CLEANED}, {FOLDERS}, f AS (SELECT folder, uid, n_slices, {NORMALISED} AS words FROM folders),
-u AS (SELECT uid, max(row) AS r FROM entries WHERE uid IS NOT NULL GROUP BY uid), b AS (SELECT words, n, max(row) AS r FROM entries WHERE description IS NOT NULL GROUP BY ALL), w AS (SELECT words, max(row) AS r FROM entries WHERE description IS NOT NULL GROUP BY ALL)
+    "prioritized_match": f"""WITH {CLEANED}, {FOLDERS}, f AS (SELECT folder, folder % {PATIENTS} AS patient, uid, n_slices, {NORMALISED} AS words FROM folders), e AS (SELECT *, row % {PATIENTS} AS patient FROM entries),
+u AS (SELECT patient, trim(uid) AS uid, max(row) AS r FROM e WHERE uid IS NOT NULL GROUP BY ALL), b AS (SELECT patient, words, n, max(row) AS r FROM e WHERE description IS NOT NULL GROUP BY ALL), w AS (SELECT patient, words, max(row) AS r FROM e WHERE description IS NOT NULL GROUP BY ALL)
 SELECT folder, coalesce(u.r, b.r, w.r) AS row, CASE WHEN u.r IS NOT NULL THEN 'uid' WHEN b.r IS NOT NULL THEN 'description and slices' ELSE 'description' END AS matched_by
-FROM f LEFT JOIN u ON f.uid = u.uid LEFT JOIN b ON f.words = b.words AND f.n_slices = b.n LEFT JOIN w ON f.words = w.words WHERE coalesce(u.r, b.r, w.r) IS NOT NULL""",
+FROM f LEFT JOIN u ON f.patient = u.patient AND f.uid = u.uid LEFT JOIN b ON f.patient = b.patient AND f.words = b.words AND f.n_slices = b.n LEFT JOIN w ON f.patient = w.patient AND f.words = w.words WHERE coalesce(u.r, b.r, w.r) IS NOT NULL""",
     "session_pick": """WITH s AS (SELECT o_custkey AS patient, CASE WHEN o_orderkey % 97 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%m-%d-%Y') || '-' || o_orderkey END AS session FROM orders),
 t AS (SELECT *, try_strptime(substr(session, 1, 10), '%m-%d-%Y') AS day FROM s)
 SELECT patient, session FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY day, session) AS place, bool_or(day IS NULL) OVER (PARTITION BY patient) AS bad FROM t) WHERE place = 1 AND NOT bad""",
@@ -241,7 +251,7 @@ f AS (SELECT volume, z, y, x, max(CAST(side = 'F' AS INTEGER)) AS a, max(CAST(si
 s AS (SELECT volume, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * b) AS BIGINT) AS n_both, count(*) AS n_any FROM f GROUP BY volume)
 SELECT *, round(2.0 * n_both / (n_a + n_b), 6) AS dsc, round(1 - 2.0 * n_both / (n_a + n_b), 6) AS dsc_loss, round((n_a - n_b) / nullif(n_b, 0)::DOUBLE, 6) AS rvd FROM s""",
     "mask_centroid_shift": f"""WITH {MASKS}, c AS (SELECT volume, side, avg(z) AS z, avg(y) AS y, avg(x) AS x FROM vox GROUP BY ALL)
-SELECT volume, round(m.z - f.z, 6) AS tz, round(m.y - f.y, 6) AS ty, round(m.x - f.x, 6) AS tx, 0.0::DOUBLE AS rz, 0.0::DOUBLE AS ry, 0.0::DOUBLE AS rx FROM (SELECT * FROM c WHERE side = 'F') f JOIN (SELECT * FROM c WHERE side = 'O') m USING (volume)""",
+SELECT volume, round(f.z - m.z, 6) AS tz, round(f.y - m.y, 6) AS ty, round(f.x - m.x, 6) AS tx, 0.0::DOUBLE AS rz, 0.0::DOUBLE AS ry, 0.0::DOUBLE AS rx FROM (SELECT * FROM c WHERE side = 'F') f JOIN (SELECT * FROM c WHERE side = 'O') m USING (volume)""",
     "slice_bbox": f"WITH {MASKS} SELECT volume, side, z, count(*) AS n, min(x) AS x_min, min(y) AS y_min, max(x) + 1 AS x_max, max(y) + 1 AS y_max FROM vox GROUP BY ALL",
     "prompt_anchors": f"""WITH {DENSE_MASKS}, b AS (SELECT volume, side, z, count(*) AS n, min(x) AS x_min, min(y) AS y_min, max(x) + 1 AS x_max, max(y) + 1 AS y_max FROM dense GROUP BY ALL),
 e AS (SELECT *, min(z) OVER w AS z0, max(z) OVER w AS z1, greatest(1, count(*) OVER w // 7) AS step, first_value(z) OVER (PARTITION BY volume, side ORDER BY n DESC, z) AS fullest FROM b WINDOW w AS (PARTITION BY volume, side))
@@ -275,9 +285,8 @@ SELECT volume, preset, round(max(lower), 3) AS lower, round(max(upper), 3) AS up
     "cleaned_catalogue": f"WITH {RAW_CATALOGUE} SELECT row, uid, description, n, name, phase, CAST(study_date AS VARCHAR) AS study_date FROM catalogue",
     "series_lists": f"""WITH {RAW_CATALOGUE}, f AS (SELECT *, min(study_date) OVER (PARTITION BY name) AS first FROM catalogue)
 SELECT name, CAST(count(*) AS INTEGER) AS n_series, string_agg(CAST(row AS VARCHAR), '|' ORDER BY row) AS rows, string_agg(phase, '|' ORDER BY row) AS phases FROM f WHERE study_date = first AND phase IN ('pre-contrast', 'arterial', 'pv') GROUP BY name""",
-    "z_gaps": f"""WITH {MASKS}, g AS (SELECT volume, side, z, lead(z) OVER w - z AS gap, row_number() OVER w AS place FROM (SELECT DISTINCT volume, side, z FROM vox) WINDOW w AS (PARTITION BY volume, side ORDER BY z)),
-m AS (SELECT *, avg(gap) OVER (PARTITION BY volume, side) AS mean FROM g WHERE gap IS NOT NULL)
-SELECT volume, side, round(avg(gap), 6) AS mean_gap, min(gap) AS min_gap, max(gap) AS max_gap, max(CASE WHEN place = 1 THEN gap END) AS first_gap, bool_and(abs(gap - mean) <= 0.01 + 0.00001 * abs(mean)) AS uniform FROM m GROUP BY volume, side""",
+    "z_gaps": f"""WITH {MASKS}, g AS (SELECT volume, side, z - lead(z) OVER w AS gap, first_value(z) OVER w - nth_value(z, 2) OVER (PARTITION BY volume, side ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT DISTINCT volume, side, z FROM vox) WINDOW w AS (PARTITION BY volume, side ORDER BY z DESC))
+SELECT volume, side, round(avg(gap), 6) AS mean_gap, min(gap) AS min_gap, max(gap) AS max_gap, max(top) AS first_gap, coalesce(bool_and(abs(gap - top) <= 0.01 + 0.00001 * abs(top)), true) AS uniform FROM g GROUP BY volume, side""",
     "median_index": f"WITH {MASKS} SELECT volume, CAST(trunc(median(z)) AS INTEGER) AS index FROM vox GROUP BY volume",
     "rigid_matrix": f"WITH {matrix_sql()} SELECT pose, " + ", ".join(f"round({n}, 9) + 0.0 AS {n}" for n in [*(f"i{r}{c}" for r in range(3) for c in range(3)), "o0", "o1", "o2"]) + " FROM mat",
     "warp_nearest": f"WITH {DENSE_MASKS}, {points_sql()} SELECT pose, p.z, p.y, p.x FROM points p SEMI JOIN mask m ON floor(s0 + 0.5) = m.z AND floor(s1 + 0.5) = m.y AND floor(s2 + 0.5) = m.x",

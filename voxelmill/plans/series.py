@@ -23,7 +23,7 @@ ORIENTATIONS = {
 
 
 def slices(spark, d):
-    """(volume, position, location, acquisition, wanted): line items as slices; some have no height, some no acquisition."""
+    """(volume, position, location, acquisition, wanted, seen): line items as slices; some have no height, some no acquisition."""
     item, z = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     height = F.when(item == 6, "n/a").otherwise(z.cast("string"))
     return table(spark, d, "lineitem").select(
@@ -32,12 +32,13 @@ def slices(spark, d):
         F.when((item != 7) | (F.col("l_orderkey") % 2 != 0), (z + 100).cast("string")).alias("location"),
         F.when(item % 3 != 0, item % 3).alias("acquisition"),
         F.when(F.col("l_suppkey") % 3 == 1, 2).when(F.col("l_suppkey") % 3 == 2, 9).alias("wanted"),
+        (F.col("l_orderkey") * 10 + item).alias("seen"),
     )
 
 
 SLICES = """slices AS (SELECT l_suppkey AS volume, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS height,
   CASE WHEN l_linenumber <> 7 OR l_orderkey % 2 <> 0 THEN CAST(CAST(l_quantity AS INTEGER) + 100 AS VARCHAR) END AS location,
-  CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 3 END AS acquisition, CASE l_suppkey % 3 WHEN 1 THEN 2 WHEN 2 THEN 9 END AS wanted FROM lineitem)"""
+  CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 3 END AS acquisition, CASE l_suppkey % 3 WHEN 1 THEN 2 WHEN 2 THEN 9 END AS wanted, l_orderkey * 10 + l_linenumber AS seen FROM lineitem)"""
 
 
 def frames(spark, d):
@@ -201,7 +202,7 @@ def slice_survival(spark, d):
 
 
 def outcome_counts(spark, d):
-    studies = views.studies(spark, d).filter("phase <> 'delayed' AND month(study_date) <= 3").select(F.col("name").alias("patient"), "phase")
+    studies = views.studies(spark, d).filter(F.col("phase").isin(*cohorts.PHASES)).select(F.col("name").alias("patient"), "phase")
     return series.outcomes(table(spark, d, "customer").select(F.col("c_custkey").alias("patient")).join(studies, "patient", "left"), "pv")
 
 
@@ -236,7 +237,7 @@ QUERIES = {
     "outcome_counts": outcome_counts,
     "reoriented": reoriented,
     "grid_from_seg": lambda s, d: rounded(grids.grid_from_frames(frames(s, d), ["volume", "side"]), 6, "dz"),
-    "grid_from_ct": lambda s, d: geometry.grid_from_slices(frames(s, d).groupBy("volume", "z").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("dy").alias("dy"), F.min("dx").alias("dx")), "volume"),
+    "grid_from_ct": lambda s, d: geometry.grid_from_slices(frames(s, d).groupBy("volume", "z").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("dy").alias("dy"), F.min("dx").alias("dx"), F.min("between").alias("thickness")), "volume"),
     "common_grid": lambda s, d: grids.common_grid(grid_table(views.masks(s, d)), ["volume"]),
     "resample_nearest": resampled,
     "resample_linear": resample_linear,
@@ -248,8 +249,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "series_slices": f"""WITH {SLICES}, placed AS (SELECT * FROM (SELECT *, coalesce(try_cast(height AS DOUBLE), try_cast(location AS DOUBLE)) AS z FROM slices) WHERE z IS NOT NULL),
-counted AS (SELECT volume, acquisition, coalesce(bool_or(acquisition = wanted), false) AS hit, count(*) AS n FROM placed GROUP BY ALL),
-chosen AS (SELECT volume, acquisition FROM (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY hit DESC, n DESC, acquisition DESC NULLS LAST) AS best FROM counted) WHERE best = 1)
+counted AS (SELECT volume, acquisition, coalesce(bool_or(acquisition = wanted), false) AS hit, count(*) AS n, min(seen) AS first FROM placed GROUP BY ALL),
+chosen AS (SELECT volume, acquisition FROM (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY hit DESC, n DESC, first) AS best FROM counted) WHERE best = 1)
 SELECT p.volume, p.acquisition, p.z, row_number() OVER (PARTITION BY p.volume ORDER BY p.z DESC) - 1 AS place FROM placed p JOIN chosen c ON p.volume = c.volume AND p.acquisition IS NOT DISTINCT FROM c.acquisition""",
     "slice_heights": f"WITH {MASKS} SELECT volume, side, z, dense_rank() OVER (PARTITION BY volume, side ORDER BY z DESC) - 1 AS place FROM (SELECT DISTINCT volume, side, z FROM vox)",
     "slice_spacing": "SELECT l_suppkey AS volume, l_linestatus AS side, sum(CASE WHEN l_linenumber % 2 = 0 THEN 2.5::DOUBLE ELSE 0.5::DOUBLE END) AS total FROM lineitem GROUP BY ALL",
@@ -266,16 +267,16 @@ SELECT key, CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[:-2], '_ct') E
 SELECT volume, side, z, gap FROM (SELECT volume, side, z, abs(z - aim) AS gap, row_number() OVER (PARTITION BY volume, side ORDER BY abs(z - aim), z) AS place FROM b) WHERE place = 1""",
     "slice_survival": f"""WITH {MASKS}, {nearest_sql('vox')}, b AS (SELECT volume, side, count(DISTINCT z) AS n_before FROM vox GROUP BY ALL), a AS (SELECT volume, side, count(DISTINCT z) AS n_after FROM near GROUP BY ALL)
 SELECT volume, side, n_before, coalesce(n_after, 0) AS n_after, round(coalesce(n_after, 0) / n_before, 6) AS ratio FROM b LEFT JOIN a USING (volume, side)""",
-    "outcome_counts": f"""WITH {STUDIES}, p AS (SELECT c_custkey, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM customer LEFT JOIN (SELECT * FROM studies WHERE phase <> 'delayed' AND month(study_date) <= 3) s ON c_custkey = name GROUP BY ALL)
+    "outcome_counts": f"""WITH {STUDIES}, p AS (SELECT c_custkey, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM customer LEFT JOIN (SELECT * FROM studies WHERE phase IN ('pre-contrast', 'arterial', 'pv')) s ON c_custkey = name GROUP BY ALL)
 SELECT CASE WHEN NOT pv THEN 'no pv' WHEN n < 2 THEN 'fewer than 2 phases' ELSE 'usable' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
     "reoriented": reoriented_sql(),
     "grid_from_seg": f"""WITH {FRAMES}, h AS (SELECT volume, side, count(DISTINCT z) AS nz, max(z) AS oz, min(z) AS low FROM frames GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY volume, side ORDER BY z DESC, frame DESC) AS place FROM frames) WHERE place = 1)
 SELECT h.volume, h.side, h.oz, t.item * 0.5::DOUBLE AS oy, t.item * -0.25::DOUBLE AS ox, CASE WHEN nz > 1 THEN round((oz - low) / (nz - 1), 6) WHEN t.item % 2 = 0 THEN 2.5 ELSE 1.0 END AS dz,
   0.5::DOUBLE AS dy, 0.75::DOUBLE AS dx, nz, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, CASE WHEN t.item % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS cz FROM h JOIN t ON h.volume = t.volume AND h.side = t.side""",
-    "grid_from_ct": f"""WITH {FRAMES}, s AS (SELECT volume, z, min(item * 0.5::DOUBLE) AS oy, min(item * -0.25::DOUBLE) AS ox FROM frames GROUP BY ALL),
+    "grid_from_ct": f"""WITH {FRAMES}, s AS (SELECT volume, z, min(item * 0.5::DOUBLE) AS oy, min(item * -0.25::DOUBLE) AS ox, min(CASE WHEN item % 2 = 0 THEN 2.5::DOUBLE END) AS thickness FROM frames GROUP BY ALL),
 p AS (SELECT *, row_number() OVER w AS place, lead(z) OVER w AS next, count(*) OVER (PARTITION BY volume) AS n FROM s WINDOW w AS (PARTITION BY volume ORDER BY z DESC))
-SELECT volume, z AS oz, oy, ox, z - next AS sz, 0.5::DOUBLE AS sy, 0.75::DOUBLE AS sx, n FROM p WHERE place = 1""",
+SELECT volume, z AS oz, oy, ox, coalesce(z - next, thickness, 1.0::DOUBLE) AS sz, 0.5::DOUBLE AS sy, 0.75::DOUBLE AS sx, n FROM p WHERE place = 1""",
     "common_grid": f"WITH {MASKS}, {grids_sql('vox')} SELECT volume, {', '.join(f't{p}{a} AS {p}{a}' for p in 'osn' for a in AXES)} FROM common",
     "resample_nearest": f"WITH {MASKS}, {nearest_sql('vox')} SELECT * FROM near",
     "resample_linear": linear_sql(),
