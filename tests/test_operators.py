@@ -150,9 +150,9 @@ def test_start_pose_carries_the_moving_centroid_onto_the_fixed_one(spark):
     rows = spark.createDataFrame([(1, s, *v) for s, m in (("f", fixed), ("m", moving)) for v in m], VOXELS)
     pose = masks.centroid_shift(rows, "f", "m").drop("volume")
     assert tuple(pose.first())[:3] == (3.0, 3.0, -2.0)
-    points = geometry.source_points(geometry.grid_of(spark, (20, 10, 10)), geometry.with_matrix(pose, (20, 10, 10)))
-    found = geometry.warp_nearest(rows.filter("side = 'm'"), points, [])
-    assert sorted(map(tuple, found.collect())) == fixed
+    poses = geometry.with_matrix(pose.withColumn("volume", F.lit(1)), (20, 10, 10))
+    found = geometry.warp_nearest(rows.filter("side = 'm'"), poses, ["volume"], ["volume"], (20, 10, 10))
+    assert sorted(tuple(r)[1:] for r in found.collect()) == fixed
 
 
 @pytest.mark.parametrize("heights, first, uniform", [((3.0, 2.0, 0.985), 1.0, False), ((2.015, 1.0, 0.0), 1.015, False), ((2.0095, 1.0, 0.0), 1.0095, True), ((5.0,), None, True)])
@@ -196,3 +196,58 @@ def test_an_incomplete_design_fails(spark):
         bs.require_complete(check, "phase").collect()
     whole = bs.block_check(rows.filter("block = 'a'"), "phase", "block", "config", "metric", 2)
     assert bs.require_complete(whole, "phase").first()["complete"]
+
+
+POSE = "volume long, tz double, ty double, tx double, rz double, ry double, rx double"
+
+
+def dense_warp(mask, pose):
+    """Trilinear interpolation at every output voxel, by numpy: zero where the source point is outside the grid."""
+    tz, ty, tx, rz, ry, rx = pose
+    turn = lambda a, i, j: np.array([[math.cos(a) if r == c and r in (i, j) else 1.0 if r == c else -math.sin(a) if (r, c) == (i, j) else math.sin(a) if (r, c) == (j, i) else 0.0 for c in range(3)] for r in range(3)])
+    # axes (z, y, x) are rows 0 to 2; rz turns the first two, ry the first and third (the other way), rx the last two
+    back = (turn(rz, 0, 1) @ turn(-ry, 0, 2) @ turn(rx, 1, 2)).T
+    centre = np.array(mask.shape) / 2
+    out = np.stack(np.meshgrid(*map(np.arange, mask.shape), indexing="ij"), axis=-1).reshape(-1, 3)
+    source = np.round(out @ back.T + centre - back @ centre - back @ np.array((tz, ty, tx)), 6)
+    inside = ((source >= 0) & (source <= np.array(mask.shape) - 1)).all(axis=1)
+    low, value = np.floor(source).astype(int), np.zeros(len(out))
+    for corner in product((0, 1), repeat=3):
+        weight = np.prod(np.where(corner, source - low, 1 - (source - low)), axis=1)
+        value += weight * mask[tuple(np.minimum(low.clip(0) + corner, np.array(mask.shape) - 1).T)]
+    return np.where(inside, value, 0).reshape(mask.shape)
+
+
+@pytest.mark.parametrize("pose", [(0.5, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0), (1.25, -2.0, 0.5, 0.3, -0.2, 0.1), (0, 0, 0, math.pi / 2, 0, 0), (30.0, 0, 0, 0, 0, 0)])
+def test_warps_of_a_cube_and_of_noise(spark, pose):
+    """The 10-voxel cube of 20^3 moved by parts of a voxel and turned, and a random mask up to the grid's edge."""
+    shape = (20, 20, 20)
+    cube, noise = np.zeros(shape), (np.random.default_rng(4).random(shape) < 0.2).astype(float)
+    cube[5:15, 5:15, 5:15] = 1
+    rows = [(v, *map(int, at)) for v, m in ((1, cube), (2, noise)) for at in np.argwhere(m)]
+    frame = spark.createDataFrame(rows, "volume long, z int, y int, x int")
+    matrices = geometry.with_matrix(spark.createDataFrame([(v, *map(float, pose)) for v in (1, 2)], POSE), shape)
+    found = {(r[0], *r[1:4]): r[4] for r in geometry.warp_linear(frame, matrices, ["volume"], ["volume"], shape).collect()}
+    for v, m in ((1, cube), (2, noise)):
+        expected = dense_warp(m, pose)
+        assert {k[1:]: x for k, x in found.items() if k[0] == v} == pytest.approx({tuple(map(int, at)): expected[tuple(at)] for at in np.argwhere(expected > 5e-10)}, abs=1e-8)
+        # above one half, no ties but at the half-voxel shift
+        binary = {tuple(r)[1:] for r in geometry.warp_binary(frame.filter(F.col("volume") == v), matrices, ["volume"], ["volume"], shape).collect()}
+        assert binary == {tuple(map(int, at)) for at in np.argwhere(np.round(expected, 9) > 0.5)}
+
+
+def test_inverse_warp_undoes_a_shift(spark):
+    shape = (12, 9, 9)
+    rows = [(1, int(z), int(y), int(x)) for z, y, x in np.random.default_rng(8).integers(3, 6, (20, 3))]
+    frame = spark.createDataFrame(rows, "volume long, z int, y int, x int").distinct()
+    matrices = geometry.with_matrix(spark.createDataFrame([(1, 2.0, -1.0, 1.0, 0.0, 0.0, 0.0)], POSE), shape)
+    there = geometry.warp_binary(frame, matrices, ["volume"], ["volume"], shape)
+    back = geometry.warp_binary(there, geometry.inverted(matrices), ["volume"], ["volume"], shape)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, frame.collect()))
+
+
+def test_warps_list_no_grid(spark):
+    rows = spark.createDataFrame([(1, 2, 2, 2)], "volume long, z int, y int, x int")
+    matrices = geometry.with_matrix(spark.createDataFrame([(1, 0.5, 0.0, 0.0, 0.1, 0.0, 0.0)], POSE), (10_000, 10_000, 10_000))
+    plan = geometry.warp_binary(rows, matrices, ["volume"], ["volume"], (10_000, 10_000, 10_000))
+    assert "Range" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() <= 8

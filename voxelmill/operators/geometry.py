@@ -6,8 +6,6 @@ is half the grid's shape and R = Rz Ry Rx.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,8 @@ from .masks import VOXEL
 
 ANGLES = ("rz", "ry", "rx")
 SHIFTS = ("tz", "ty", "tx")
+#: Digits that places on grids are rounded to.
+DIGITS = 6
 
 
 def rotation(rz: Column, ry: Column, rx: Column) -> list[list[Column]]:
@@ -39,46 +39,67 @@ def with_matrix(poses: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return with_inverse.withColumns({f"o{r}": F.lit(centre[r]) - turned[r] for r in range(3)})
 
 
-def source_points(grid: DataFrame, matrices: DataFrame) -> DataFrame:
-    """For every voxel of the output grid and every pose, where it lies in the input: s0, s1, s2."""
-    both = grid.crossJoin(F.broadcast(matrices))  # poses are parameters, a few rows
-    return both.withColumns({f"s{r}": F.col(f"i{r}0") * F.col("z") + F.col(f"i{r}1") * F.col("y") + F.col(f"i{r}2") * F.col("x") + F.col(f"o{r}") for r in range(3)})
+def inverted(matrices: DataFrame) -> DataFrame:
+    """The matrices (i00 to i22, o0 to o2) of the maps that undo those given; other columns stay."""
+    turned = {f"i{r}{c}": F.col(f"i{c}{r}") for r in range(3) for c in range(3)}
+    moved = {f"o{r}": -sum((F.col(f"i{c}{r}") * F.col(f"o{c}") for c in range(1, 3)), F.col(f"i0{r}") * F.col("o0")) for r in range(3)}
+    return matrices.withColumns(turned | moved)
+
 
+def source_of(voxel: list[Column]) -> list[Column]:
+    """Where output voxels lie in the input, to DIGITS digits, so that places meant to be whole are."""
+    return [F.round(F.col(f"i{r}0") * voxel[0] + F.col(f"i{r}1") * voxel[1] + F.col(f"i{r}2") * voxel[2] + F.col(f"o{r}"), DIGITS) for r in range(3)]
 
-def grid_of(spark, shape: tuple[int, int, int]) -> DataFrame:
-    z, y, x = shape
-    i = F.col("id")
-    return spark.range(z * y * x).select(F.floor(i / (y * x)).cast("int").alias("z"), (F.floor(i / x) % y).cast("int").alias("y"), (i % x).cast("int").alias("x"))
 
+def spread(voxels: DataFrame, matrices: DataFrame, on: list[str], shape: tuple[int, int, int], reach: float) -> DataFrame:
+    """Each voxel under each pose with the output voxels (tz, ty, tx) whose source point (s0, s1, s2) is no further than
+    ``reach`` from it on any axis and within the input grid.
 
-def warp_nearest(mask: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Output voxels whose source point, rounded, is a voxel of the mask."""
-    at = points.select(*keys, *VOXEL, *[F.floor(F.col(f"s{r}") + 0.5).cast("int").alias(f"n{r}") for r in range(3)])
-    source = mask.select(*[F.col(c).alias(f"n{r}") for r, c in enumerate(VOXEL)]).distinct()
-    return at.join(source, ["n0", "n1", "n2"], "left_semi").select(*keys, *VOXEL)
+    A voxel's surroundings go where the pose takes its centre, in a box as wide as a turned cube; the grid is never listed.
+    """
+    rows = voxels.join(matrices, on)
+    away = [F.col(c) - F.col(f"o{r}") for r, c in enumerate(VOXEL)]
+    for axis, name in enumerate(VOXEL):
+        centre = F.col(f"i0{axis}") * away[0] + F.col(f"i1{axis}") * away[1] + F.col(f"i2{axis}") * away[2]
+        half = (F.abs(F.col(f"i0{axis}")) + F.abs(F.col(f"i1{axis}")) + F.abs(F.col(f"i2{axis}"))) * reach + 10.0**-DIGITS
+        first, last = F.greatest(F.lit(0), F.ceil(centre - half).cast("int")), F.least(F.lit(shape[axis] - 1), F.floor(centre + half).cast("int"))
+        rows = rows.withColumns({"_first": first, "_last": last}).filter("_first <= _last").withColumn(f"t{name}", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    placed = rows.withColumns({f"s{r}": s for r, s in enumerate(source_of([F.col(f"t{c}") for c in VOXEL]))})
+    near = F.lit(True)
+    for r, name in enumerate(VOXEL):
+        near = near & F.col(f"s{r}").between(0, shape[r] - 1) & (F.abs(F.col(f"s{r}") - F.col(name)) <= reach)
+    return placed.filter(near)
+
+
+def warp_nearest(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """(keys, z, y, x): output voxels whose source point, rounded half up, is a voxel of the mask; outside the grid is background.
+
+    ``matrices`` (of ``with_matrix``) has a row for each pose of each ``on``; ``keys`` name mask and pose. Masks hold a voxel once.
+    """
+    near = F.lit(True)
+    for r, name in enumerate(VOXEL):
+        near = near & (F.floor(F.col(f"s{r}") + 0.5) == F.col(name))
+    return spread(masks, matrices, on, shape, 0.5).filter(near).select(*keys, *[F.col(f"t{c}").alias(c) for c in VOXEL])
 
 
-def warp_linear(mask: DataFrame, points: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
-    """(keys, z, y, x, value): trilinear interpolation of the mask at every source point that any of its voxels touches."""
-    base = points.select(*keys, *VOXEL, *[F.floor(f"s{r}").cast("int").alias(f"b{r}") for r in range(3)], *[(F.col(f"s{r}") - F.floor(f"s{r}")).alias(f"w{r}") for r in range(3)])
-    corners = F.array(*[F.struct(*[F.lit(o).alias(f"d{r}") for r, o in enumerate(c)]) for c in product((0, 1), repeat=3)])
-    spread = base.withColumn("c", F.explode(corners))
-    weight = lambda r: F.when(F.col(f"c.d{r}") == 1, F.col(f"w{r}")).otherwise(1 - F.col(f"w{r}"))
-    at = spread.select(*keys, *VOXEL, *[(F.col(f"b{r}") + F.col(f"c.d{r}")).alias(f"n{r}") for r in range(3)], (weight(0) * weight(1) * weight(2)).alias("weight"))
-    source = mask.select(*[F.col(c).alias(f"n{r}") for r, c in enumerate(VOXEL)]).distinct()
-    return at.join(source, ["n0", "n1", "n2"]).groupBy(*keys, *VOXEL).agg(F.round(F.sum("weight"), digits).alias("value"))
+def warp_linear(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int], digits: int = 9) -> DataFrame:
+    """(keys, z, y, x, value): trilinear interpolation of the masks wherever it isn't zero; source points outside the grid give none."""
+    weight = F.lit(1.0)
+    for r, name in enumerate(VOXEL):
+        weight = weight * (1 - F.abs(F.col(f"s{r}") - F.col(name)))
+    shares = spread(masks, matrices, on, shape, 1.0).withColumn("_weight", weight).filter("_weight > 0")
+    return shares.groupBy(*keys, *[F.col(f"t{c}").alias(c) for c in VOXEL]).agg(F.round(F.sum("_weight"), digits).alias("value"))
 
 
-def warp_binary(mask: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """The linearly warped mask where it is above one half."""
-    return warp_linear(mask, points, keys).filter("value > 0.5").select(*keys, *VOXEL)
+def warp_binary(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """The linearly warped masks where they are above one half."""
+    return warp_linear(masks, matrices, on, keys, shape).filter("value > 0.5").select(*keys, *VOXEL)
 
 
-def inverse_poses(points: DataFrame, matrices: DataFrame) -> DataFrame:
-    """Where input voxels go: out = R (in - offset), by the forward rotation of each pose."""
-    both = points.crossJoin(F.broadcast(matrices))
+def moved_points(points: DataFrame, matrices: DataFrame, on: list[str]) -> DataFrame:
+    """Where input voxels go under each pose: out = R (in - offset), as s0, s1, s2."""
     moved = [F.col(c) - F.col(f"o{r}") for r, c in enumerate(VOXEL)]
-    return both.withColumns({f"s{r}": F.col(f"i0{r}") * moved[0] + F.col(f"i1{r}") * moved[1] + F.col(f"i2{r}") * moved[2] for r in range(3)})
+    return points.join(matrices, on).withColumns({f"s{r}": F.col(f"i0{r}") * moved[0] + F.col(f"i1{r}") * moved[1] + F.col(f"i2{r}") * moved[2] for r in range(3)})
 
 
 def grid_from_slices(slices: DataFrame, key: str) -> DataFrame:

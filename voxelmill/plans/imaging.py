@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelmill.operators import cohorts, geometry, histories, intensity, masks, registration
 from voxelmill.sources import views
 from voxelmill.sources.tables import table
-from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, RAW_CATALOGUE, SERIES, STUDIES
+from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, RAW_CATALOGUE, SERIES, SOLID_MASKS, STUDIES
 
 SPACING = (1.0, 0.5, 0.5)
 SHAPE = {"z": 51, "y": 11, "x": 9}
@@ -110,40 +110,93 @@ def series_lists(spark, d):
     return lists.select("name", F.size("series").alias("n_series"), F.array_join(F.transform("series", lambda s: s["row"].cast("string")), "|").alias("rows"), F.array_join(F.transform("series", lambda s: s["phase"]), "|").alias("phases"))
 
 
-def matrices(spark):
-    return geometry.with_matrix(spark.createDataFrame(POSES, "pose string, tz double, ty double, tx double, rz double, ry double, rx double"), GRID)
+ANGLES = {"rz": 0.02, "ry": -0.03, "rx": 0.05}
+
+
+def posed(volumes, shape=GRID):
+    """(volume, pose and its matrix): every volume under each of POSES."""
+    names = ("pose", *geometry.SHIFTS, *geometry.ANGLES)
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in POSES]))
+    return geometry.with_matrix(volumes.select("volume").distinct().select("volume", each.alias("p")).select("volume", "p.*"), shape)
+
+
+def start_poses(spark, d):
+    """(volume and the matrix of its start pose): the centroids' shift with some rotation by volume."""
+    shift = rounded(masks.centroid_shift(views.solid_masks(spark, d), "F", "O"), 6, *geometry.SHIFTS)
+    turned = {a: step * (F.col("volume") % (3 + k) - 1) for k, (a, step) in enumerate(ANGLES.items())}
+    return geometry.with_matrix(shift.withColumns(turned), GRID)
 
 
 def rigid_matrix(spark, d):
+    """The start pose of every volume as a matrix and an offset."""
     names = [f"i{r}{c}" for r in range(3) for c in range(3)] + [f"o{r}" for r in range(3)]
-    return matrices(spark).select("pose", *[(F.round(n, 9) + 0.0).alias(n) for n in names])
+    return start_poses(spark, d).select("volume", *[(F.round(n, 6) + 0.0).alias(n) for n in names])
 
 
 def warp(linear: bool):
     def query(spark, d):
-        mask = views.dense_masks(spark, d).filter("side = 'F'").select("z", "y", "x")
-        points = geometry.source_points(geometry.grid_of(spark, GRID), matrices(spark)).withColumns({f"s{r}": F.round(f"s{r}", 6) for r in range(3)})
-        found = geometry.warp_linear(mask, points, ["pose"], 6) if linear else geometry.warp_nearest(mask, points, ["pose"])
-        return found
+        both, keys = views.dense_masks(spark, d), ["side", "pose"]
+        return geometry.warp_linear(both, posed(both), ["volume"], keys, GRID, 6) if linear else geometry.warp_nearest(both, posed(both), ["volume"], keys, GRID)
 
     return query
 
 
-def matrix_sql() -> str:
-    rows = ", ".join(f"('{n}', {', '.join(map(str, v))})" for n, *v in POSES)
-    cells = ["cos(rz)*cos(ry)", "cos(rz)*sin(ry)*sin(rx)-sin(rz)*cos(rx)", "cos(rz)*sin(ry)*cos(rx)+sin(rz)*sin(rx)", "sin(rz)*cos(ry)", "sin(rz)*sin(ry)*sin(rx)+cos(rz)*cos(rx)", "sin(rz)*sin(ry)*cos(rx)-cos(rz)*sin(rx)", "-sin(ry)", "cos(ry)*sin(rx)", "cos(ry)*cos(rx)"]
-    inverse = ", ".join(f"{cells[c * 3 + r]} AS i{r}{c}" for r in range(3) for c in range(3))
+def warp_binary(inverse: bool):
+    def query(spark, d):
+        """Every volume's moving mask laid onto the fixed one, or its fixed mask taken back."""
+        matrices = start_poses(spark, d)
+        side = views.solid_masks(spark, d).filter(F.col("side") == ("F" if inverse else "O"))
+        return geometry.warp_binary(side, geometry.inverted(matrices) if inverse else matrices, ["volume"], ["volume"], GRID)
+
+    return query
+
+
+CELLS = ["cos(rz)*cos(ry)", "cos(rz)*sin(ry)*sin(rx)-sin(rz)*cos(rx)", "cos(rz)*sin(ry)*cos(rx)+sin(rz)*sin(rx)", "sin(rz)*cos(ry)", "sin(rz)*sin(ry)*sin(rx)+cos(rz)*cos(rx)", "sin(rz)*sin(ry)*cos(rx)-cos(rz)*sin(rx)", "-sin(ry)", "cos(ry)*sin(rx)", "cos(ry)*cos(rx)"]
+
+
+def matrices_of(poses: str) -> str:
+    inverse = ", ".join(f"{CELLS[c * 3 + r]} AS i{r}{c}" for r in range(3) for c in range(3))
     centre = [n / 2 for n in GRID]
     offsets = ", ".join(f"{centre[r]} - (" + " + ".join(f"i{r}{c} * ({centre[c]} + {t})" for c, t in enumerate(("tz", "ty", "tx"))) + f") AS o{r}" for r in range(3))
+    return f"inv AS (SELECT *, {inverse} FROM {poses}), mat AS (SELECT *, {offsets} FROM inv)"
+
+
+def matrix_sql() -> str:
+    rows = ", ".join(f"('{n}', {', '.join(map(str, v))})" for n, *v in POSES)
     return f"""poses AS (SELECT pose, tz::DOUBLE AS tz, ty::DOUBLE AS ty, tx::DOUBLE AS tx, rz::DOUBLE AS rz, ry::DOUBLE AS ry, rx::DOUBLE AS rx FROM (VALUES {rows}) v(pose, tz, ty, tx, rz, ry, rx)),
-inv AS (SELECT *, {inverse} FROM poses), mat AS (SELECT *, {offsets} FROM inv)"""
+{matrices_of("poses")}"""
+
+
+def start_sql() -> str:
+    """Centroids' shifts of the solid masks with some rotation, and their matrices."""
+    shifts = ", ".join(f"round(avg({a}) FILTER (side = 'F') - avg({a}) FILTER (side = 'O'), 6) AS t{a}" for a in "zyx")
+    turns = ", ".join(f"{step}::DOUBLE * (volume % {3 + k} - 1) AS {a}" for k, (a, step) in enumerate(ANGLES.items()))
+    return f"""{SOLID_MASKS}, starts AS (SELECT volume, {shifts}, {turns} FROM solid GROUP BY volume HAVING count(DISTINCT side) = 2), {matrices_of("starts")}"""
+
+
+def inverted_sql() -> str:
+    cells = ", ".join(f"i{c}{r} AS i{r}{c}" for r in range(3) for c in range(3))
+    offsets = ", ".join("-(" + " + ".join(f"i{c}{r} * o{c}" for c in range(3)) + f") AS o{r}" for r in range(3))
+    return f"back AS (SELECT volume, {cells}, {offsets} FROM mat)"
 
 
-def points_sql() -> str:
+def points_sql(matrices: str = "mat") -> str:
+    """Every voxel of the grid under every matrix with its source point, where that is within the grid."""
     z, y, x = GRID
     at = ", ".join(f"round(i{r}0 * z + i{r}1 * y + i{r}2 * x + o{r}, 6) AS s{r}" for r in range(3))
-    return f"""{matrix_sql()}, grid AS (SELECT z, y, x FROM (SELECT CAST(unnest(range({z})) AS INTEGER) AS z), (SELECT CAST(unnest(range({y})) AS INTEGER) AS y), (SELECT CAST(unnest(range({x})) AS INTEGER) AS x)),
-points AS (SELECT pose, z, y, x, {at} FROM grid, mat), mask AS (SELECT z, y, x FROM dense WHERE side = 'F')"""
+    inside = " AND ".join(f"s{r} BETWEEN 0 AND {n - 1}" for r, n in enumerate(GRID))
+    return f"""grid AS (SELECT z, y, x FROM (SELECT CAST(unnest(range({z})) AS INTEGER) AS z), (SELECT CAST(unnest(range({y})) AS INTEGER) AS y), (SELECT CAST(unnest(range({x})) AS INTEGER) AS x)),
+points AS (SELECT * FROM (SELECT {matrices}.*, grid.*, {at} FROM grid, {matrices}) WHERE {inside})"""
+
+
+CORNERS = """(SELECT *, CAST(floor(s0) + i AS INTEGER) AS n0, CAST(floor(s1) + j AS INTEGER) AS n1, CAST(floor(s2) + k AS INTEGER) AS n2,
+  (CASE i WHEN 1 THEN s0 - floor(s0) ELSE 1 - (s0 - floor(s0)) END) * (CASE j WHEN 1 THEN s1 - floor(s1) ELSE 1 - (s1 - floor(s1)) END) * (CASE k WHEN 1 THEN s2 - floor(s2) ELSE 1 - (s2 - floor(s2)) END) AS w
+  FROM points, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k))"""
+
+
+def binary_sql(side: str, matrices: str) -> str:
+    return f"""{points_sql(matrices)}, c AS (SELECT * FROM {CORNERS} WHERE w > 0)
+SELECT c.volume, c.z, c.y, c.x FROM c JOIN solid m ON c.volume = m.volume AND m.side = '{side}' AND n0 = m.z AND n1 = m.y AND n2 = m.x GROUP BY ALL HAVING round(sum(w), 9) > 0.5"""
 
 
 def largest_component(spark, d):
@@ -220,6 +273,8 @@ QUERIES = {
     "rigid_matrix": rigid_matrix,
     "warp_nearest": warp(False),
     "warp_linear": warp(True),
+    "warp_binary": warp_binary(False),
+    "warp_back": warp_binary(True),
     "largest_component": largest_component,
     "registration_grid": registration_grid,
 }
@@ -288,10 +343,10 @@ SELECT name, CAST(count(*) AS INTEGER) AS n_series, string_agg(CAST(row AS VARCH
     "z_gaps": f"""WITH {MASKS}, g AS (SELECT volume, side, z - lead(z) OVER w AS gap, first_value(z) OVER w - nth_value(z, 2) OVER (PARTITION BY volume, side ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT DISTINCT volume, side, z FROM vox) WINDOW w AS (PARTITION BY volume, side ORDER BY z DESC))
 SELECT volume, side, round(avg(gap), 6) AS mean_gap, min(gap) AS min_gap, max(gap) AS max_gap, max(top) AS first_gap, coalesce(bool_and(abs(gap - top) <= 0.01 + 0.00001 * abs(top)), true) AS uniform FROM g GROUP BY volume, side""",
     "median_index": f"WITH {MASKS} SELECT volume, CAST(trunc(median(z)) AS INTEGER) AS index FROM vox GROUP BY volume",
-    "rigid_matrix": f"WITH {matrix_sql()} SELECT pose, " + ", ".join(f"round({n}, 9) + 0.0 AS {n}" for n in [*(f"i{r}{c}" for r in range(3) for c in range(3)), "o0", "o1", "o2"]) + " FROM mat",
-    "warp_nearest": f"WITH {DENSE_MASKS}, {points_sql()} SELECT pose, p.z, p.y, p.x FROM points p SEMI JOIN mask m ON floor(s0 + 0.5) = m.z AND floor(s1 + 0.5) = m.y AND floor(s2 + 0.5) = m.x",
-    "warp_linear": f"""WITH {DENSE_MASKS}, {points_sql()}, c AS (SELECT pose, z, y, x, floor(s0) + i AS n0, floor(s1) + j AS n1, floor(s2) + k AS n2,
-  (CASE i WHEN 1 THEN s0 - floor(s0) ELSE 1 - (s0 - floor(s0)) END) * (CASE j WHEN 1 THEN s1 - floor(s1) ELSE 1 - (s1 - floor(s1)) END) * (CASE k WHEN 1 THEN s2 - floor(s2) ELSE 1 - (s2 - floor(s2)) END) AS w
-  FROM points, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k))
-SELECT pose, c.z, c.y, c.x, round(sum(w), 6) AS value FROM c JOIN mask m ON n0 = m.z AND n1 = m.y AND n2 = m.x GROUP BY ALL""",
+    "rigid_matrix": f"WITH {start_sql()} SELECT volume, " + ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in [*(f"i{r}{c}" for r in range(3) for c in range(3)), "o0", "o1", "o2"]) + " FROM mat",
+    "warp_nearest": f"WITH {DENSE_MASKS}, {matrix_sql()}, {points_sql()} SELECT side, pose, p.z, p.y, p.x FROM points p JOIN dense m ON floor(s0 + 0.5) = m.z AND floor(s1 + 0.5) = m.y AND floor(s2 + 0.5) = m.x",
+    "warp_linear": f"""WITH {DENSE_MASKS}, {matrix_sql()}, {points_sql()}, c AS {CORNERS}
+SELECT side, pose, c.z, c.y, c.x, round(sum(w), 6) AS value FROM c JOIN dense m ON n0 = m.z AND n1 = m.y AND n2 = m.x WHERE w > 0 GROUP BY ALL""",
+    "warp_binary": f"WITH {start_sql()}, {binary_sql('O', 'mat')}",
+    "warp_back": f"WITH {start_sql()}, {inverted_sql()}, {binary_sql('F', 'back')}",
 }

@@ -141,10 +141,10 @@ SELECT volume, round(min(2.0::DOUBLE * n_both / (n_a + n_b)), 4) AS min_dsc, rou
 
 
 def inverse_warp(spark, d):
-    """Where the voxels of a mask go under the inverse of each pose."""
-    voxels = views.dense_masks(spark, d).filter("side = 'F'").select(*AXES)
-    moved = geometry.inverse_poses(voxels, imaging.matrices(spark))
-    return moved.select("pose", *AXES, *[(F.round(f"s{r}", 6) + 0.0).alias(f"s{r}") for r in range(3)])
+    """Where the voxels of both masks go under each pose."""
+    voxels = views.dense_masks(spark, d)
+    moved = geometry.moved_points(voxels, imaging.posed(voxels), ["volume"])
+    return moved.select("side", "pose", *AXES, *[(F.round(f"s{r}", 6) + 0.0).alias(f"s{r}") for r in range(3)])
 
 
 def phase_shapes(spark, d):
@@ -285,5 +285,5 @@ n AS (SELECT volume, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_
 SELECT volume, n_a, n_b, round(2.0::DOUBLE * n_both / (n_a + n_b), 6) AS dsc, round((CAST(n_a AS DOUBLE) - n_b) / nullif(n_b, 0), 6) AS rvd FROM n""",
     "metric_bundle": f"SELECT volume, dsc, assd, hd, hd95, nsd FROM (SELECT volume, dsc FROM ({imaging.ORACLE_SQL['mask_overlap']}) WHERE volume >= 0) LEFT JOIN ({imaging.ORACLE_SQL['surface_metrics']}) USING (volume)",
     "pair_extremes": extremes_sql(),
-    "inverse_warp": f"""WITH {imaging.matrix_sql()}, {DENSE_MASKS} SELECT pose, z, y, x, {', '.join(f'round(i0{r} * (z - o0) + i1{r} * (y - o1) + i2{r} * (x - o2), 6) + 0.0 AS s{r}' for r in range(3))} FROM dense, mat WHERE side = 'F'""",
+    "inverse_warp": f"""WITH {imaging.matrix_sql()}, {DENSE_MASKS} SELECT side, pose, z, y, x, {', '.join(f'round(i0{r} * (z - o0) + i1{r} * (y - o1) + i2{r} * (x - o2), 6) + 0.0 AS s{r}' for r in range(3))} FROM dense, mat""",
 }

@@ -59,6 +59,15 @@ DENSE_MASKS = f"""dense_n AS (SELECT l_linestatus AS side, {VOXEL}, count(*) AS
 dense AS (SELECT CAST(0 AS BIGINT) AS volume, side, z, y, x FROM dense_n WHERE n * {DENSE_PARTS} >= (SELECT count(*) FROM lineitem))"""
 
 
+def solid_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """(volume, side, z, y, x): the masks of ``masks`` with all between the lowest and the highest voxel of each column."""
+    ends = masks(spark, folder).groupBy("volume", "side", "y", "x").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    return ends.select("volume", "side", F.explode(F.sequence("low", "high")).alias("z"), "y", "x")
+
+
+SOLID_MASKS = f"""{MASKS}, solid AS (SELECT volume, side, CAST(unnest(range(low, high + 1)) AS INTEGER) AS z, y, x FROM (SELECT volume, side, y, x, min(z) AS low, max(z) AS high FROM vox GROUP BY ALL))"""
+
+
 def labelled_voxels(spark: SparkSession, folder: str) -> DataFrame:
     """(volume, z, y, x, label): label 2 for returned rows, 1 for the others; voxels may have both."""
     label = F.when(F.col("l_returnflag") == "R", 2).otherwise(1)
