@@ -31,6 +31,8 @@ STRETCH_BYTES = 1 << 20
 #: What ends a piece becomes a full stop, which no word holds.
 TO_WORDS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 END = 0
+#: Pairs are counted by hashes of so many bits.
+HASH_BITS = 48
 #: A single word is looked up in so many places, since many phrases begin or end with it.
 SALTS = 16
 
@@ -57,6 +59,16 @@ def words_of(raw: bytes) -> Iterator[list[bytes]]:
     yield [b"."]
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids compressed by their bytes' places: all lowest bytes first, then the next ones."""
+    return pa.compress(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, size).T).view(np.int32).ravel()
+
+
 class Shard:
     """Words of one language that haven't been handed on yet."""
 
@@ -68,19 +80,19 @@ class Shard:
         self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def close(self) -> tuple[int, bytes, bytes, list[bytes]]:
-        """(number of starts, ids, words in the order of their ids, words that the next shard begins with).
+    def close(self) -> tuple[int, int, bytes, bytes, list[bytes]]:
+        """(number of starts, of ids, ids, words in the order of their ids, words that the next shard begins with).
 
         Phrases that begin in the last words of an unfinished piece reach into the next shard and are counted there.
         """
         ids, words = np.concatenate(self.parts), list(self.ids)
         tail = 0 if not len(ids) or ids[-1] == END else min(LONGEST - 1, len(ids))
         starts = len(ids) - tail
-        return starts, ids.tobytes(), b" ".join(words), [words[i] for i in ids[starts:]]
+        return starts, len(ids), packed(ids), b" ".join(words), [words[i] for i in ids[starts:]]
 
 
 def word_shards(docs: DataFrame) -> DataFrame:
-    """(shard, lang, starts, ids, words): the words of all texts by language, about SHARD_WORDS in each row."""
+    """(shard, lang, starts, size, ids, words): the words of all texts by language, about SHARD_WORDS in each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
@@ -90,11 +102,11 @@ def word_shards(docs: DataFrame) -> DataFrame:
             nonlocal number
             if number >> NUMBER_BITS:
                 raise ValueError("a task has too many shards; read the table in smaller partitions")
-            starts, ids, words, tail = held.pop(lang).close()
+            starts, size, ids, words, tail = held.pop(lang).close()
             if goes_on:
                 held[lang] = Shard(tail)
             shard, number = (partition << NUMBER_BITS) | number, number + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int64()), (lang, pa.string()), (starts, pa.int32()), (ids, pa.binary()), (words, pa.binary()))], names=["shard", "lang", "starts", "ids", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int64()), (lang, pa.string()), (starts, pa.int32()), (size, pa.int32()), (ids, pa.binary()), (words, pa.binary()))], names=["shard", "lang", "starts", "size", "ids", "words"])
 
         for batch in batches:
             for text, lang in zip(batch.column("text").cast(pa.binary()), batch.column("lang").to_pylist(), strict=True):
@@ -107,7 +119,7 @@ def word_shards(docs: DataFrame) -> DataFrame:
         yield from [row(lang, False) for lang in list(held)]
 
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    return small_batches(texts).mapInArrow(run, "shard long, lang string, starts int, ids binary, words binary")
+    return small_batches(texts).mapInArrow(run, "shard long, lang string, starts int, size int, ids binary, words binary")
 
 
 def reach(ids: np.ndarray) -> np.ndarray:
@@ -155,7 +167,7 @@ def pair_counts(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int32)
+                ids = unpacked(row["ids"], row["size"])
                 seed = xxhash.xxh64_intdigest(row["lang"])
                 hashed = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in row["words"].split(b" ")), np.uint64)
                 at = np.flatnonzero(reach(ids) >= 2)
@@ -164,8 +176,8 @@ def pair_counts(shards: DataFrame) -> DataFrame:
                 first = order[begins]
                 counted = np.concatenate([[0], np.cumsum(order < row["starts"])])
                 n = counted[np.append(begins[1:], len(order))] - counted[begins] if len(order) else begins
-                keys = mix(mix(hashed[ids[first]]) * np.uint64(0xD6E8FEB86659FD93) + hashed[ids[first + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((row["shard"] << PLACE_BITS) | first.astype(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "place", "n"])
+                keys = mix(mix(hashed[ids[first]]) * np.uint64(0xD6E8FEB86659FD93) + hashed[ids[first + 1]]) >> np.uint64(64 - HASH_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array((row["shard"] << PLACE_BITS) | first.astype(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "place", "n"])
 
     return shards.mapInArrow(run, "hash long, place long, n long")
 
@@ -176,7 +188,7 @@ def phrase_counts(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, starts = np.frombuffer(row["ids"], np.int32), row["starts"]
+                ids, starts = unpacked(row["ids"], row["size"]), row["starts"]
                 words = pa.array(row["words"].split(b" ")).cast(pa.string())
                 n = np.bincount(ids[:starts], minlength=len(words))
                 used = np.flatnonzero(n)
