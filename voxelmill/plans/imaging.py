@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelmill.operators import cohorts, geometry, histories, intensity, masks, registration
+from voxelmill.operators import cohorts, fields, geometry, histories, intensity, masks, registration
 from voxelmill.sources import views
 from voxelmill.sources.tables import table
 from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, RAW_CATALOGUE, SERIES, SOLID_MASKS, STUDIES
@@ -151,6 +151,53 @@ def warp_binary(inverse: bool):
     return query
 
 
+AIR = -1000.0
+
+
+def tomograms(spark, d):
+    """(volume, side, z, y, x, value): mean prices by voxel as two dense volumes; places without any are air."""
+    rows = table(spark, d, "lineitem").select(F.lit(0).cast("long").alias("volume"), F.col("l_linestatus").alias("side"), *views.voxel_columns(), "l_extendedprice")
+    return rows.groupBy("volume", "side", "z", "y", "x").agg(F.expr("CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) div (count(*) * 10000) - 200 AS DOUBLE)").alias("value"))
+
+
+TOMOGRAMS = f"ct AS (SELECT CAST(0 AS BIGINT) AS volume, l_linestatus AS side, {views.VOXEL}, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // (count(*) * 10000) - 200 AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+
+
+def warp_cubic(spark, d):
+    """Both dense masks as continuous fields under every pose."""
+    both = views.dense_masks(spark, d).withColumn("value", F.lit(1.0))
+    return fields.warp_cubic(both, posed(both), ["volume"], ["volume", "side"], GRID).drop("volume")
+
+
+def warp_tomogram(spark, d):
+    """Both volumes of prices under every pose, with air outside."""
+    both = tomograms(spark, d)
+    return fields.warp_cubic(both, posed(both), ["volume"], ["volume", "side"], GRID, AIR, 4).drop("volume")
+
+
+def cubic_sql(field: str, background: float, digits: int) -> str:
+    """Spline coefficients by their closed form (mirrored powers of the pole), axis by axis, and 64 of them at every point."""
+    pole, passes, source = fields.POLE, [], "field"
+    for axis, n in zip("zyx", GRID, strict=True):
+        period = 2 * (n - 1)
+        other = ", ".join(c for c in "zyx" if c != axis)
+        power = lambda e: f"pow({pole}::DOUBLE, ({e})::DOUBLE)"  # noqa: E731, B023
+        weight = f"({power('abs(k - j)')} + {power(f'{period} - abs(k - j)')} + {power('k + j')} + {power(f'{period} - (k + j)')}) / (1 - {power(str(period))}) * (CASE WHEN j = 0 OR j = {n - 1} THEN 0.5 ELSE 1 END) * {-6 * pole / (1 - pole * pole)}::DOUBLE"
+        passes.append(f"w{axis} AS (SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, {weight} AS w FROM (SELECT unnest(range({n})) AS k), (SELECT unnest(range({n})) AS j))")
+        passes.append(f"c{axis} AS (SELECT side, {other}, k AS {axis}, sum(value * w) AS value FROM {source} JOIN w{axis} ON {axis} = j GROUP BY ALL)")
+        source = f"c{axis}"
+    basis = lambda s, i: {0: f"pow(1 - f{s}, 3) / 6", 1: f"(4 - 6 * pow(f{s}, 2) + 3 * pow(f{s}, 3)) / 6", 2: f"(1 + 3 * f{s} + 3 * pow(f{s}, 2) - 3 * pow(f{s}, 3)) / 6", 3: f"pow(f{s}, 3) / 6"}[i]
+    weights = " * ".join(f"(CASE i{s} " + " ".join(f"WHEN {i} THEN {basis(s, i)}" for i in range(4)) + " END)" for s in range(3))
+    at = lambda s, n: f"CAST({n - 1} - abs({n - 1} - abs(floor(s{s}) + i{s} - 1)) AS INTEGER)"
+    return f"""WITH {field}, {matrix_sql()}, {points_sql()}, {", ".join(passes)},
+offs AS (SELECT * FROM {", ".join(f"(SELECT unnest([0, 1, 2, 3]) AS i{s})" for s in range(3))}),
+parts AS (SELECT *, {", ".join(f"s{s} - floor(s{s}) AS f{s}" for s in range(3))} FROM points),
+asked AS (SELECT pose, z, y, x, {", ".join(f"{at(s, n)} AS n{s}" for s, n in enumerate(GRID))}, {weights} AS w FROM parts, offs),
+sums AS (SELECT side, pose, a.z, a.y, a.x, sum(a.w * c.value) AS value FROM asked a JOIN cx c ON a.n0 = c.z AND a.n1 = c.y AND a.n2 = c.x GROUP BY ALL)
+SELECT side, pose, g.z, g.y, g.x, round(coalesce(s.value, 0.0) + {background}::DOUBLE, {digits}) + 0.0 AS value
+FROM (SELECT * FROM (SELECT DISTINCT side FROM field), (SELECT pose FROM poses), grid) g LEFT JOIN sums s USING (side, pose, z, y, x)"""
+
+
 CELLS = ["cos(rz)*cos(ry)", "cos(rz)*sin(ry)*sin(rx)-sin(rz)*cos(rx)", "cos(rz)*sin(ry)*cos(rx)+sin(rz)*sin(rx)", "sin(rz)*cos(ry)", "sin(rz)*sin(ry)*sin(rx)+cos(rz)*cos(rx)", "sin(rz)*sin(ry)*cos(rx)-cos(rz)*sin(rx)", "-sin(ry)", "cos(ry)*sin(rx)", "cos(ry)*cos(rx)"]
 
 
@@ -199,6 +246,20 @@ def binary_sql(side: str, matrices: str) -> str:
 SELECT c.volume, c.z, c.y, c.x FROM c JOIN solid m ON c.volume = m.volume AND m.side = '{side}' AND n0 = m.z AND n1 = m.y AND n2 = m.x GROUP BY ALL HAVING round(sum(w), 9) > 0.5"""
 
 
+def soft_dice_sql() -> str:
+    """Kernels by axis as sums over the mirrored images of each source, and three joins with them."""
+    radius, passes, source = int(fields.TRUNCATE * fields.SIGMA + 0.5), [], "vox1"
+    for axis, n in zip("zyx", GRID, strict=True):
+        other = ", ".join(c for c in "zyx" if c != axis)
+        passes.append(f"""bell{axis} AS (SELECT CAST(t AS INTEGER) AS t, least((t + k + {20 * n}) % {2 * n}, {2 * n - 1} - (t + k + {20 * n}) % {2 * n}) AS s, exp(-0.5 * k * k / {fields.SIGMA ** 2}) AS w FROM (SELECT unnest(range({n})) AS t), (SELECT unnest(range({-radius}, {radius + 1})) AS k)),
+k{axis} AS (SELECT t, s, sum(w) / (SELECT sum(w) FROM bell{axis} WHERE t = 0) AS w FROM bell{axis} GROUP BY t, s)""")
+        passes.append(f"g{axis} AS (SELECT volume, side, {other}, t AS {axis}, sum(value * w) AS value FROM {source} JOIN k{axis} ON {axis} = s GROUP BY ALL)")
+        source = f"g{axis}"
+    return f"""WITH {MASKS}, vox1 AS (SELECT *, 1.0::DOUBLE AS value FROM vox), {", ".join(passes)},
+pq AS (SELECT volume, z, y, x, coalesce(sum(value) FILTER (side = 'F'), 0) AS p, coalesce(sum(value) FILTER (side = 'O'), 0) AS q FROM gx GROUP BY ALL)
+SELECT volume, round(1 - 2 * sum(p * q) / (sum(p) + sum(q)), 6) AS soft_dice_loss FROM pq GROUP BY volume"""
+
+
 def largest_component(spark, d):
     return geometry.largest_component(views.dense_masks(spark, d).withColumn("volume", F.col("side")), "volume")
 
@@ -275,6 +336,9 @@ QUERIES = {
     "warp_linear": warp(True),
     "warp_binary": warp_binary(False),
     "warp_back": warp_binary(True),
+    "warp_cubic": warp_cubic,
+    "warp_tomogram": warp_tomogram,
+    "soft_dice": lambda s, d: rounded(fields.soft_dice(views.masks(s, d), "F", "O", GRID), 6, "soft_dice_loss"),
     "largest_component": largest_component,
     "registration_grid": registration_grid,
 }
@@ -349,4 +413,7 @@ SELECT volume, side, round(avg(gap), 6) AS mean_gap, min(gap) AS min_gap, max(ga
 SELECT side, pose, c.z, c.y, c.x, round(sum(w), 6) AS value FROM c JOIN dense m ON n0 = m.z AND n1 = m.y AND n2 = m.x WHERE w > 0 GROUP BY ALL""",
     "warp_binary": f"WITH {start_sql()}, {binary_sql('O', 'mat')}",
     "warp_back": f"WITH {start_sql()}, {inverted_sql()}, {binary_sql('F', 'back')}",
+    "warp_cubic": cubic_sql(f"{DENSE_MASKS}, field AS (SELECT side, z, y, x, 1.0::DOUBLE AS value FROM dense)", 0.0, 6),
+    "warp_tomogram": cubic_sql(f"{TOMOGRAMS}, field AS (SELECT side, z, y, x, value + 1000.0 AS value FROM ct)", AIR, 4),
+    "soft_dice": soft_dice_sql(),
 }
