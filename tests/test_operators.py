@@ -7,32 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.functions import tails
 from voxelmill.operators import block_statistics as bs
 from voxelmill.operators import cohorts, geometry, grids, masks, series
 
 VOXELS = "volume long, side string, z int, y int, x int"
 
 
-@pytest.mark.parametrize("plus, n", [(0, 0), (3, 5), (9, 9), (10, 12)])
-def test_sign_tail_counts_all_ways(plus, n):
-    assert tails.sign_tail(plus, n) == pytest.approx(sum(math.comb(n, k) for k in range(plus, n + 1)) / 2**n)
-
-
-@pytest.mark.parametrize("x, df", [(0.5, 2), (3.0, 2), (11.0, 2)])
-def test_chi2_tail_with_two_degrees_is_exponential(x, df):
-    assert tails.chi2_tail(x, df) == pytest.approx(math.exp(-x / 2), rel=1e-9)
-
-
-def test_f_tail_of_equal_degrees_is_one_half_at_one():
-    assert tails.f_tail(1.0, 7, 7) == pytest.approx(0.5)
-    assert tails.f_tail(math.inf, 3, 9) == 0
-
-
-def test_range_of_two_normals():
-    assert tails.range_tail(1.3, 2) == pytest.approx(math.erfc(1.3 / 2), abs=1e-6)
-
-
 def test_tied_ranks_share_their_mean(spark):
     rows = spark.createDataFrame([("b", c, v) for c, v in (("w", 5.0), ("x", 5.0), ("y", 7.0), ("z", 1.0))], "block string, config string, v double")
     ranks = {r["config"]: r["rank"] for r in bs.rank_in_blocks(rows, ["block"], "v").collect()}

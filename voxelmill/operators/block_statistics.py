@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tails
+
 #: Which metrics are better the higher they are.
 HIGHER_IS_BETTER = {"dsc_final": True, "nsd_final": True, "assd_final": False, "hd_final": False, "hd95_final": False, "loss_final": False, "n_feval": False}
 ZERO_TOLERANCE = 1e-8
@@ -121,6 +123,73 @@ def nemenyi(means: DataFrame, group: str, treatment: str) -> DataFrame:
     return pairs.select(group, treatment, "other", "k", "blocks", difference.alias("difference"), (difference / spread * F.sqrt(F.lit(2.0))).alias("q"))
 
 
+def significant(ranked: DataFrame, group: str, block: str, treatment: str, alpha: float = 0.05) -> DataFrame:
+    """The groups of more than two treatments whose omnibus test (Iman and Davenport's F) is below alpha, with its p."""
+    tested = friedman(ranked, group, block, treatment).withColumn("p_omnibus", tails.f_tail(F.col("f"), F.col("df1"), F.col("df2")))
+    return tested.filter((F.col("k") > 2) & (F.col("p_omnibus") < alpha)).select(group, "p_omnibus")
+
+
+def gated_posthoc(ranked: DataFrame, group: str, block: str, treatment: str, alpha: float = 0.05) -> DataFrame:
+    """(group, treatment, other, q, p): all pairs of the groups that pass ``significant``; groups that don't have no rows."""
+    passed = ranked.join(significant(ranked, group, block, treatment, alpha), group, "left_semi")
+    pairs = nemenyi(mean_ranks(passed, group, treatment), group, treatment)
+    return pairs.select(group, treatment, "other", "q", tails.range_tail(F.col("q"), F.col("k")).alias("p"))
+
+
+def rank_bars(ranked: DataFrame, group: str, block: str, treatment: str, alpha: float = 0.05) -> DataFrame:
+    """(group, first, last, n, best, worst): maximal runs of two and more treatments by mean rank none of which differ.
+
+    They are the bars of a critical-difference diagram, of the groups that pass ``significant``; ``best`` and ``worst`` are
+    the mean ranks at a run's ends. Of equal mean ranks the treatment's name decides the order.
+    """
+    passed = ranked.join(significant(ranked, group, block, treatment, alpha), group, "left_semi")
+    means = mean_ranks(passed, group, treatment)
+    order = Window.partitionBy(group).orderBy("mean_rank", treatment)
+    placed = means.select(group, treatment, "mean_rank", F.row_number().over(order).alias("place"))
+    alike = nemenyi(means, group, treatment).filter(tails.range_tail(F.col("q"), F.col("k")) >= alpha)
+    side = lambda name, as_name: placed.select(group, F.col(treatment).alias(name), F.col("place").alias(as_name))
+    reached = alike.select(group, F.col(treatment).alias("_a"), F.col("other").alias("_b")).join(side("_a", "_i"), [group, "_a"]).join(side("_b", "_j"), [group, "_b"])
+    ends = reached.groupBy(group, F.least("_i", "_j").alias("place")).agg(F.max(F.greatest("_i", "_j")).alias("end"))
+    whole = placed.join(ends, [group, "place"], "left").withColumn("end", F.coalesce("end", "place"))
+    bars = whole.withColumn("_before", F.coalesce(F.lag("end").over(Window.partitionBy(group).orderBy("place")), F.lit(0))).filter("end > place AND end > _before")
+    lasts = placed.select(group, F.col("place").alias("end"), F.col(treatment).alias("last"), F.col("mean_rank").alias("worst"))
+    return bars.join(lasts, [group, "end"]).select(group, F.col(treatment).alias("first"), "last", (F.col("end") - F.col("place") + 1).alias("n"), F.col("mean_rank").alias("best"), "worst")
+
+
+#: Ranks within so many deviations of the middle, and pairs of ranks so far apart, hold a resampled median but for 1e-15.
+MEDIAN_SPREAD, MEDIAN_APART = 8.0, 40
+
+
+def bootstrap_median(differences: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
+    """(keys, median, low, high): the percentile interval of the median's bootstrap distribution, without resampling.
+
+    Of n values in order, the chance that the median of n draws is the i-th (or, for even n, the mean of the i-th and the
+    j-th) follows from binomial tails and powers; the interval's ends are the least values at which the summed chances
+    reach the two levels. Only ranks near the middle are looked at: their number grows with the root of n. Null and NaN
+    differences are left out; equal values take ranks of their own.
+    """
+    d = differences.select(*keys, clean("d").alias("d")).filter("d IS NOT NULL")
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("double")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d")).cast("double")
+    placed = d.withColumns({"n": size, "i": rank}).withColumn("h", F.floor((F.col("n") + 1) / 2).cast("double"))
+    near = placed.filter(F.abs(F.col("i") - F.col("h")) <= MEDIAN_SPREAD * F.sqrt("n") / 2 + MEDIAN_APART)
+    n, i, h = F.col("n"), F.col("i"), F.col("h")
+    ways = tails.log_gamma(n + 1) - tails.log_gamma(h + 1) - tails.log_gamma(n - h + 1)
+    power = lambda share, k: F.when(share > 0, F.exp(ways / 2 + k * F.log(share))).otherwise(0.0)  # noqa: E731  each takes half of the factor
+    below = lambda at: tails.beta_below(h, n - h + 1, at / n)  # noqa: E731  the h-th of n draws is at most the at-th value
+    lower = power(i / n, h) - power((i - 1) / n, h)
+    upper = lambda at: power(1 - (at - 1) / n, n - h) - power(1 - at / n, n - h)
+    even = F.col("n") % 2 == 0
+    both = near.withColumns({"own": below(i) - below(i - 1) - F.when(even, lower * power(1 - i / n, n - h)).otherwise(0.0), "lower": lower, "upper": upper(i)})
+    first = both.filter(even).select(*keys, F.col("d").alias("_d"), "lower", F.explode(F.sequence(F.lit(1), F.lit(MEDIAN_APART))).alias("_step"), "i").withColumn("i", F.col("i") + F.col("_step")).select(*keys, "i", "_d", F.col("lower").alias("_lower"))
+    pairs = first.join(both.select(*keys, "i", "d", "upper"), [*keys, "i"]).select(*keys, ((F.col("_d") + F.col("d")) / 2).alias("value"), (F.col("_lower") * F.col("upper")).alias("chance"))
+    chances = both.select(*keys, F.col("d").alias("value"), F.col("own").alias("chance")).unionByName(pairs)
+    summed = chances.groupBy(*keys, "value").agg(F.sum("chance").alias("chance")).withColumn("total", F.sum("chance").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda share: F.min(F.when(F.col("total") >= share - 1e-12, F.col("value")))
+    ends = summed.groupBy(*keys).agg(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+    return d.groupBy(*keys).agg(F.median("d").alias("median")).join(ends, keys)
+
+
 def with_controls(facts: DataFrame, group: str, block: str, treatment: str, metric: str, control: str) -> DataFrame:
     """(group, treatment, block, d): each value less its block's control, which is constant in a block; pairs that lack either (null or NaN) go."""
     controls = facts.groupBy(group, block).agg(F.min(clean(control)).alias("_control"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelmill.functions import tails
@@ -76,59 +74,46 @@ def wide_blocks(spark, d):
 
 def friedman_p(spark, d):
     """Tail probabilities of the omnibus statistics, a row for each phase."""
-
-    @F.pandas_udf("double")
-    def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([tails.chi2_tail(a, int(b)) for a, b in zip(x, df, strict=True)], dtype="float64")
-
-    @F.pandas_udf("double")
-    def f_tail(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-        return pd.Series([tails.f_tail(a, int(b), int(c)) for a, b, c in zip(x, df1, df2, strict=True)], dtype="float64")
-
     found = bs.friedman(ranked(spark, d), "phase", "block", "config").filter("chi2 IS NOT NULL")
-    return found.select("phase", chi2_tail("chi2", "df1").alias("p_chi2"), f_tail("f", "df1", "df2").alias("p_f"))
+    return rounded(found.select("phase", tails.chi2_tail(F.col("chi2"), F.col("df1")).alias("p_chi2"), tails.f_tail(F.col("f"), F.col("df1"), F.col("df2")).alias("p_f")), 9, "p_chi2", "p_f")
 
 
 def nemenyi_p(spark, d):
     """All pairs with the studentised range's tail probability."""
-
-    @F.pandas_udf("double")
-    def tail(q: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([tails.range_tail(float(a), int(b)) for a, b in zip(q, k, strict=True)], dtype="float64")
-
     pairs = bs.nemenyi(bs.mean_ranks(ranked(spark, d), "phase", "config"), "phase", "config")
-    return pairs.select("phase", "config", "other", "q", tail("q", "k").alias("p"))
+    return rounded(pairs.select("phase", "config", "other", "q", tails.range_tail(F.col("q"), F.col("k")).alias("p")), 6, "q", "p")
 
 
 def sign_p(spark, d):
     """One-sided exact sign tests with Holm's adjustment."""
-
-    @F.pandas_udf("double")
-    def tail(plus: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([tails.sign_tail(int(a), int(b)) for a, b in zip(plus, n, strict=True)], dtype="float64")
-
     counts = bs.paired_summary(differences(spark, d), ["phase", "config"])
-    tests = counts.select("phase", "config", "n", "zeros", "plus", F.round(tail("plus", F.col("plus") + F.col("minus")), 9).alias("p"))
+    tests = counts.select("phase", "config", "n", "zeros", "plus", F.round(tails.sign_tail(F.col("plus"), F.col("plus") + F.col("minus")), 9).alias("p"))
     return rounded(bs.holm(tests, "p", ["phase", "config"]), 8, "p_adj")
 
 
-#: Values drawn at once by the bootstrap.
-DRAWN = 1 << 20
+def bootstrap_ci(spark, d):
+    """Median difference with the 95 % percentile interval of its bootstrap distribution."""
+    found = rounded(bs.bootstrap_median(differences(spark, d), ["phase", "config"]), 6, "median", "low", "high")
+    return found.withColumn("label", bs.relevance("low", "high", DELTA))
 
 
-def bootstrap_ci(spark, d, resamples: int = 10_000, seed: int = 42):
-    """Median difference with a 95 % percentile interval from seeded resamples; one task a contrast."""
+def measures(spark, d):
+    """(group, block, config, metric) of complete blocks, ranked: by phase mean prices as they are, and weighed by state, so that states differ."""
+    facts = experiments(spark, d)
+    weighed = F.round(F.col("metric") * F.when(F.col("optimizer") == "F", 1.0).when(F.col("optimizer") == "O", 1.1).otherwise(1.25), 6)
+    long = facts.select("phase", "block", "config", F.explode(F.array(F.struct(F.lit("plain").alias("measure"), "metric"), F.struct(F.lit("weighed").alias("measure"), weighed.alias("metric")))).alias("m")).select("phase", "block", "config", "m.*")
+    grouped = long.withColumn("group", F.concat_ws(" ", "phase", "measure"))
+    return bs.rank_in_blocks(bs.complete_blocks(grouped, "group", "block", "metric", TREATMENTS), ["group", "block"], "metric")
 
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(group["d"].to_numpy())
-        random = np.random.default_rng(seed)
-        rows = max(1, DRAWN // len(x))  # so many resamples at once
-        medians = np.concatenate([np.median(x[random.integers(0, len(x), (min(rows, resamples - at), len(x)))], axis=1) for at in range(0, resamples, rows)])
-        low, high = np.percentile(medians, [2.5, 97.5])
-        return pd.DataFrame({"phase": [group["phase"].iloc[0]], "config": [group["config"].iloc[0]], "median": [float(np.median(x))], "low": [low], "high": [high]})
 
-    found = differences(spark, d).groupBy("phase", "config").applyInPandas(resample, "phase string, config string, median double, low double, high double")
-    return found.withColumn("label", bs.relevance("low", "high", DELTA))
+def gated_posthoc(spark, d):
+    """All pairs of configurations of the groups whose omnibus test is significant; the others have no rows."""
+    return rounded(bs.gated_posthoc(measures(spark, d), "group", "block", "config"), 6, "q", "p")
+
+
+def rank_bars(spark, d):
+    """The bars of a critical-difference diagram, of the groups whose omnibus test is significant."""
+    return rounded(bs.rank_bars(measures(spark, d), "group", "block", "config"), 6, "best", "worst")
 
 
 QUERIES = {
@@ -153,9 +138,67 @@ QUERIES = {
     "nemenyi_p": nemenyi_p,
     "sign_p": sign_p,
     "bootstrap_ci": bootstrap_ci,
+    "gated_posthoc": gated_posthoc,
+    "rank_bars": rank_bars,
 }
 
+#: Where the normal density is summed, and P(standard normal < z) by its series of positive terms.
+NODES = "(SELECT i * 0.1::DOUBLE - 9 AS z FROM (SELECT unnest(range(181)) AS i))"
+
+
+def normal_sql(z: str) -> str:
+    x = f"greatest(-9.0, least(9.0, {z}))"
+    return f"(0.5 + sign({x}) * exp(-pow({x}, 2) / 2) / sqrt(2 * pi()) * coalesce(list_sum([exp((2 * i + 1) * ln(abs({x})) - (i + 1) * ln(2.0::DOUBLE) - lgamma(i + 1.5) + 0.5 * ln(pi())) FOR i IN range(0, 160) IF {x} <> 0]), 0))"
+
+
+def range_sql(pairs: str) -> str:
+    """(group key, config, other, q, k) with p: the tail of the range of k normals, by summing over nodes."""
+    return f"""(SELECT {pairs}.*, greatest(0, least(1, 1 - s)) AS p FROM {pairs} JOIN (
+  SELECT q AS qq, k AS kk, sum(kk * 0.1 * exp(-z * z / 2) / sqrt(2 * pi()) * pow(below - {normal_sql("z - qq")}, kk - 1)) AS s
+  FROM (SELECT DISTINCT q AS qq, k AS kk, q, k FROM {pairs}), (SELECT z, {normal_sql("z")} AS below FROM {NODES}) GROUP BY ALL) ON q = qq AND k = kk)"""
+
+
+#: Even degrees of freedom of numerator and denominator, as those of TREATMENTS are: finite sums.
+F_TAIL = """(SELECT sum(exp(lgamma(df1 / 2 + df2 / 2) - lgamma(j + 1) - lgamma(df1 / 2 + df2 / 2 - j) + j * ln(df2 / (df2 + df1 * f)) + (df1 / 2 + df2 / 2 - 1 - j) * ln(df1 * f / (df2 + df1 * f))))
+  FROM (SELECT unnest(range(df2 // 2, df1 // 2 + df2 // 2)) AS j))"""
+MEASURES = EXPERIMENTS + f""",
+facts AS (SELECT phase || ' plain' AS grp, block, config, metric FROM exp UNION ALL SELECT phase || ' weighed', block, config, round(metric * CASE optimizer WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 1.1::DOUBLE ELSE 1.25::DOUBLE END, 6) FROM exp),
+full_blocks AS (SELECT grp, block FROM facts GROUP BY ALL HAVING count(metric) = {TREATMENTS}),
+rk AS (SELECT *, rank() OVER (PARTITION BY grp, block ORDER BY metric DESC) + (tied - 1) / 2.0::DOUBLE AS rank FROM (SELECT f.*, count(*) OVER (PARTITION BY f.grp, f.block, metric) AS tied FROM facts f JOIN full_blocks USING (grp, block))),
+mr AS (SELECT grp, config, avg(rank) AS mean_rank, count(*) AS blocks FROM rk GROUP BY ALL),
+s AS (SELECT grp, sum(total * total) AS squares, count(*) AS k FROM (SELECT grp, config, sum(rank) AS total FROM rk GROUP BY ALL) GROUP BY grp),
+t AS (SELECT grp, count(DISTINCT block) AS n, sum(tied * tied - 1) AS ties FROM rk GROUP BY grp),
+c AS (SELECT grp, n, k, (12.0::DOUBLE / (n * k * (k + 1)) * squares - 3.0 * n * (k + 1)) / (1 - CAST(ties AS DOUBLE) / (n * (k * k * k - k))) AS chi2 FROM s JOIN t USING (grp)),
+o AS (SELECT grp, n, k, CASE WHEN n * (k - 1) - chi2 > 0 THEN (n - 1) * chi2 / (n * (k - 1) - chi2) END AS f, k - 1 AS df1, (k - 1) * (n - 1) AS df2 FROM c),
+gate AS (SELECT grp, n, k FROM (SELECT *, CASE WHEN f IS NULL THEN 0 ELSE {F_TAIL} END AS p FROM o) WHERE p < 0.05 AND k > 2),
+pr AS (SELECT grp, a.config, b.config AS other, a.mean_rank AS ra, b.mean_rank AS rb, k, abs(a.mean_rank - b.mean_rank) / sqrt(k * (k + 1) / (6.0::DOUBLE * n)) * sqrt(2.0::DOUBLE) AS q FROM gate JOIN mr a USING (grp) JOIN mr b USING (grp) WHERE a.config <> b.config),
+pp AS {range_sql("pr")}"""
+
 ORACLE_SQL = {
+    "gated_posthoc": f'WITH {MEASURES} SELECT grp AS "group", config, other, round(q, 6) AS q, round(p, 6) AS p FROM pp WHERE config < other',
+    "rank_bars": f"""WITH {MEASURES}, o2 AS (SELECT grp, config, mean_rank, row_number() OVER (PARTITION BY grp ORDER BY mean_rank, config) AS place FROM mr JOIN gate USING (grp)),
+e AS (SELECT a.grp, a.place, max(CASE WHEN coalesce(p, 1) >= 0.05 THEN b.place ELSE 0 END) AS last FROM o2 a JOIN o2 b ON a.grp = b.grp AND b.place >= a.place LEFT JOIN pp ON pp.grp = a.grp AND pp.config = a.config AND pp.other = b.config GROUP BY ALL),
+bars AS (SELECT * FROM (SELECT *, coalesce(lag(last) OVER (PARTITION BY grp ORDER BY place), 0) AS before FROM e) WHERE last > before AND last > place)
+SELECT b.grp AS "group", f.config AS first, l.config AS last, b.last - b.place + 1 AS n, round(f.mean_rank, 6) AS best, round(l.mean_rank, 6) AS worst FROM bars b JOIN o2 f ON f.grp = b.grp AND f.place = b.place JOIN o2 l ON l.grp = b.grp AND l.place = b.last""",
+    "friedman_p": f"""WITH {RANKED}, s AS (SELECT phase, sum(total * total) AS squares, count(*) AS k FROM (SELECT phase, config, sum(rank) AS total FROM ranked GROUP BY ALL) GROUP BY phase),
+t AS (SELECT phase, count(DISTINCT block) AS n, sum(tied * tied - 1) AS ties FROM ranked GROUP BY phase),
+c AS (SELECT phase, n, k, (12.0::DOUBLE / (n * k * (k + 1)) * squares - 3.0 * n * (k + 1)) / (1 - CAST(ties AS DOUBLE) / (n * (k * k * k - k))) AS chi2 FROM s JOIN t USING (phase)),
+o AS (SELECT phase, chi2, (n - 1) * chi2 / (n * (k - 1) - chi2) AS f, k - 1 AS df1, (k - 1) * (n - 1) AS df2 FROM c)
+SELECT phase, round((SELECT sum(exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1))) FROM (SELECT unnest(range(df1 // 2)) AS i)), 9) AS p_chi2, round({F_TAIL}, 9) AS p_f FROM o""",
+    "nemenyi_p": f"""WITH {RANKED}, ks AS (SELECT phase, count(*) AS k FROM means GROUP BY phase),
+pr AS (SELECT phase, a.config, b.config AS other, k, abs(a.mean_rank - b.mean_rank) / sqrt(k * (k + 1) / (6.0::DOUBLE * a.blocks)) * sqrt(2.0::DOUBLE) AS q FROM means a JOIN means b USING (phase) JOIN ks USING (phase) WHERE a.config < b.config)
+SELECT phase, config, other, round(q, 6) AS q, round(p, 6) AS p FROM {range_sql("pr")}""",
+    "bootstrap_ci": f"""WITH {RANKED}, o AS (SELECT phase, config, d, row_number() OVER (PARTITION BY phase, config ORDER BY d) AS i, count(*) OVER (PARTITION BY phase, config) AS n FROM diffs),
+h AS (SELECT *, (n + 1) // 2 AS h FROM o),
+b AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(t + 1) - lgamma(n - t + 1)) * pow(i / n::DOUBLE, t) * pow(1 - i / n::DOUBLE, n - t)) FROM (SELECT unnest(range(h, n + 1)) AS t)) AS below,
+  exp(lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1)) * (pow(i / n::DOUBLE, h) - pow((i - 1) / n::DOUBLE, h)) AS lower FROM h),
+own AS (SELECT *, below - coalesce(lag(below) OVER (PARTITION BY phase, config ORDER BY i), 0) - CASE WHEN n % 2 = 0 THEN lower * pow(1 - i / n::DOUBLE, n - h) ELSE 0 END AS p FROM b),
+w AS (SELECT phase, config, d AS v, p FROM own UNION ALL
+  SELECT x.phase, x.config, (x.d + y.d) / 2, x.lower * (pow(1 - (y.i - 1) / y.n::DOUBLE, y.n - y.h) - pow(1 - y.i / y.n::DOUBLE, y.n - y.h)) FROM b x JOIN b y ON x.phase = y.phase AND x.config = y.config AND x.i < y.i AND x.n % 2 = 0),
+cum AS (SELECT phase, config, v, sum(p) OVER (PARTITION BY phase, config ORDER BY v) AS total FROM w),
+ends AS (SELECT phase, config, round(min(v) FILTER (total >= 0.025 - 1e-12), 6) AS low, round(min(v) FILTER (total >= 0.975 - 1e-12), 6) AS high FROM cum GROUP BY ALL),
+med AS (SELECT phase, config, round(median(d), 6) AS median FROM diffs GROUP BY ALL)
+SELECT *, CASE WHEN low >= {DELTA} THEN 'relevant' WHEN high < {DELTA} THEN 'below threshold' ELSE 'undecided' END AS label FROM med JOIN ends USING (phase, config)""",
     "friedman_stats": f"""WITH {RANKED},
 s AS (SELECT phase, sum(total * total) AS squares, count(*) AS k FROM (SELECT phase, config, sum(rank) AS total FROM ranked GROUP BY ALL) GROUP BY phase),
 t AS (SELECT phase, count(DISTINCT block) AS n, sum(tied * tied - 1) AS ties FROM ranked GROUP BY phase),
