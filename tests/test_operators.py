@@ -231,3 +231,32 @@ def test_warps_list_no_grid(spark):
     matrices = geometry.with_matrix(spark.createDataFrame([(1, 0.5, 0.0, 0.0, 0.1, 0.0, 0.0)], POSE), (10_000, 10_000, 10_000))
     plan = geometry.warp_binary(rows, matrices, ["volume"], ["volume"], (10_000, 10_000, 10_000))
     assert "Range" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() <= 8
+
+
+def nearest_by_hand(left, right, limit):
+    out = []
+    for k, at in left:
+        near = sorted((abs(at - r), -r) for q, r in right if q == k and k is not None and r is not None and at is not None and abs(at - r) < limit)
+        out.append((k, at, -near[0][1] if near else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, span", [(0, 40), (1, 4), (2, 4000)])
+def test_nearest_partners_by_all_pairs(spark, seed, span):
+    """Ties, repeated rows, places on both sides, rows without key or place, and a key that has nearly all rows."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: [(str(rng.choice(["hot"] * 9 + ["b", "c"])), float(rng.integers(0, span)) / 2) for _ in range(n)]
+    left, right = draw(300) + [(None, 1.0), ("hot", None), ("alone", 1.0)], draw(200) + [(None, 1.0), ("hot", None)]
+    table = lambda rows: spark.createDataFrame(rows, "k string, t double").repartition(3)
+    found = masks.nearest_within(table(left), table(right), "k", "t", 2.0).collect()
+    assert sorted(map(tuple, found), key=str) == nearest_by_hand(left, right, 2.0)
+
+
+def test_nearest_partners_need_no_pairs(spark):
+    """Where all share a key and lie within the limit, no join is by key and place alone."""
+    rows = spark.range(3000).select(F.lit("hot").alias("k"), (F.col("id") / 3000).alias("t"))
+    found = masks.nearest_within(rows, rows.withColumn("t", F.col("t") + 1e-5), "k", "t", 3600.0)
+    assert found.count() == 3000
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and "_range" in joins[0]
+    assert found.filter("abs(other - t) > 0.0001").isEmpty()

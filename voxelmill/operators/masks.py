@@ -132,15 +132,24 @@ def label_census(voxels: DataFrame) -> DataFrame:
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, limit: float) -> DataFrame:
     """Every left row with the right row of the same key nearest in ``at``, closer than ``limit``; ties go to the higher one.
 
-    Buckets as wide as the limit make it an equi-join: a row looks into its own bucket and the two beside it. Rows
-    without a partner stay, with nulls. Columns: key, at, other.
+    Both sides are merged in the order of key and place, in ranges, and each row takes the last right place below it and
+    the first above it: in its range, or else from the ranges before and after, of which a key has one row each. Rows
+    thus grow with the input, also where one key has all of them. Rows without a partner stay, with nulls, as do those
+    without a key or place; right ones without are left out. Columns: key, at, other.
     """
-    bucket = F.floor(F.col(at) / limit)
-    sided = left.select(key, at).distinct().withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    other = right.select(F.col(key).alias("_key"), F.col(at).alias("other"), F.floor(F.col(at) / limit).alias("_bucket"))
-    found = sided.join(other, (F.col(key) == F.col("_key")) & (F.col("bucket") == F.col("_bucket")) & (F.abs(F.col(at) - F.col("other")) < limit))
-    best = found.groupBy(key, at).agg(F.min(F.struct(F.abs(F.col(at) - F.col("other")).alias("gap"), (-F.col("other")).alias("down"))).alias("best"))
-    return left.join(best, [key, at], "left").select(key, at, (-F.col("best.down")).alias("other"))
+    places = right.select(key, at).dropna().distinct().withColumns({"_left": F.lit(False), "_right": F.col(at)})
+    merged = left.select(key, at).withColumns({"_left": F.lit(True), "_right": F.lit(None).cast(places.schema["_right"].dataType)}).unionByName(places)
+    ranges = stored(merged.repartitionByRange(key, at).withColumn("_range", F.spark_partition_id()), "merged")
+    so_far = lambda order: Window.partitionBy("_range", key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    within = ranges.withColumn("_below", F.max("_right").over(so_far(F.asc(at)))).withColumn("_above", F.min("_right").over(so_far(F.desc(at))))
+    ends = ranges.filter(F.col(key).isNotNull()).groupBy("_range", F.col(key).alias("_key")).agg(F.max("_right").alias("_high"), F.min("_right").alias("_low"))
+    passed = lambda order: Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_range", "_key", F.max("_high").over(passed(F.asc("_range"))).alias("_before"), F.min("_low").over(passed(F.desc("_range"))).alias("_after"))
+    both = within.filter("_left").join(carried.withColumnRenamed("_range", "_of"), (F.col("_range") == F.col("_of")) & (F.col(key) == F.col("_key")), "left")
+    low, high = F.greatest("_below", "_before"), F.least("_above", "_after")
+    down, up = F.col(at) - low, high - F.col(at)
+    near = F.when((up < limit) & (down.isNull() | (up <= down)), high).when(down < limit, low)
+    return both.select(key, at, F.when(F.col(key).isNotNull(), near).alias("other"))
 
 
 def nearest_slice(slices: DataFrame, key: str, z: str, target: Column) -> DataFrame:
