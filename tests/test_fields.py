@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxelmill.operators import fields, geometry
+from voxelmill.operators import fields, geometry, losses
 
 SHAPE = (9, 7, 5)
 FIELD = "k string, z int, y int, x int, value double"
@@ -85,3 +85,21 @@ def test_cubic_warp_is_that_of_dense_splines(spark, pose, background):
         expected[v] = value
     found = fields.warp_cubic(rows_of(spark, "a", array, background), matrices, ["k"], ["k"], SHAPE, background, 9).collect()
     assert {(r["z"], r["y"], r["x"]): r["value"] for r in found} == pytest.approx(expected, abs=1e-7)
+
+
+def test_losses_of_poses(spark):
+    """A cube under the pose that lays it onto its shifted copy, under none, and out of the grid; an unknown loss is refused."""
+    shape = (12, 9, 9)
+    cube = [(z, y, x) for z in range(3, 7) for y in range(3, 6) for x in range(3, 6)]
+    rows = [(1, "f", z + 2, y, x - 1) for z, y, x in cube] + [(1, "m", *v) for v in cube] + [(2, "f", 1, 1, 1)]
+    masks = spark.createDataFrame(rows, "volume long, side string, z int, y int, x int")
+    poses = [(v, n, *map(float, p)) for v in (1, 2) for n, p in (("right", (2, 0, -1, 0, 0, 0)), ("none", (0,) * 6), ("away", (50, 0, 0, 0, 0, 0)))]
+    matrices = geometry.with_matrix(spark.createDataFrame(poses, "volume long, pose string, tz double, ty double, tx double, rz double, ry double, rx double"), shape)
+    found = {r["pose"]: r for r in losses.pose_losses(masks, matrices, shape, (1.0, 1.0, 1.0), "f", "m").collect()}
+    assert set(found) == {"right", "none", "away"} and {r["volume"] for r in found.values()} == {1}
+    assert (found["right"]["dsc"], found["right"]["assd"], found["right"]["hd95"]) == (0, 0, 0)
+    assert found["none"]["dsc"] == pytest.approx(1 - 2 * (2 * 3 * 2) / 72) and found["none"]["assd"] > 0
+    assert found["right"]["soft_dice"] < found["none"]["soft_dice"] < found["away"]["soft_dice"] == 1
+    assert (found["away"]["dsc"], found["away"]["assd"], found["away"]["hd95"]) == (1, losses.PENALTY, losses.PENALTY)
+    with pytest.raises(ValueError, match="unknown losses: mutual"):
+        losses.pose_losses(masks, matrices, shape, (1.0, 1.0, 1.0), "f", "m", ("dsc", "mutual"))

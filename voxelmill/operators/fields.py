@@ -54,7 +54,12 @@ def soft_dice(masks: DataFrame, a: str, b: str, shape: tuple[int, int, int], sig
 
     Where one mask is empty the loss is 1. No array of the grid is made.
     """
-    fields = smoothed(masks.filter(F.col("side").isin(a, b)).select("volume", "side", *VOXEL, F.lit(1.0).alias("value")), ["volume", "side"], shape, sigma)
+    return soft_dice_of(masks.select("volume", "side", *VOXEL, F.lit(1.0).alias("value")), a, b, shape, sigma)
+
+
+def soft_dice_of(given: DataFrame, a: str, b: str, shape: tuple[int, int, int], sigma: float = SIGMA) -> DataFrame:
+    """``soft_dice`` of fields (volume, side, z, y, x, value)."""
+    fields = smoothed(given.filter(F.col("side").isin(a, b)), ["volume", "side"], shape, sigma)
     of = lambda side: F.sum(F.when(F.col("side") == side, F.col("value")).otherwise(0.0))
     both = fields.groupBy("volume", *VOXEL).agg(of(a).alias("p"), of(b).alias("q"))
     return both.groupBy("volume").agg((1 - F.try_divide(2 * F.sum(F.col("p") * F.col("q")), F.sum(F.col("p") + F.col("q")))).alias("loss")).select("volume", F.coalesce("loss", F.lit(1.0)).alias("soft_dice_loss"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelmill.operators import cohorts, fields, geometry, histories, intensity, masks, registration
+from voxelmill.operators import cohorts, fields, geometry, histories, intensity, losses, masks, registration
 from voxelmill.sources import views
 from voxelmill.sources.tables import table
 from voxelmill.sources.views import DENSE_MASKS, FOLDERS, HISTORIES, LABELLED, MASKS, RAW_CATALOGUE, SERIES, SOLID_MASKS, STUDIES
@@ -113,10 +113,10 @@ def series_lists(spark, d):
 ANGLES = {"rz": 0.02, "ry": -0.03, "rx": 0.05}
 
 
-def posed(volumes, shape=GRID):
-    """(volume, pose and its matrix): every volume under each of POSES."""
+def posed(volumes, shape=GRID, poses=POSES):
+    """(volume, pose and its matrix): every volume under each of some poses."""
     names = ("pose", *geometry.SHIFTS, *geometry.ANGLES)
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in POSES]))
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in poses]))
     return geometry.with_matrix(volumes.select("volume").distinct().select("volume", each.alias("p")).select("volume", "p.*"), shape)
 
 
@@ -176,6 +176,13 @@ def warp_tomogram(spark, d):
 
 
 def cubic_sql(field: str, background: float, digits: int) -> str:
+    """Both masks' or volumes' values at every place of the grid under every pose."""
+    return f"""WITH {field}, {matrix_sql()}, {points_sql()}, {cubic_parts()}
+SELECT side, pose, g.z, g.y, g.x, round(coalesce(s.value, 0.0) + {background}::DOUBLE, {digits}) + 0.0 AS value
+FROM (SELECT * FROM (SELECT DISTINCT side FROM field), (SELECT pose FROM poses), grid) g LEFT JOIN sums s USING (side, pose, z, y, x)"""
+
+
+def cubic_parts() -> str:
     """Spline coefficients by their closed form (mirrored powers of the pole), axis by axis, and 64 of them at every point."""
     pole, passes, source = fields.POLE, [], "field"
     for axis, n in zip("zyx", GRID, strict=True):
@@ -189,13 +196,11 @@ def cubic_sql(field: str, background: float, digits: int) -> str:
     basis = lambda s, i: {0: f"pow(1 - f{s}, 3) / 6", 1: f"(4 - 6 * pow(f{s}, 2) + 3 * pow(f{s}, 3)) / 6", 2: f"(1 + 3 * f{s} + 3 * pow(f{s}, 2) - 3 * pow(f{s}, 3)) / 6", 3: f"pow(f{s}, 3) / 6"}[i]
     weights = " * ".join(f"(CASE i{s} " + " ".join(f"WHEN {i} THEN {basis(s, i)}" for i in range(4)) + " END)" for s in range(3))
     at = lambda s, n: f"CAST({n - 1} - abs({n - 1} - abs(floor(s{s}) + i{s} - 1)) AS INTEGER)"
-    return f"""WITH {field}, {matrix_sql()}, {points_sql()}, {", ".join(passes)},
+    return f"""{", ".join(passes)},
 offs AS (SELECT * FROM {", ".join(f"(SELECT unnest([0, 1, 2, 3]) AS i{s})" for s in range(3))}),
 parts AS (SELECT *, {", ".join(f"s{s} - floor(s{s}) AS f{s}" for s in range(3))} FROM points),
 asked AS (SELECT pose, z, y, x, {", ".join(f"{at(s, n)} AS n{s}" for s, n in enumerate(GRID))}, {weights} AS w FROM parts, offs),
-sums AS (SELECT side, pose, a.z, a.y, a.x, sum(a.w * c.value) AS value FROM asked a JOIN cx c ON a.n0 = c.z AND a.n1 = c.y AND a.n2 = c.x GROUP BY ALL)
-SELECT side, pose, g.z, g.y, g.x, round(coalesce(s.value, 0.0) + {background}::DOUBLE, {digits}) + 0.0 AS value
-FROM (SELECT * FROM (SELECT DISTINCT side FROM field), (SELECT pose FROM poses), grid) g LEFT JOIN sums s USING (side, pose, z, y, x)"""
+sums AS (SELECT side, pose, a.z, a.y, a.x, sum(a.w * c.value) AS value FROM asked a JOIN cx c ON a.n0 = c.z AND a.n1 = c.y AND a.n2 = c.x GROUP BY ALL)"""
 
 
 CELLS = ["cos(rz)*cos(ry)", "cos(rz)*sin(ry)*sin(rx)-sin(rz)*cos(rx)", "cos(rz)*sin(ry)*cos(rx)+sin(rz)*sin(rx)", "sin(rz)*cos(ry)", "sin(rz)*sin(ry)*sin(rx)+cos(rz)*cos(rx)", "sin(rz)*sin(ry)*cos(rx)-cos(rz)*sin(rx)", "-sin(ry)", "cos(ry)*sin(rx)", "cos(ry)*cos(rx)"]
@@ -208,8 +213,8 @@ def matrices_of(poses: str) -> str:
     return f"inv AS (SELECT *, {inverse} FROM {poses}), mat AS (SELECT *, {offsets} FROM inv)"
 
 
-def matrix_sql() -> str:
-    rows = ", ".join(f"('{n}', {', '.join(map(str, v))})" for n, *v in POSES)
+def matrix_sql(poses=POSES) -> str:
+    rows = ", ".join(f"('{n}', {', '.join(map(str, v))})" for n, *v in poses)
     return f"""poses AS (SELECT pose, tz::DOUBLE AS tz, ty::DOUBLE AS ty, tx::DOUBLE AS tx, rz::DOUBLE AS rz, ry::DOUBLE AS ry, rx::DOUBLE AS rx FROM (VALUES {rows}) v(pose, tz, ty, tx, rz, ry, rx)),
 {matrices_of("poses")}"""
 
@@ -247,17 +252,45 @@ SELECT c.volume, c.z, c.y, c.x FROM c JOIN solid m ON c.volume = m.volume AND m.
 
 
 def soft_dice_sql() -> str:
+    return f"""WITH {MASKS}, vox1 AS (SELECT *, 1.0::DOUBLE AS value FROM vox), {smoothing_parts("vox1")}
+SELECT volume, round(1 - 2 * sum(p * q) / (sum(p) + sum(q)), 6) AS soft_dice_loss FROM pq GROUP BY volume"""
+
+
+def smoothing_parts(source: str) -> str:
     """Kernels by axis as sums over the mirrored images of each source, and three joins with them."""
-    radius, passes, source = int(fields.TRUNCATE * fields.SIGMA + 0.5), [], "vox1"
+    radius, passes = int(fields.TRUNCATE * fields.SIGMA + 0.5), []
     for axis, n in zip("zyx", GRID, strict=True):
         other = ", ".join(c for c in "zyx" if c != axis)
         passes.append(f"""bell{axis} AS (SELECT CAST(t AS INTEGER) AS t, least((t + k + {20 * n}) % {2 * n}, {2 * n - 1} - (t + k + {20 * n}) % {2 * n}) AS s, exp(-0.5 * k * k / {fields.SIGMA ** 2}) AS w FROM (SELECT unnest(range({n})) AS t), (SELECT unnest(range({-radius}, {radius + 1})) AS k)),
 k{axis} AS (SELECT t, s, sum(w) / (SELECT sum(w) FROM bell{axis} WHERE t = 0) AS w FROM bell{axis} GROUP BY t, s)""")
         passes.append(f"g{axis} AS (SELECT volume, side, {other}, t AS {axis}, sum(value * w) AS value FROM {source} JOIN k{axis} ON {axis} = s GROUP BY ALL)")
         source = f"g{axis}"
-    return f"""WITH {MASKS}, vox1 AS (SELECT *, 1.0::DOUBLE AS value FROM vox), {", ".join(passes)},
-pq AS (SELECT volume, z, y, x, coalesce(sum(value) FILTER (side = 'F'), 0) AS p, coalesce(sum(value) FILTER (side = 'O'), 0) AS q FROM gx GROUP BY ALL)
-SELECT volume, round(1 - 2 * sum(p * q) / (sum(p) + sum(q)), 6) AS soft_dice_loss FROM pq GROUP BY volume"""
+    return f"""{", ".join(passes)},
+pq AS (SELECT volume, z, y, x, coalesce(sum(value) FILTER (side = 'F'), 0) AS p, coalesce(sum(value) FILTER (side = 'O'), 0) AS q FROM gx GROUP BY ALL)"""
+
+
+#: Poses whose losses are compared; the last one takes the mask away.
+TRIED = [*POSES, ("away", 99.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+
+
+def pose_losses(spark, d):
+    """Every loss of laying one dense mask onto the other, under every pose."""
+    both = views.dense_masks(spark, d)
+    found = losses.pose_losses(both, posed(both, poses=TRIED), GRID, SPACING, "F", "O")
+    return rounded(found.drop("volume"), 5, *losses.LOSSES)
+
+
+def losses_sql() -> str:
+    surfaces = surface_sql("x AS (SELECT 1)", "posed").split("x AS (SELECT 1), ", 1)[1]
+    return f"""WITH {DENSE_MASKS}, {matrix_sql(TRIED)}, {points_sql()}, field AS (SELECT side, z, y, x, 1.0::DOUBLE AS value FROM dense WHERE side = 'O'), {cubic_parts()},
+warped AS (SELECT pose, c.z, c.y, c.x FROM {CORNERS} c JOIN dense m ON m.side = 'O' AND n0 = m.z AND n1 = m.y AND n2 = m.x WHERE w > 0 GROUP BY ALL HAVING round(sum(w), 9) > 0.5),
+posed AS (SELECT pose AS volume, side, z, y, x FROM dense, poses WHERE side = 'F' UNION ALL SELECT pose, 'O', z, y, x FROM warped),
+soft AS (SELECT pose AS volume, side, z, y, x, 1.0::DOUBLE AS value FROM dense, poses WHERE side = 'F' UNION ALL SELECT pose, 'O', z, y, x, round(value, 6) FROM sums), {smoothing_parts("soft")},
+sd AS (SELECT volume, 1 - 2 * sum(p * q) / (sum(p) + sum(q)) AS soft_dice FROM pq GROUP BY volume),
+f AS (SELECT volume, z, y, x, max(CAST(side = 'F' AS INTEGER)) AS a, max(CAST(side = 'O' AS INTEGER)) AS b FROM posed GROUP BY ALL),
+ov AS (SELECT volume, 1 - 2.0::DOUBLE * sum(a * b) / (sum(a) + sum(b)) AS dsc FROM f GROUP BY volume), surf AS (WITH {surfaces})
+SELECT p.pose, round(dsc, 5) AS dsc, round(soft_dice, 5) AS soft_dice, round(coalesce(assd, {losses.PENALTY}), 5) AS assd, round(coalesce(hd95, {losses.PENALTY}), 5) AS hd95
+FROM poses p LEFT JOIN ov ON ov.volume = p.pose LEFT JOIN sd ON sd.volume = p.pose LEFT JOIN surf ON surf.volume = p.pose"""
 
 
 def largest_component(spark, d):
@@ -338,6 +371,7 @@ QUERIES = {
     "warp_back": warp_binary(True),
     "warp_cubic": warp_cubic,
     "warp_tomogram": warp_tomogram,
+    "pose_losses": pose_losses,
     "soft_dice": lambda s, d: rounded(fields.soft_dice(views.masks(s, d), "F", "O", GRID), 6, "soft_dice_loss"),
     "largest_component": largest_component,
     "registration_grid": registration_grid,
@@ -416,4 +450,5 @@ SELECT side, pose, c.z, c.y, c.x, round(sum(w), 6) AS value FROM c JOIN dense m
     "warp_cubic": cubic_sql(f"{DENSE_MASKS}, field AS (SELECT side, z, y, x, 1.0::DOUBLE AS value FROM dense)", 0.0, 6),
     "warp_tomogram": cubic_sql(f"{TOMOGRAMS}, field AS (SELECT side, z, y, x, value + 1000.0 AS value FROM ct)", AIR, 4),
     "soft_dice": soft_dice_sql(),
+    "pose_losses": losses_sql(),
 }
