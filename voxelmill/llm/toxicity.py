@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +25,7 @@ MOST_LABELLED = 3000
 FEATURE_BITS = 20
 #: Words are also known by their first bytes, for word families with free endings.
 PREFIXES = (4, 5, 6, 7)
+#: The model's size: the features that tell most are kept, so many at the most. A parameter of ``fit``.
 MOST_FEATURES = 8192
 LEAST_ROWS = 3
 THRESHOLD = 0.7
@@ -38,8 +40,6 @@ IDENTITY_TERMS = (
 )
 NEUTRAL_TERM = "people"
 TURNS = 3
-#: At most so many sentences of a labelled text, spread evenly over it, make counterfactuals.
-MOST_SENTENCES = 32
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -68,10 +68,10 @@ def swapped(text: str, turn: int, terms: tuple[str, ...] = IDENTITY_TERMS) -> st
     return term_pattern(terms).sub(other, text)
 
 
-def counterfactuals(text: str | None, terms: tuple[str, ...] = IDENTITY_TERMS, most: int = MOST_SENTENCES) -> list[tuple[str, str]]:
+def counterfactuals(text: str | None, terms: tuple[str, ...] = IDENTITY_TERMS) -> list[tuple[str, str]]:
     """Pairs of sentences that differ in the groups they name.
 
-    They are the text's own sentences that name one. Where none does, one is made: a sentence of the text gets a name
+    They are all of the text's own sentences that name one. Where none does, one is made: a sentence of the text gets a name
     between two of its words; which sentence, place and name depends on the text alone. Texts without words give none.
     """
     sentences = [s for s in SENTENCE_END.split(text or "") if s.split()]
@@ -83,8 +83,7 @@ def counterfactuals(text: str | None, terms: tuple[str, ...] = IDENTITY_TERMS, m
         words = sentences[turn % len(sentences)].split()
         at = turn % (len(words) + 1)
         named = [" ".join([*words[:at], terms[turn % len(terms)], *words[at:]])]
-    step = max(1, -(-len(named) // most))
-    return [(s, swapped(s, turn, terms)) for s in named[::step] for turn in range(TURNS)]
+    return [(s, swapped(s, turn, terms)) for s in named for turn in range(TURNS)]
 
 
 def feature_pairs(texts: list[str | None], lookup: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +120,7 @@ def choose_features(labelled: DataFrame, rows: int, positive: int, forced: np.nd
 
 @dataclass(frozen=True)
 class Examples:
-    """Labelled rows as (row, feature) pairs with the rows' labels, and changes of sentences as (change, feature, +1 or -1)."""
+    """Labelled rows as (row, feature) pairs with the rows' labels, and changes of sentences as (change, feature, +1 or -1) with how often each comes."""
 
     rows: np.ndarray
     at: np.ndarray
@@ -129,7 +128,7 @@ class Examples:
     change_rows: np.ndarray
     change_at: np.ndarray
     change_sign: np.ndarray
-    changes: int
+    change_times: np.ndarray
 
 
 def train(examples: Examples, chosen: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -145,9 +144,10 @@ def train(examples: Examples, chosen: np.ndarray, counterfactual: float = COUNTE
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
         slope = np.append(np.bincount(examples.at, weights=off[examples.rows], minlength=k), off.sum())
         slope[:k] += SHRINK * w[:k] / max(1, k) ** 0.5
-        if examples.changes and counterfactual:
-            moved = np.bincount(examples.change_rows, weights=examples.change_sign * w[examples.change_at], minlength=examples.changes)
-            slope[:k] += 2 * counterfactual / examples.changes * np.bincount(examples.change_at, weights=examples.change_sign * moved[examples.change_rows], minlength=k)
+        if len(examples.change_times) and counterfactual:
+            times = examples.change_times / examples.change_times.sum()
+            moved = times * np.bincount(examples.change_rows, weights=examples.change_sign * w[examples.change_at], minlength=len(times))
+            slope[:k] += 2 * counterfactual * np.bincount(examples.change_at, weights=examples.change_sign * moved[examples.change_rows], minlength=k)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(chosen, w[:k].copy(), float(w[k]))
@@ -174,8 +174,9 @@ def held_out(doc_id: Column) -> Column:
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, terms: tuple[str, ...] = IDENTITY_TERMS) -> DataFrame:
     """(doc_id, toxic, features, changes) of at most ``most`` labelled texts of each class, none of the held-out rows.
 
-    The rows are the same whatever the partitions. ``features`` are the text's, ``changes`` has for each counterfactual
-    pair of sentences the features that go and those that come (as -1 - feature). Labels other than 0 and 1, and rows
+    The rows are the same whatever the partitions. ``features`` are the text's, ``changes`` has what counterfactual pairs of
+    its sentences change, the features that go and those that come (as -1 - feature), each once and with how many ``times``.
+    Labels other than 0 and 1, and rows
     without id, don't count; of several texts of an id the smallest counts.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
@@ -193,22 +194,25 @@ def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABEL
         for text in texts:
             pairs = counterfactuals(text, terms)
             both = split(*feature_pairs([s for pair in pairs for s in pair]), 2 * len(pairs)) if pairs else []
-            changes.append([[*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist()] for a, b in zip(both[::2], both[1::2], strict=True)])
+            moves = Counter((*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist()) for a, b in zip(both[::2], both[1::2], strict=True))
+            changes.append([{"codes": list(codes), "times": times} for codes, times in moves.items() if codes])
         ends = np.cumsum([0, *map(len, features)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(features))), changes]
 
-    return with_python_columns(rows, ["text"], StructType.fromDDL("features array<int>, changes array<array<int>>"), made, dropped=("text",))
+    return with_python_columns(rows, ["text"], StructType.fromDDL("features array<int>, changes array<struct<codes: array<int>, times: int>>"), made, dropped=("text",))
 
 
 def examples_of(labelled: DataFrame, chosen: np.ndarray) -> Examples:
-    """What the driver learns from: of the bounded sample the chosen features only."""
+    """What the driver learns from: of the bounded sample the chosen features only, and equal changes of all its sentences as one."""
     kept = F.broadcast(labelled.sparkSession.createDataFrame([(int(f), k) for k, f in enumerate(chosen)], "feature int, at int"))
     numbers = labelled.select("doc_id", "toxic", "features", "changes")
     by_row = numbers.select("doc_id", "toxic", F.explode_outer("features").alias("feature")).join(kept, "feature", "left")
     rows = by_row.groupBy("doc_id", "toxic").agg(F.sort_array(F.collect_list("at")).alias("at")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").select("toxic", "at").toPandas()
-    apart = numbers.select("doc_id", F.posexplode("changes").alias("turn", "change")).select("doc_id", "turn", F.explode("change").alias("code"))
-    apart = apart.select("doc_id", "turn", F.when(F.col("code") < 0, -1).otherwise(1).alias("sign"), F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("feature"))
-    changes = apart.join(kept, "feature").groupBy("doc_id", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "sign"))).alias("moves")).orderBy(F.xxhash64("doc_id"), "doc_id", "turn").select(F.col("moves.at").alias("at"), F.col("moves.sign").alias("sign")).toPandas()
+    same = numbers.select(F.explode("changes").alias("change")).select("change.*").groupBy("codes").agg(F.sum("times").alias("times"))
+    apart = same.select("codes", "times", F.explode("codes").alias("code"))
+    apart = apart.select("codes", "times", F.when(F.col("code") < 0, -1).otherwise(1).alias("sign"), F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("code")).alias("feature"))
+    moves = apart.join(kept, "feature").groupBy("codes", "times").agg(F.sort_array(F.collect_list(F.struct("at", "sign"))).alias("moves"))
+    changes = moves.groupBy("moves").agg(F.sum("times").alias("times")).orderBy("moves").select(F.col("moves.at").alias("at"), F.col("moves.sign").alias("sign"), "times").toPandas()
 
     def flat(lists, kind) -> np.ndarray:
         return np.concatenate([np.asarray(x, kind) for x in lists]) if len(lists) else np.empty(0, kind)
@@ -216,21 +220,21 @@ def examples_of(labelled: DataFrame, chosen: np.ndarray) -> Examples:
     def owners(lists) -> np.ndarray:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
-    return Examples(owners(rows["at"]), flat(rows["at"], np.int64), rows["toxic"].to_numpy(np.float64), owners(changes["at"]), flat(changes["at"], np.int64), flat(changes["sign"], np.float64), len(changes))
+    return Examples(owners(rows["at"]), flat(rows["at"], np.int64), rows["toxic"].to_numpy(np.float64), owners(changes["at"]), flat(changes["at"], np.int64), flat(changes["sign"], np.float64), changes["times"].to_numpy(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, counterfactual: float = COUNTERFACTUAL, terms: tuple[str, ...] = IDENTITY_TERMS) -> Model:
-    """A model of the labelled rows that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, counterfactual: float = COUNTERFACTUAL, terms: tuple[str, ...] = IDENTITY_TERMS, size: int = MOST_FEATURES) -> Model:
+    """A model of up to ``size`` features of the labelled rows that aren't held out; at most ``most`` rows of each class are learnt from.
 
     Executors make hashed features of the sample and of its counterfactual sentences and choose among them; the driver
-    gets at most ``MOST_FEATURES`` and the terms' own for each of at most 2 * ``most`` rows, never texts. Names in
-    ``terms`` are swapped for each other; what depends on them is penalised. Without labelled rows, or with one class
+    gets at most ``size`` and the terms' own for each of at most 2 * ``most`` rows, and the different changes of sentences with
+    their numbers, never texts. Names in ``terms`` are swapped for each other; what depends on them is penalised. Without labelled rows, or with one class
     only, the score is a constant.
     """
     labelled = stored(labelled_features(docs, labels, most, terms), "labelled-features")
     count = labelled.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("positive")).first()
     own = np.unique(feature_pairs([" ".join(terms)])[1]).astype(np.int64)
-    chosen = choose_features(labelled, count["rows"], count["positive"], own)
+    chosen = choose_features(labelled, count["rows"], count["positive"], own, size)
     examples = examples_of(labelled, chosen)
     dropped(labelled)
     return train(examples, chosen, counterfactual)
@@ -258,6 +262,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels that aren't held out; nulls and empty texts as in ``score_documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_documents(docs.select("doc_id", "text"), model)
