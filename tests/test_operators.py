@@ -260,3 +260,14 @@ def test_nearest_partners_need_no_pairs(spark):
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert len(joins) == 1 and "_range" in joins[0]
     assert found.filter("abs(other - t) > 0.0001").isEmpty()
+
+
+def test_failed_items_are_set_aside(spark):
+    rows = [("p", "pv", 1), ("p", "arterial", 2), ("q", "pv", -1), ("q", "arterial", 3), ("r", "arterial", -5), ("r", "pv", None), (None, "pv", -1), (None, "arterial", 2)]
+    items = spark.createDataFrame(rows, "patient string, phase string, n int")
+    good, failed = series.set_aside(items, {"negative": F.col("n") < 0, "large": F.col("n") < -3}, "pv")
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([("p", "pv", 1), ("p", "arterial", 2), ("r", "pv", None), (None, "arterial", 2)], key=str)
+    assert sorted(((r["patient"], r["phase"], r["error"]) for r in failed.collect()), key=str) == sorted([("q", "pv", "negative"), ("q", "arterial", "pv failed"), ("r", "arterial", "negative"), (None, "pv", "negative")], key=str)
+    known = spark.createDataFrame([("q", "pv"), ("q", "arterial"), ("s", "arterial")], "patient string, phase string")
+    report = {(r["kind"], r["reason"]): r["n"] for r in series.outcome_report(known, good.filter("patient IS NOT NULL"), failed.filter("patient IS NOT NULL"), "pv").collect()}
+    assert report == {("patients", "usable"): 2, ("patients", "fewer than 2 phases"): 1, ("patients", "no pv"): 1, ("items", "negative"): 2, ("items", "pv failed"): 1}

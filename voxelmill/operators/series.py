@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .intensity import slice_height
 
 #: A direction counts as the standard one, or as none, within this.
@@ -113,6 +114,30 @@ def survival(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFr
     return both.withColumn("ratio", F.coalesce(F.try_divide(F.col("n_after"), F.col("n_before")), F.lit(0.0)))
 
 
+def set_aside(items: DataFrame, faults: dict[str, Column], required: str) -> tuple[DataFrame, DataFrame]:
+    """Items (patient, phase and more) that have no fault, and those that go, with their ``error``.
+
+    The first fault that holds is an item's error; a null test is no fault. Where a patient's ``required`` phase fails, the
+    patient's other phases go with it. The marked items are stored once, so both outputs tell of the same run.
+    """
+    first = F.coalesce(*[F.when(test, F.lit(name)) for name, test in faults.items()], F.lit(None).cast("string"))
+    marked = items.withColumn("error", first)
+    lost = F.max((F.coalesce(F.col("phase") == required, F.lit(False)) & F.col("error").isNotNull()).cast("int")).over(Window.partitionBy("patient")) == 1
+    whole = stored(marked.withColumn("error", F.coalesce("error", F.when(lost & F.col("patient").isNotNull(), f"{required} failed"))), "marked")
+    return whole.filter("error IS NULL").drop("error"), whole.filter("error IS NOT NULL")
+
+
+def outcome_report(known: DataFrame, good: DataFrame, failed: DataFrame, required: str) -> DataFrame:
+    """(kind, reason, n): patients by ``outcomes`` of what is there already and what is new, and failed items by error.
+
+    ``known`` and ``good`` have patient and phase; patients all of whose items failed count as lacking the required phase.
+    """
+    none = failed.select("patient", F.lit(None).cast("string").alias("phase"))
+    patients = outcomes(known.select("patient", "phase").unionByName(good.select("patient", "phase")).unionByName(none), required)
+    items = failed.groupBy(F.col("error").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return patients.select(F.lit("patients").alias("kind"), "reason", "n").unionByName(items.select(F.lit("items").alias("kind"), "reason", "n"))
+
+
 def outcomes(done: DataFrame, required: str, least: int = 2) -> DataFrame:
     """(reason, n): how many patients are usable, lack the required phase, or have too few; ``done`` has null for no phase."""
     sets = done.groupBy("patient").agg(F.collect_set("phase").alias("phases"))

@@ -206,6 +206,16 @@ def outcome_counts(spark, d):
     return series.outcomes(table(spark, d, "customer").select(F.col("c_custkey").alias("patient")).join(studies, "patient", "left"), "pv")
 
 
+def run_outcomes(spark, d):
+    """Studies as items of a run of which some fail, some were done before, and some patients lose their pv phase."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    items = views.studies(spark, d).filter(F.col("phase").isin(*cohorts.PHASES)).join(orders, F.col("series") == F.col("o_orderkey")).select(F.col("name").alias("patient"), "phase", "series", "o_orderstatus", "o_totalprice")
+    before = items.filter("series % 5 = 0")
+    faults = {"unreadable": F.col("series") % 11 == 0, "no slices": F.col("o_orderstatus") == "P", "other shape": F.col("o_totalprice") < 60_000}
+    good, failed = series.set_aside(items.filter("series % 5 <> 0"), faults, "pv")
+    return series.outcome_report(before, good, failed, "pv")
+
+
 def reoriented(spark, d):
     turns = spark.createDataFrame([(n, [float(x) for x in c]) for n, c in ORIENTATIONS.items()], "orientation string, cosines array<double>")
     voxels = views.dense_masks(spark, d).filter("side = 'F'").select(*AXES, F.lit(SHAPE["y"]).alias("ny"), F.lit(SHAPE["x"]).alias("nx"))
@@ -235,6 +245,7 @@ QUERIES = {
     "clipped_anchor": clipped_anchor,
     "slice_survival": slice_survival,
     "outcome_counts": outcome_counts,
+    "run_outcomes": run_outcomes,
     "reoriented": reoriented,
     "grid_from_seg": lambda s, d: rounded(grids.grid_from_frames(frames(s, d), ["volume", "side"]), 6, "dz"),
     "grid_from_ct": lambda s, d: geometry.grid_from_slices(frames(s, d).groupBy("volume", "z").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("dy").alias("dy"), F.min("dx").alias("dx"), F.min("between").alias("thickness")), "volume"),
@@ -269,6 +280,12 @@ SELECT volume, side, z, gap FROM (SELECT volume, side, z, abs(z - aim) AS gap, r
 SELECT volume, side, n_before, coalesce(n_after, 0) AS n_after, round(coalesce(n_after, 0) / n_before, 6) AS ratio FROM b LEFT JOIN a USING (volume, side)""",
     "outcome_counts": f"""WITH {STUDIES}, p AS (SELECT c_custkey, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM customer LEFT JOIN (SELECT * FROM studies WHERE phase IN ('pre-contrast', 'arterial', 'pv')) s ON c_custkey = name GROUP BY ALL)
 SELECT CASE WHEN NOT pv THEN 'no pv' WHEN n < 2 THEN 'fewer than 2 phases' ELSE 'usable' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
+    "run_outcomes": f"""WITH {STUDIES}, i AS (SELECT name AS patient, phase, series, CASE WHEN series % 11 = 0 THEN 'unreadable' WHEN o_orderstatus = 'P' THEN 'no slices' WHEN o_totalprice < 60000 THEN 'other shape' END AS error
+  FROM studies JOIN orders ON series = o_orderkey WHERE phase IN ('pre-contrast', 'arterial', 'pv')),
+m AS (SELECT *, coalesce(error, CASE WHEN patient IN (SELECT patient FROM i WHERE series % 5 <> 0 AND phase = 'pv' AND error IS NOT NULL) THEN 'pv failed' END) AS reason FROM i WHERE series % 5 <> 0),
+p AS (SELECT patient, bool_or(coalesce(phase = 'pv', false)) AS pv, count(DISTINCT phase) AS n FROM (SELECT patient, phase FROM i WHERE series % 5 = 0 UNION ALL SELECT patient, CASE WHEN reason IS NULL THEN phase END FROM m) GROUP BY patient)
+SELECT 'patients' AS kind, CASE WHEN NOT pv THEN 'no pv' WHEN n < 2 THEN 'fewer than 2 phases' ELSE 'usable' END AS reason, count(*) AS n FROM p GROUP BY ALL
+UNION ALL SELECT 'items', reason, count(*) FROM m WHERE reason IS NOT NULL GROUP BY reason""",
     "reoriented": reoriented_sql(),
     "grid_from_seg": f"""WITH {FRAMES}, h AS (SELECT volume, side, count(DISTINCT z) AS nz, max(z) AS oz, min(z) AS low FROM frames GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY volume, side ORDER BY z DESC, frame DESC) AS place FROM frames) WHERE place = 1)
