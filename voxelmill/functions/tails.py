@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Steps of series and continued fractions: enough for statistics with some 10,000 degrees of freedom.
-STEPS = 400
+#: Series and continued fractions take so many steps, and so many times the root of their largest parameter.
+STEPS, STEPS_BY_ROOT = 60, 8
 #: Nodes of the quadrature over the normal density lie this far apart, up to so many widths.
 NODE_STEP, NODE_END = 0.05, 9.0
 TINY = 1e-300
@@ -46,6 +46,11 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(between)
 
 
+def steps(largest: Column) -> Column:
+    """The numbers of the steps to take, as doubles."""
+    return F.transform(F.sequence(F.lit(1), STEPS + F.ceil(STEPS_BY_ROOT * F.sqrt(largest)).cast("int")), lambda m: m.cast("double"))
+
+
 def bounded(value: Column) -> Column:
     return F.when(F.abs(value) > TINY, value).otherwise(F.lit(TINY))
 
@@ -63,8 +68,7 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
         return F.struct(c2.alias("c"), d2.alias("d"), (state["value"] * c1 * d1 * c2 * d2).alias("value"))
 
     first = 1 / bounded(1 - (a + b) * x / (a + 1))
-    terms = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double"))
-    return F.aggregate(terms, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("value")), step, lambda s: s["value"])
+    return F.aggregate(steps(F.greatest(a, b)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("value")), step, lambda s: s["value"])
 
 
 def beta_below(a: Column, b: Column, x: Column) -> Column:
@@ -84,7 +88,7 @@ def chi2_tail(x: Column, df: Column) -> Column:
     """P(chi-square > x): one minus its series below the mean, its continued fraction above."""
     a, h = df.cast("double") / 2, x / 2
     front = F.exp(-h + a * F.log(h) - log_gamma(a))
-    terms = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda i: i.cast("double"))
+    terms = steps(F.greatest(a, F.lit(1.0)))
 
     def add(state: Column, i: Column) -> Column:
         term = state["term"] * h / (a + i)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..shared import stored
 
 #: Which metrics are better the higher they are.
 HIGHER_IS_BETTER = {"dsc_final": True, "nsd_final": True, "assd_final": False, "hd_final": False, "hd95_final": False, "loss_final": False, "n_feval": False}
@@ -180,7 +181,7 @@ def bootstrap_median(differences: DataFrame, keys: list[str], level: float = 0.9
     lower = power(i / n, h) - power((i - 1) / n, h)
     upper = lambda at: power(1 - (at - 1) / n, n - h) - power(1 - at / n, n - h)
     even = F.col("n") % 2 == 0
-    both = near.withColumns({"own": below(i) - below(i - 1) - F.when(even, lower * power(1 - i / n, n - h)).otherwise(0.0), "lower": lower, "upper": upper(i)})
+    both = stored(near.withColumns({"own": below(i) - below(i - 1) - F.when(even, lower * power(1 - i / n, n - h)).otherwise(0.0), "lower": lower, "upper": upper(i)}), "median-ranks")
     first = both.filter(even).select(*keys, F.col("d").alias("_d"), "lower", F.explode(F.sequence(F.lit(1), F.lit(MEDIAN_APART))).alias("_step"), "i").withColumn("i", F.col("i") + F.col("_step")).select(*keys, "i", "_d", F.col("lower").alias("_lower"))
     pairs = first.join(both.select(*keys, "i", "d", "upper"), [*keys, "i"]).select(*keys, ((F.col("_d") + F.col("d")) / 2).alias("value"), (F.col("_lower") * F.col("upper")).alias("chance"))
     chances = both.select(*keys, F.col("d").alias("value"), F.col("own").alias("chance")).unionByName(pairs)
