@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import freed
 from .shared import stored
 
 WEIGHTS = (1, 2, 3)
@@ -91,13 +92,18 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, s
     return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
 
 
+#: Columns that ``mix`` adds on its way.
+OWN_COLUMNS = ("_id", "_source", "_size", "_taken", "_turn", "_words", "_epoch", "_id_again", "_source_again", "_size_again")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: documents repeated once for each epoch that takes them, the last repetition cut to its words.
 
     Needs doc_id, text and source. All columns are kept, text is the part taken. Rows that repeat an id within a source
     and have as many words share what is planned for them, the largest share first, in order of their texts; so each
-    source's budget holds whatever ids are repeated. Null ids are one such id.
+    source's budget holds whatever ids are repeated. Null ids are one such id. Other columns may have any names.
     """
+    docs, back = freed(docs, OWN_COLUMNS)
     plan = stored(mix_plan(docs, weights, most_epochs, seed).select("doc_id", "source", "size", "taken"), "mix-plan")
     key = ["doc_id", "source", "size"]
     rows = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("taken").alias("taken")).filter("taken > 0")
@@ -125,7 +131,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, seed:
     out = repeated.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(back)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
