@@ -177,6 +177,36 @@ def test_token_files_round_trip(documents, spark, tmp_path, length, shard_sequen
         assert sorted(r["slot"] for r in part) == [7, 8, 9, 10, 11] and all(np.array_equal(np.frombuffer(bytes(r["tokens"]), "<u2"), read[r["slot"]]) for r in part)
 
 
+def test_sequences_are_numbered_in_storage_order(spark):
+    """Whatever the number of ranges: prefix sums over files, then rows, with ties of files across ranges."""
+    stretches = [(f"f{i % 7}", 100 * (i // 7), i % 5 + 1) for i in range(60)]
+    table = spark.createDataFrame(stretches, "file string, row long, sequences long").repartition(5)
+    expected, total = {}, 0
+    for file, row, n in sorted(stretches):
+        expected[file, row] = total
+        total += n
+    for partitions in (1, 4, 90):
+        firsts, n = token_shards.first_sequences(table, partitions)
+        assert n == total and {(r["file"], r["row"]): r["first"] for r in firsts.collect()} == expected
+
+
+def test_token_files_are_the_same_without_broadcasts(documents, spark, tmp_path):
+    """Beyond Spark's bound of size the stretches are joined by merging: equal slots."""
+    stored = str(tmp_path / "docs")
+    documents.repartition(3).write.parquet(stored)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = []
+    try:
+        for threshold in (bound, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            index = token_shards.write_token_shards(spark, stored, str(tmp_path / f"out{threshold}"), vocabulary, 8, 5)
+            tables.append(sorted(map(tuple, index.select("slot", "sequence", "n_tokens").collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert tables[0] == tables[1] and len(tables[0]) > 12
+
+
 def test_no_documents_no_token_files(documents, spark, tmp_path):
     stored = str(tmp_path / "docs")
     documents.limit(0).write.parquet(stored)

@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, stretches
-from .permutation import permute
+from .permutation import permuted
 from .shared import fresh_path, stored
 from .warc import open_store
 
@@ -26,6 +26,7 @@ SEED = 20240229
 #: The number after the vocabulary's ends a document; PAD fills its last sequence.
 PAD = 65_535
 INDEX_FIELDS = "shard int, slot long, doc_id long, sequence int, n_tokens int"
+CUT_FIELDS = "file string, row long, number long, doc_id long, sequence int, n_tokens int, tokens binary"
 
 
 @lru_cache(maxsize=2)
@@ -51,8 +52,8 @@ def source_rows(spark: SparkSession, documents: str) -> DataFrame:
     return small_batches(spark.read.parquet(documents)).select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> dict[tuple[str, int], int]:
-    """The number of the first sequence of each stretch of rows that a task reads, by the stretch's file and first row."""
+def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> DataFrame:
+    """(file, row, sequences) of each stretch of rows that a task reads: its file, its first row, its sequences' number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: list[list] = []
@@ -64,12 +65,23 @@ def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> dict[tu
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sums, strict=True)], names=["file", "row", "sequences"])
 
-    starts, total = {}, 0
-    for file, row, n in sorted(rows.mapInArrow(run, "file string, row long, sequences long").collect()):  # a row for each split of the input
-        starts[file, row] = total
-        total += n
-    starts["", -1] = total
-    return starts
+    return stored(rows.mapInArrow(run, "file string, row long, sequences long"), "token-stretches")
+
+
+def first_sequences(splits: DataFrame, partitions: int) -> tuple[DataFrame, int]:
+    """(file, row, first): the number of each stretch's first sequence, in order of file and row; and how many sequences there are.
+
+    Sums by range of the order, their prefix sums, and running sums within a range.
+    """
+    ranged = stored(splits.repartitionByRange(partitions, "file", "row").withColumn("part", F.spark_partition_id()), "token-ranges")
+    sums = {r[0]: r[1] for r in ranged.groupBy("part").agg(F.sum("sequences")).collect()}  # a number for each of the partitions chosen above
+    befores, total = [], 0
+    for part in sorted(sums):
+        befores.append((part, total))
+        total += sums[part]
+    inside = F.sum("sequences").over(Window.partitionBy("part").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sequences")
+    before = F.broadcast(splits.sparkSession.createDataFrame(befores, "part int, before long"))
+    return ranged.withColumn("inside", inside).join(before, "part").select("file", "row", (F.col("before") + F.col("inside")).alias("first")), total
 
 
 def write_token_shards(
@@ -89,21 +101,21 @@ def write_token_shards(
     (s mod ``shard_sequences``) * 2 * ``length``: a reader can begin anywhere and resume by slot alone. The index has
     (shard, slot, doc_id, sequence, n_tokens) for every sequence. Null and empty texts have one sequence, the end mark;
     repeated rows are written as often as they stand there; an empty table gives no shards. Vocabularies whose ids and two
-    marks don't fit into 16 bits are refused. A first pass counts, so no
-    tokens are kept between the passes; a shard's file has its name only once it is whole.
+    marks don't fit into 16 bits are refused. A first pass counts the sequences of each stretch of rows, into a table that
+    the second joins by stretch, so no tokens are kept between the passes; a shard's file has its name only once it is whole.
     """
     rows = source_rows(spark, documents)
-    starts = sequences_by_split(rows, vocabulary, length)
-    total = starts["", -1]
-    known = spark.sparkContext.broadcast(starts)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    firsts, total = first_sequences(sequences_by_split(rows, vocabulary, length), parts)
+    firsts = stored(firsts, "token-firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, end = None, 0, encoding(vocabulary)[1]
+        last, begin, number, end = None, 0, 0, encoding(vocabulary)[1]
         for ids, texts, files, places in stretches(batches, ["doc_id", "text", "file", "row"]):
-            owners, parts, counts, sequences, numbers = [], [], [], [], []
+            owners, parts, counts, sequences, numbers, begins, names = [], [], [], [], [], [], []
             for doc_id, text, file, row in zip(ids, texts, files, places, strict=True):
                 if file != last:
-                    last, number = file, known.value[file, row]
+                    last, begin, number = file, row, 0
                 tokens = ids_of(text, vocabulary)
                 n = len(tokens) // length + 1
                 filled = np.full(n * length, PAD, np.dtype("<u2"))
@@ -115,15 +127,20 @@ def write_token_shards(
                 counts += [min(length, len(tokens) + 1 - i * length) for i in range(n)]
                 sequences += range(n)
                 numbers += range(number, number + n)
+                names += [file] * n
+                begins += [begin] * n
                 number += n
-            slots = permute(np.array(numbers, np.int64), total, seed)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((slots // shard_sequences).astype(np.int32)), pa.array(slots), pa.array(owners, pa.int64()), pa.array(sequences, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())],
-                names=["shard", "slot", "doc_id", "sequence", "n_tokens", "tokens"],
+                [pa.array(names, pa.string()), pa.array(begins, pa.int64()), pa.array(numbers, pa.int64()), pa.array(owners, pa.int64()), pa.array(sequences, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())],
+                names=["file", "row", "number", "doc_id", "sequence", "n_tokens", "tokens"],
             )
 
     shards = -(-total // shard_sequences)
-    dealt = rows.mapInArrow(cut, INDEX_FIELDS + ", tokens binary").repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
+    # no hint: Spark broadcasts the stretches' table up to its own bound of size, and merges by stretch beyond it
+    numbered = rows.mapInArrow(cut, CUT_FIELDS).join(firsts, ["file", "row"], "left")
+    first = F.coalesce("first", F.raise_error(F.lit("a stretch of rows was not counted")).cast("long"))
+    placed = numbered.withColumn("slot", permuted(first + F.col("number"), total, seed)).withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("int"))
+    dealt = placed.select("shard", "slot", "doc_id", "sequence", "n_tokens", "tokens").repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, stream, digest, records = None, None, hashlib.sha256(), 0
