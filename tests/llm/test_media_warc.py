@@ -107,6 +107,14 @@ def test_archives_do_not_depend_on_partitions(pages, tmp_path, spark):
     assert sums[0] == sums[1]
 
 
+def test_archives_do_not_depend_on_the_number_of_writers(pages, tmp_path):
+    sums = []
+    for n in (1, 2, 1000):
+        files = warc.write_warc(pages, str(tmp_path / f"w{n}"), shard_records=2, most_writers=n).collect()
+        sums.append(sorted((f["file"], f["records"], f["sha256"]) for f in files))
+    assert len(sums[0]) > 2 and sums[0] == sums[1] == sums[2]
+
+
 def test_an_id_with_other_payloads_has_records_of_its_own(spark, tmp_path):
     rows = [(1, "a", "u"), (1, "b", "u"), (1, "b", "u"), (2, "b", "u"), (3, None, None), (4, "", "u")]
     table = spark.createDataFrame(rows, "page_id long, html string, url string")

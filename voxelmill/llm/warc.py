@@ -23,6 +23,8 @@ SHARD_RECORDS = 4096
 ROLL_BYTES = 16 << 20
 #: Tasks that read archives at most; with more files a task reads several, one after the other.
 MOST_READERS = 20_000
+#: Tasks that write archives at most; with more shards a task writes several in a row, one after the other.
+MOST_WRITERS = 65_536
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST_FIELDS = "shard long, file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD_FIELDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, file string, error string"
@@ -112,20 +114,22 @@ def write_warc(
     least_revisit_bytes: int = 0,
     shard_records: int = SHARD_RECORDS,
     roll_bytes: int = ROLL_BYTES,
+    most_writers: int = MOST_WRITERS,
 ) -> DataFrame:
     """Writes all rows as records to ``path``, a folder that all machines share, and returns the manifest (a row for each file).
 
     Records are numbered in order of id, then digest; each ``shard_records`` numbers in a row make a shard, so the files'
-    names and bytes depend on the rows alone. Of records with equal payloads of at least ``least_revisit_bytes`` bytes
+    names and bytes depend on the rows alone. At most ``most_writers`` tasks write, each its run of whole shards, whose first
+    keys the driver sends to all. Of records with equal payloads of at least ``least_revisit_bytes`` bytes
     the one with the smallest id is a response and the others revisit it. Null payloads are empty ones. Null ids come
     first, are responses and are never referred to; a repeated row of the response is a response too. Rows of one id with
-    other payloads are records of their own.
+    other payloads are records of their own. Other columns of ``pages`` may have any names; an empty table gives no files.
     """
     html = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), (F.col(url) if url else F.lit(None)).cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"))
     sizes = rows.select("page_id", "sha1", F.length("payload").cast("long").alias("payload_bytes"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered, _ = with_row_numbers(sizes, ["page_id", "sha1"], "number", parts)
+    numbered, total = with_row_numbers(sizes, ["page_id", "sha1"], "number", parts)
     originals = numbered.filter((F.col("payload_bytes") >= least_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.min("page_id").alias("original"))
     plan = (
         numbered.groupBy("page_id", "sha1")
@@ -139,27 +143,31 @@ def write_warc(
         )
     )
     plan = stored(plan, "warc-plan")
-    bounds = plan.groupBy("shard").agg(F.min(F.struct("page_id", "sha1")).alias("first"))
-    firsts = [(r["shard"], r["first"]["page_id"], r["first"]["sha1"]) for r in bounds.orderBy("shard").collect()]  # one for each shard
-    records = rows.withColumn("shard", shard_of(F.col("page_id"), F.col("sha1"), firsts))
-    decisions = plan.select("shard", "page_id", "sha1", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"))
-    both = decisions.unionByName(records.select("shard", "page_id", "sha1", F.lit(None).cast("long").alias("refers_to"), "url", "payload", F.lit(1).alias("kind")))
-    dealt = both.repartitionById(max(1, len(firsts)), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    shards = -(-total // shard_records)
+    each = max(1, -(-shards // most_writers))
+    writer_of = F.floor(F.col("shard") / each).cast("int")
+    bounds = plan.groupBy(writer_of.alias("writer")).agg(F.min(F.struct("page_id", "sha1")).alias("first"))
+    firsts = [(r["writer"], r["first"]["page_id"], r["first"]["sha1"]) for r in bounds.orderBy("writer").collect()]  # at most one for each writer
+    records = rows.withColumn("writer", range_of(F.col("page_id"), F.col("sha1"), firsts).cast("int"))
+    decisions = plan.select(writer_of.alias("writer"), "shard", "page_id", "sha1", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"))
+    # records take their shard from the decision that stands before them
+    both = decisions.unionByName(records.select("writer", F.lit(-1).cast("long").alias("shard"), "page_id", "sha1", F.lit(None).cast("long").alias("refers_to"), "url", "payload", F.lit(1).alias("kind")))
+    dealt = both.repartitionById(max(1, min(shards, most_writers)), F.col("writer")).sortWithinPartitions("page_id", "sha1", "kind", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer, key, refers_to, repeat = None, None, None, 0
+        writer, key, refers_to, repeat, place = None, None, None, 0, -1
         for batch in batches:
             for shard, id_, sha1, refers, address, data, kind in batch.itertuples(index=False):
                 id_ = None if id_ is None else int(id_)
                 if kind == 0:
-                    key, refers_to, repeat = (id_, sha1), None if refers is None else int(refers), 0
+                    key, refers_to, repeat, place = (id_, sha1), None if refers is None else int(refers), 0, int(shard)
                     continue
-                if writer is None or writer.shard != shard:
-                    if writer is not None:
-                        yield manifest_rows(writer.commit())
-                    writer = ShardWriter(path, int(shard), roll_bytes)
                 if key != (id_, sha1):
                     raise ValueError(f"no decision for page {id_}")
+                if writer is None or writer.shard != place:
+                    if writer is not None:
+                        yield manifest_rows(writer.commit())
+                    writer = ShardWriter(path, place, roll_bytes)
                 writer.add(id_, record_bytes(id_, address, bytes(data), refers_to, repeat))
                 repeat += 1
         if writer is not None:
@@ -174,19 +182,19 @@ def manifest_rows(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows)[[f.split()[0] for f in MANIFEST_FIELDS.split(", ")]].astype({"first_id": "Int64", "last_id": "Int64"})
 
 
-def shard_of(page_id: Column, sha1: Column, firsts: list[tuple]) -> Column:
-    """The shard whose range of (id, digest) holds a row; ``firsts`` are the ranges' first keys, nulls first."""
+def range_of(page_id: Column, sha1: Column, firsts: list[tuple]) -> Column:
+    """The number of the range of (id, digest) that holds a row; ``firsts`` are the ranges' numbers and first keys, nulls first."""
     from bisect import bisect_right
 
     lowest = -(1 << 63)
     keys = [(lowest if i is None else i, s) for _, i, s in firsts]
-    shards = [n for n, *_ in firsts]
+    numbers = [n for n, *_ in firsts]
 
     @F.pandas_udf("long")
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ids, digests in batches:
             at = (bisect_right(keys, key) - 1 for key in zip(ids.tolist(), digests, strict=True))
-            yield pd.Series([shards[max(a, 0)] for a in at], dtype="int64")
+            yield pd.Series([numbers[max(a, 0)] for a in at], dtype="int64")
 
     return place(F.coalesce(page_id, F.lit(lowest)), sha1)
 
