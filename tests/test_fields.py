@@ -103,3 +103,16 @@ def test_losses_of_poses(spark):
     assert (found["away"]["dsc"], found["away"]["assd"], found["away"]["hd95"]) == (1, losses.PENALTY, losses.PENALTY)
     with pytest.raises(ValueError, match="unknown losses: mutual"):
         losses.pose_losses(masks, matrices, shape, (1.0, 1.0, 1.0), "f", "m", ("dsc", "mutual"))
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_soft_dice_shuffles_no_smoothed_values(spark, block):
+    """Values of both masks meet in blocks, also where volumes have several; what is shuffled is the voxels and two sums of each block."""
+    rng = np.random.default_rng(12)
+    a, b = ((rng.random(SHAPE) < 0.1) * rng.random(SHAPE) for _ in range(2))
+    p, q = (np.einsum("az,by,cx,zyx->abc", *[dense_kernel(n, 0.5) for n in SHAPE], m) for m in (a, b))
+    rows = [(1, s, *map(int, at), float(m[tuple(at)])) for s, m in zip("ab", (a, b), strict=True) for at in np.argwhere(m)]
+    found = fields.soft_dice_of(spark.createDataFrame(rows, "volume long, side string, z int, y int, x int, value double"), "a", "b", SHAPE, 0.5, block)
+    assert found.first()["soft_dice_loss"] == pytest.approx(1 - 2 * (p * q).sum() / (p + q).sum())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Join" not in plan

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distances import lists, numbers, pieces
@@ -19,34 +20,84 @@ from .masks import VOXEL
 
 #: Width of the smoothing of soft Dice, and where its bell is cut, in widths.
 SIGMA, TRUNCATE = 2.0, 4.0
+#: Targets by axis that are smoothed together.
+BLOCK = 64
 #: The pole of the cubic spline's recursions.
 POLE = math.sqrt(3) - 2
 
 
-def gaussian_kernel(spark: SparkSession, length: int, sigma: float = SIGMA, truncate: float = TRUNCATE) -> DataFrame:
-    """(source, target, weight) along an axis of so many voxels, which goes on mirrored at its ends, the end voxels twice.
+def kernel_matrix(length: int, block: int, size: int, radius: int, sigma: float) -> np.ndarray:
+    """(targets of a block, sources that it sees) along an axis of so many voxels, which goes on mirrored at its ends, the end voxels twice."""
+    first, last = max(0, block * size - radius), min(length, (block + 1) * size + radius)
+    targets = np.arange(block * size, min(length, (block + 1) * size))
+    steps = np.arange(-radius, radius + 1)
+    bell = np.exp(-0.5 * (steps / sigma) ** 2)
+    place = (targets[:, None] + steps) % (2 * length)
+    source = np.where(place < length, place, 2 * length - 1 - place) - first
+    weights = np.zeros((len(targets), last - first))
+    np.add.at(weights, (np.arange(len(targets))[:, None], source), bell / bell.sum())
+    return weights
 
-    At most 2 truncate sigma + 1 rows for each voxel of the axis, whatever the volumes are.
+
+def in_blocks(field: DataFrame, keys: list[str], shape: tuple[int, int, int], radius: int, part: Column, size: int) -> DataFrame:
+    """(keys, _b0, _b1, _b2, given): each value in the blocks of ``size`` targets by axis that see it, with its place among what the block sees.
+
+    A row holds a block and what is around it, however large the volume is. ``part`` tells apart fields that share a row.
     """
-    radius = int(truncate * sigma + 0.5)
-    bell = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total, weights = sum(bell), {}
-    for target in range(length):
-        for k in range(-radius, radius + 1):
-            place = (target + k) % (2 * length)
-            source = place if place < length else 2 * length - 1 - place
-            weights[source, target] = weights.get((source, target), 0.0) + bell[k + radius] / total
-    return spark.createDataFrame([(s, t, w) for (s, t), w in weights.items()], "source int, target int, weight double")
-
-
-def smoothed(field: DataFrame, keys: list[str], shape: tuple[int, int, int], sigma: float = SIGMA) -> DataFrame:
-    """The field under a Gaussian, axis by axis: each value joins the kernel's few rows of its place, sums go by target."""
+    stride = size + 2 * radius
+    inside, place = F.col("value").isNotNull(), part.cast("long")
     for axis, length in zip(VOXEL, shape, strict=True):
-        others = [c for c in VOXEL if c != axis]
-        kernel = gaussian_kernel(field.sparkSession, length, sigma)
-        shares = field.join(F.broadcast(kernel), F.col(axis) == F.col("source"))  # bounded by the axis, see gaussian_kernel
-        field = shares.groupBy(*keys, *others, F.col("target").alias(axis)).agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
-    return field
+        inside = inside & F.col(axis).between(0, length - 1)
+    rows = field.filter(inside)
+    for r, (axis, length) in enumerate(zip(VOXEL, shape, strict=True)):
+        first, last = F.floor((F.col(axis) - radius) / size).cast("int"), F.floor((F.col(axis) + radius) / size).cast("int")
+        most = (length - 1) // size
+        rows = rows.withColumn(f"_b{r}", F.explode(F.sequence(F.greatest(F.lit(0), first), F.least(F.lit(most), last))) if most else F.lit(0))
+        place = place * stride + (F.col(axis) - F.greatest(F.lit(0), F.col(f"_b{r}") * size - radius))
+    return rows.groupBy(*keys, "_b0", "_b1", "_b2").agg(F.collect_list(F.struct(place.alias("place"), F.col("value").cast("double").alias("value"))).alias("given"))
+
+
+def over_blocks(blocks: DataFrame, keys: list[str], shape: tuple[int, int, int], radius: int, sigma: float, size: int, parts: int, out: str, make) -> DataFrame:
+    """(keys and the columns of ``out``): what ``make`` returns as arrays for each block's smoothed fields and its first target."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
+    stride, names = size + 2 * radius, [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = lru_cache(maxsize=64)(lambda axis, block: kernel_matrix(shape[axis], block, size, radius, sigma))
+        for batch in pieces(batches, lambda b: np.full(b.num_rows, math.prod(min(size, n) for n in shape))):
+            given, row = lists(batch.column("given"))
+            place, value = numbers(given.field("place")), numbers(given.field("value"))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            at = [numbers(batch.column(f"_b{r}")) for r in range(3)]
+            made = []
+            for k in range(batch.num_rows):
+                matrices = [kernel(r, int(at[r][k])) for r in range(3)]
+                wide = [m.shape[1] for m in matrices]
+                p = place[ends[k] : ends[k + 1]]
+                cell = ((p // stride**3 * wide[0] + p // stride**2 % stride) * wide[1] + p // stride % stride) * wide[2] + p % stride
+                dense = np.bincount(cell, value[ends[k] : ends[k + 1]], parts * math.prod(wide)).reshape(parts, *wide)
+                smooth = matrices[1] @ (dense @ matrices[2].T)
+                smooth = (matrices[0] @ smooth.reshape(parts, wide[0], -1)).reshape(parts, *(len(m) for m in matrices))
+                made.append(make(smooth, [int(at[r][k]) * size for r in range(3)]))
+            index = pa.array(np.repeat(np.arange(batch.num_rows), [len(m[0]) for m in made]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in keys), *(pa.array(np.concatenate(c)) for c in zip(*made, strict=True))], names=[*keys, *names])
+
+    return blocks.mapInArrow(run, f"{fields}, {out}")
+
+
+def reach_of(sigma: float, truncate: float = TRUNCATE) -> int:
+    return int(truncate * sigma + 0.5)
+
+
+def smoothed(field: DataFrame, keys: list[str], shape: tuple[int, int, int], sigma: float = SIGMA, size: int = BLOCK) -> DataFrame:
+    """The field under a Gaussian wherever that isn't zero: values travel once, to the blocks that see them."""
+    radius = reach_of(sigma)
+
+    def voxels(smooth: np.ndarray, first: list[int]) -> list[np.ndarray]:
+        at = np.nonzero(smooth[0])
+        return [*((a + f).astype(np.int32) for a, f in zip(at, first, strict=True)), smooth[0][at]]
+
+    return over_blocks(in_blocks(field, keys, shape, radius, F.lit(0), size), keys, shape, radius, sigma, size, 1, "z int, y int, x int, value double", voxels)
 
 
 def soft_dice(masks: DataFrame, a: str, b: str, shape: tuple[int, int, int], sigma: float = SIGMA) -> DataFrame:
@@ -57,12 +108,16 @@ def soft_dice(masks: DataFrame, a: str, b: str, shape: tuple[int, int, int], sig
     return soft_dice_of(masks.select("volume", "side", *VOXEL, F.lit(1.0).alias("value")), a, b, shape, sigma)
 
 
-def soft_dice_of(given: DataFrame, a: str, b: str, shape: tuple[int, int, int], sigma: float = SIGMA) -> DataFrame:
-    """``soft_dice`` of fields (volume, side, z, y, x, value)."""
-    fields = smoothed(given.filter(F.col("side").isin(a, b)), ["volume", "side"], shape, sigma)
-    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("value")).otherwise(0.0))
-    both = fields.groupBy("volume", *VOXEL).agg(of(a).alias("p"), of(b).alias("q"))
-    return both.groupBy("volume").agg((1 - F.try_divide(2 * F.sum(F.col("p") * F.col("q")), F.sum(F.col("p") + F.col("q")))).alias("loss")).select("volume", F.coalesce("loss", F.lit(1.0)).alias("soft_dice_loss"))
+def soft_dice_of(given: DataFrame, a: str, b: str, shape: tuple[int, int, int], sigma: float = SIGMA, size: int = BLOCK) -> DataFrame:
+    """``soft_dice`` of fields (volume, side, z, y, x, value). Smoothed values stay in their block, of which two sums are left."""
+    radius = reach_of(sigma)
+
+    def sums(smooth: np.ndarray, first: list[int]) -> list[np.ndarray]:
+        return [np.array([np.vdot(smooth[0], smooth[1])]), np.array([smooth.sum()])]
+
+    blocks = in_blocks(given.filter(F.col("side").isin(a, b)), ["volume"], shape, radius, F.when(F.col("side") == a, 0).otherwise(1), size)
+    both = over_blocks(blocks, ["volume"], shape, radius, sigma, size, 2, "common double, total double", sums)
+    return both.groupBy("volume").agg((1 - F.try_divide(2 * F.sum("common"), F.sum("total"))).alias("loss")).select("volume", F.coalesce("loss", F.lit(1.0)).alias("soft_dice_loss"))
 
 
 def spline_lines(values: np.ndarray) -> np.ndarray:
