@@ -233,6 +233,19 @@ def test_warps_list_no_grid(spark):
     assert "Range" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() <= 8
 
 
+def test_warps_meet_across_tiles(spark):
+    """A mask of several tiles and columns, turned, with repeated voxels, against the dense warp; each tile gets what is around it."""
+    shape, pose = (150, 70, 5), (3.5, -2.25, 0.5, 0.2, 0.05, -0.02)
+    mask = np.zeros(shape)
+    mask[40:140, 20:68, 1:4] = np.random.default_rng(3).random((100, 48, 3)) < 0.7
+    rows = [(1, *map(int, at)) for at in np.argwhere(mask)]
+    frame = spark.createDataFrame([*rows, *rows[:50]], "volume long, z int, y int, x int").repartition(3)
+    matrices = geometry.with_matrix(spark.createDataFrame([(1, *pose)], POSE), shape)
+    found = {tuple(r)[1:4]: r["value"] for r in geometry.warp_linear(frame, matrices, ["volume"], ["volume"], shape).collect()}
+    expected = dense_warp(mask, pose)
+    assert found == pytest.approx({tuple(map(int, at)): expected[tuple(at)] for at in np.argwhere(expected > 5e-10)}, abs=1e-8)
+
+
 def nearest_by_hand(left, right, limit):
     out = []
     for k, at in left:

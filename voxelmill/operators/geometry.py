@@ -6,17 +6,27 @@ is half the grid's shape and R = Rz Ry Rx.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..components import components
 from ..shared import stored
-from .masks import VOXEL
+from .distances import lists, numbers, pieces
+from .masks import VOXEL, packed, unpacked
 
 ANGLES = ("rz", "ry", "rx")
 SHIFTS = ("tz", "ty", "tx")
 #: Digits that places on grids are rounded to.
 DIGITS = 6
+#: What ``with_matrix`` adds, in order.
+MATRIX = [*(f"i{r}{c}" for r in range(3) for c in range(3)), "o0", "o1", "o2"]
+#: Output voxels by axis that are warped together.
+TILE = 64
 
 
 def rotation(rz: Column, ry: Column, rx: Column) -> list[list[Column]]:
@@ -51,49 +61,124 @@ def source_of(voxel: list[Column]) -> list[Column]:
     return [F.round(F.col(f"i{r}0") * voxel[0] + F.col(f"i{r}1") * voxel[1] + F.col(f"i{r}2") * voxel[2] + F.col(f"o{r}"), DIGITS) for r in range(3)]
 
 
-def spread(voxels: DataFrame, matrices: DataFrame, on: list[str], shape: tuple[int, int, int], reach: float) -> DataFrame:
-    """Each voxel under each pose with the output voxels (tz, ty, tx) whose source point (s0, s1, s2) is no further than
-    ``reach`` from it on any axis and within the input grid.
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """Values to some digits, ties away from zero."""
+    scale = 10.0**digits
+    return np.trunc(values * scale + np.copysign(0.5, values)) / scale
+
+
+def in_tiles(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int], reach: float) -> DataFrame:
+    """(on, keys, _t0, _t1, _t2, columns, matrix): masks under each pose by tiles of the output, each with the input that may reach it.
 
-    A voxel's surroundings go where the pose takes its centre, in a box as wide as a turned cube; the grid is never listed.
+    The input is packed in columns of 64 voxels along z (``masks.packed``), which go where the pose takes them; a tile without any has no
+    row, so the grid is never listed. A row holds a tile's surroundings, however large the mask is.
     """
-    rows = voxels.join(matrices, on)
-    away = [F.col(c) - F.col(f"o{r}") for r, c in enumerate(VOXEL)]
-    for axis, name in enumerate(VOXEL):
-        centre = F.col(f"i0{axis}") * away[0] + F.col(f"i1{axis}") * away[1] + F.col(f"i2{axis}") * away[2]
-        half = (F.abs(F.col(f"i0{axis}")) + F.abs(F.col(f"i1{axis}")) + F.abs(F.col(f"i2{axis}"))) * reach + 10.0**-DIGITS
-        first, last = F.greatest(F.lit(0), F.ceil(centre - half).cast("int")), F.least(F.lit(shape[axis] - 1), F.floor(centre + half).cast("int"))
-        rows = rows.withColumns({"_first": first, "_last": last}).filter("_first <= _last").withColumn(f"t{name}", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    placed = rows.withColumns({f"s{r}": s for r, s in enumerate(source_of([F.col(f"t{c}") for c in VOXEL]))})
-    near = F.lit(True)
-    for r, name in enumerate(VOXEL):
-        near = near & F.col(f"s{r}").between(0, shape[r] - 1) & (F.abs(F.col(f"s{r}") - F.col(name)) <= reach)
-    return placed.filter(near)
+    inside = F.lit(True)
+    for axis, length in zip(VOXEL, shape, strict=True):
+        inside = inside & F.col(axis).between(0, length - 1)
+    names = list(dict.fromkeys([*on, *keys]))
+    columns = packed(masks.filter(inside), [c for c in names if c in masks.columns])
+    rows = columns.join(matrices.select(*[c for c in names if c in matrices.columns], F.array(*[F.col(m).cast("double") for m in MATRIX]).alias("_matrix")), on)
+    entry = lambda name: F.col("_matrix")[MATRIX.index(name)]
+    low, high = F.col("_block") * 64, F.least(F.col("_block") * 64 + 63, F.lit(shape[0] - 1))
+    middle = [(low + high) / 2, F.col("y"), F.col("x")]
+    half = [(high - low) / 2 + reach, F.lit(reach), F.lit(reach)]
+    for axis, length in enumerate(shape):
+        centre = sum((entry(f"i{r}{axis}") * (middle[r] - entry(f"o{r}")) for r in range(1, 3)), entry(f"i0{axis}") * (middle[0] - entry("o0")))
+        width = sum((F.abs(entry(f"i{r}{axis}")) * half[r] for r in range(1, 3)), F.abs(entry(f"i0{axis}")) * half[0]) + 10.0**-DIGITS
+        first, last = F.greatest(F.lit(0), F.ceil(centre - width)).cast("int"), F.least(F.lit(length - 1), F.floor(centre + width)).cast("int")
+        rows = rows.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+        rows = rows.withColumn(f"_t{axis}", F.explode(F.sequence(F.floor(F.col("_first") / TILE).cast("int"), F.floor(F.col("_last") / TILE).cast("int"))) if length > TILE else F.lit(0)).drop("_first", "_last")
+    return rows.groupBy(*names, "_t0", "_t1", "_t2").agg(F.collect_list(F.struct("y", "x", F.col("_block").alias("block"), "bits")).alias("columns"), F.first("_matrix").alias("matrix"))
+
+
+def warped_tile(z: np.ndarray, y: np.ndarray, x: np.ndarray, m: np.ndarray, tile: list[int], shape: tuple[int, int, int], linear: bool) -> list[np.ndarray]:
+    """The output voxels of a tile (z, y, x, weight) that input voxels reach under a matrix (its entries in order of MATRIX)."""
+    source = [z, y, x]
+    low, high = [int(v.min()) for v in source], [int(v.max()) for v in source]
+    volume = np.zeros([b - a + 3 for a, b in zip(low, high, strict=True)])  # with background around
+    volume[tuple(v - a + 1 for v, a in zip(source, low, strict=True))] = 1.0
+    reach = 1.0 if linear else 0.5
+    turn, offset = m[:9].reshape(3, 3), m[9:]
+    centre = turn.T @ ((np.array(low) + high) / 2 - offset)
+    half = np.abs(turn).T @ ((np.array(high) - low) / 2 + reach) + 10.0**-DIGITS
+    first = [max(int(math.ceil(c - h)), t * TILE) for c, h, t in zip(centre, half, tile, strict=True)]
+    last = [min(int(math.floor(c + h)), n - 1, t * TILE + TILE - 1) for c, h, t, n in zip(centre, half, tile, shape, strict=True)]
+    if any(a > b for a, b in zip(first, last, strict=True)):
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+    along = np.ix_(*[np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+    places, near = [], True
+    for r in range(3):
+        s = rounded(turn[r, 0] * along[0] + turn[r, 1] * along[1] + turn[r, 2] * along[2] + offset[r], DIGITS)
+        near = near & (s >= max(0, low[r] - reach)) & (s <= min(shape[r] - 1, high[r] + reach))
+        places.append(s)
+    at = np.nonzero(near)
+    places = [s[at] for s in places]
+    steps = [volume.shape[1] * volume.shape[2], volume.shape[2], 1]
+    cell, flat = 0, volume.ravel()
+    if not linear:
+        for s, a, n, step in zip(places, low, volume.shape, steps, strict=True):
+            cell = cell + np.minimum(np.floor(s + 0.5).astype(np.int64) - a + 1, n - 1) * step
+        weight = flat[cell]
+    else:
+        rest = []
+        for s, a, n, step in zip(places, low, volume.shape, steps, strict=True):
+            below = np.minimum(np.floor(s).astype(np.int64) - a + 1, n - 2)
+            rest.append(s - (below + a - 1))
+            cell = cell + below * step
+        tz, ty, tx = rest
+        weight = 0.0
+        for i, wz in enumerate((1 - tz, tz)):
+            for j, wy in enumerate((1 - ty, ty)):
+                for k, wx in enumerate((1 - tx, tx)):
+                    weight = weight + flat[cell + (i * steps[0] + j * steps[1] + k)] * (wz * wy * wx)
+    kept = weight > 0
+    return [a[kept] + f for a, f in zip(at, first, strict=True)] + [weight[kept]]
+
+
+def warped(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int], linear: bool, digits: int = DIGITS, least: float | None = None) -> DataFrame:
+    """(keys, z, y, x, value): masks under each pose where they aren't zero, or where they are above ``least``, worked out tile by tile."""
+    tiles = in_tiles(masks, matrices, on, keys, shape, 1.0 if linear else 0.5)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, lambda b: np.asarray(b.column("columns").value_lengths()) * 64):
+            given, row = lists(batch.column("columns"))
+            of, z, y, x = unpacked(given, row)
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            matrix = numbers(batch.column("matrix").flatten()).reshape(-1, len(MATRIX))
+            tile = np.stack([numbers(batch.column(f"_t{r}")) for r in range(3)], axis=1).tolist()
+            made = []
+            for k in range(batch.num_rows):
+                part = slice(ends[k], ends[k + 1])
+                made.append(warped_tile(z[part], y[part], x[part], matrix[k], tile[k], shape, linear))
+            index = np.repeat(np.arange(batch.num_rows), [len(m[3]) for m in made])
+            *places, value = (np.concatenate(c) for c in zip(*made, strict=True))
+            value = rounded(value, digits)
+            if least is not None:
+                kept = value > least
+                index, places, value = index[kept], [p[kept] for p in places], value[kept]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(index)) for c in keys), *(pa.array(p.astype(np.int32)) for p in places), pa.array(value)], names=[*keys, *VOXEL, "value"])
+
+    return tiles.mapInArrow(run, f"{fields}, z int, y int, x int, value double")
 
 
 def warp_nearest(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
     """(keys, z, y, x): output voxels whose source point, rounded half up, is a voxel of the mask; outside the grid is background.
 
-    ``matrices`` (of ``with_matrix``) has a row for each pose of each ``on``; ``keys`` name mask and pose. Masks hold a voxel once.
+    ``matrices`` (of ``with_matrix``) has a row for each pose of each ``on``; ``keys`` name mask and pose.
     """
-    near = F.lit(True)
-    for r, name in enumerate(VOXEL):
-        near = near & (F.floor(F.col(f"s{r}") + 0.5) == F.col(name))
-    return spread(masks, matrices, on, shape, 0.5).filter(near).select(*keys, *[F.col(f"t{c}").alias(c) for c in VOXEL])
+    return warped(masks, matrices, on, keys, shape, False).select(*keys, *VOXEL)
 
 
 def warp_linear(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int], digits: int = 9) -> DataFrame:
     """(keys, z, y, x, value): trilinear interpolation of the masks wherever it isn't zero; source points outside the grid give none."""
-    weight = F.lit(1.0)
-    for r, name in enumerate(VOXEL):
-        weight = weight * (1 - F.abs(F.col(f"s{r}") - F.col(name)))
-    shares = spread(masks, matrices, on, shape, 1.0).withColumn("_weight", weight).filter("_weight > 0")
-    return shares.groupBy(*keys, *[F.col(f"t{c}").alias(c) for c in VOXEL]).agg(F.round(F.sum("_weight"), digits).alias("value"))
+    return warped(masks, matrices, on, keys, shape, True, digits)
 
 
 def warp_binary(masks: DataFrame, matrices: DataFrame, on: list[str], keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
     """The linearly warped masks where they are above one half."""
-    return warp_linear(masks, matrices, on, keys, shape).filter("value > 0.5").select(*keys, *VOXEL)
+    return warped(masks, matrices, on, keys, shape, True, 9, 0.5).select(*keys, *VOXEL)
 
 
 def moved_points(points: DataFrame, matrices: DataFrame, on: list[str]) -> DataFrame:

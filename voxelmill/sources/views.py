@@ -61,7 +61,8 @@ dense AS (SELECT CAST(0 AS BIGINT) AS volume, side, z, y, x FROM dense_n WHERE n
 
 def solid_masks(spark: SparkSession, folder: str) -> DataFrame:
     """(volume, side, z, y, x): the masks of ``masks`` with all between the lowest and the highest voxel of each column."""
-    ends = masks(spark, folder).groupBy("volume", "side", "y", "x").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("volume"), F.col("l_linestatus").alias("side"), *voxel_columns())
+    ends = rows.groupBy("volume", "side", "y", "x").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     return ends.select("volume", "side", F.explode(F.sequence("low", "high")).alias("z"), "y", "x")
 
 
