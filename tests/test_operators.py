@@ -246,6 +246,14 @@ def test_warps_meet_across_tiles(spark):
     assert found == pytest.approx({tuple(map(int, at)): expected[tuple(at)] for at in np.argwhere(expected > 5e-10)}, abs=1e-8)
 
 
+def test_warps_shuffle_columns_of_voxels(spark):
+    """No row for each voxel and its surroundings: what is grouped are columns of 64 voxels, and warped voxels aren't."""
+    rows = spark.range(200).select(F.lit(1).cast("long").alias("volume"), *[F.expr(e).cast("int").alias(c) for c, e in (("z", "id % 50"), ("y", "id div 50"), ("x", "0"))])
+    matrices = geometry.with_matrix(spark.createDataFrame([(1, 0.5, 0.0, 0.0, 0.1, 0.0, 0.0)], POSE), (51, 11, 9))
+    plan = geometry.warp_binary(rows, matrices, ["volume"], ["volume"], (51, 11, 9))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "sum(" not in plan and plan.count("Aggregate") == 2 and "bit_or" in plan
+
+
 def nearest_by_hand(left, right, limit):
     out = []
     for k, at in left:
