@@ -59,3 +59,11 @@ def test_registration_takes_its_default_steps(monkeypatch):
     imaging.registration_grid(None, "")
     made[0].apply_defaults()
     assert made[0].arguments["steps"] == signature.parameters["steps"].default == 100
+
+
+def test_quality_groups_columns_once(spark):
+    """Masks by return flag are packed in one grouping; voxels are neither made distinct nor pivoted."""
+    from voxelmill.plans import imaging
+
+    plan = imaging.quality(spark, str(TABLES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "bit_or" in plan and "pivot" not in plan

@@ -58,11 +58,12 @@ def clicks(spark, d, kind: str):
 
 def quality(spark, d):
     """(patient, dsc_pv_pre, dsc_art_pre, dsc_pv_art): each supplier's masks by return flag compared in pairs; missing where a mask is."""
-    flags = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patient"), F.col("l_returnflag").alias("side"), *views.voxel_columns()[1:], (F.col("l_quantity") / 10).cast("int").alias("z")).distinct()
-    voxels = flags.groupBy("patient", "z", "y", "x").pivot("side", ["A", "N", "R"]).agg(F.count(F.lit(1)))
-    on = lambda c: F.col(c).isNotNull().cast("long")
-    dice = lambda a, b: F.round(F.try_divide(2.0 * F.sum(on(a) * on(b)), F.sum(on(a)) + F.sum(on(b))), 4)
-    return voxels.groupBy("patient").agg(dice("A", "N").alias("dsc_pv_pre"), dice("R", "N").alias("dsc_art_pre"), dice("A", "R").alias("dsc_pv_art"))
+    voxels = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("patient"), F.col("l_returnflag").alias("side"), *views.voxel_columns()[1:], (F.col("l_quantity") / 10).cast("int").alias("z"))
+    columns = masks.packed_sides(voxels, ["patient"], ["A", "N", "R"])
+    on = dict(zip("ANR", map(F.col, ("_s0", "_s1", "_s2")), strict=True))
+    size = lambda bits: F.sum(F.bit_count(bits).cast("long"))
+    dice = lambda a, b: F.round(F.try_divide(2.0 * size(on[a].bitwiseAND(on[b])), size(on[a]) + size(on[b])), 4)
+    return columns.groupBy("patient").agg(dice("A", "N").alias("dsc_pv_pre"), dice("R", "N").alias("dsc_art_pre"), dice("A", "R").alias("dsc_pv_art"))
 
 
 QUALITY = """flags AS (SELECT DISTINCT l_suppkey AS patient, l_returnflag AS side, CAST(trunc(l_quantity / 10) AS INTEGER) AS z, CAST(round(l_discount * 100) AS INTEGER) AS y, CAST(round(l_tax * 100) AS INTEGER) AS x FROM lineitem),
