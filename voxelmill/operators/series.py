@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared import stored
 from .intensity import slice_height
+from .masks import BIT
 
 #: A direction counts as the standard one, or as none, within this.
 ALIKE = 1e-3
@@ -109,7 +110,8 @@ def clipped_anchor(boxes: DataFrame, keys: Sequence[str], wanted: str, slices: s
 
 def survival(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group the number of slices with voxels before and after resampling, and their ratio; 0 if there were none."""
-    slices = lambda rows, name: rows.groupBy(*keys).agg(F.count_distinct("z").alias(name))
+    blocks = lambda rows: rows.groupBy(*keys, F.floor(F.col("z") / 64).alias("_block")).agg(F.expr(f"bit_or({BIT})").alias("slices"))
+    slices = lambda rows, name: blocks(rows).groupBy(*keys).agg(F.coalesce(F.sum(F.bit_count("slices").cast("long")), F.lit(0)).alias(name))
     both = slices(before, "n_before").join(slices(after, "n_after"), list(keys), "full").fillna(0, ["n_before", "n_after"])
     return both.withColumn("ratio", F.coalesce(F.try_divide(F.col("n_after"), F.col("n_before")), F.lit(0.0)))
 

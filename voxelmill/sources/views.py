@@ -34,7 +34,12 @@ exp AS (SELECT f.*, c.control, c.start, f.loss || '_' || f.optimizer AS config
 
 def masks(spark: SparkSession, folder: str) -> DataFrame:
     """(volume, side, z, y, x): two masks for each supplier."""
-    return table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("volume"), F.col("l_linestatus").alias("side"), *voxel_columns()).distinct()
+    return repeated_voxels(spark, folder).distinct()
+
+
+def repeated_voxels(spark: SparkSession, folder: str) -> DataFrame:
+    """``masks`` with a row for each line item, for operators to which repeated voxels make no difference."""
+    return table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("volume"), F.col("l_linestatus").alias("side"), *voxel_columns())
 
 
 def voxel_columns() -> list:
@@ -61,8 +66,7 @@ dense AS (SELECT CAST(0 AS BIGINT) AS volume, side, z, y, x FROM dense_n WHERE n
 
 def solid_masks(spark: SparkSession, folder: str) -> DataFrame:
     """(volume, side, z, y, x): the masks of ``masks`` with all between the lowest and the highest voxel of each column."""
-    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("volume"), F.col("l_linestatus").alias("side"), *voxel_columns())
-    ends = rows.groupBy("volume", "side", "y", "x").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    ends = repeated_voxels(spark, folder).groupBy("volume", "side", "y", "x").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     return ends.select("volume", "side", F.explode(F.sequence("low", "high")).alias("z"), "y", "x")
 
 
