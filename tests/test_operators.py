@@ -37,6 +37,27 @@ def test_overlap_of_empty_and_equal_masks(spark):
     assert found[1]["dsc"] == 1 and found[2]["dsc"] == 0
 
 
+def test_masks_meet_in_columns(spark):
+    """Overlap by columns of 64 voxels: beyond and below a column, repeated voxels, sides that aren't compared; one row is grouped for each column."""
+    rng = np.random.default_rng(13)
+    rows = [(int(v), str(s), int(z), int(y), int(x)) for v, s, z, y, x in zip(rng.integers(0, 3, 4000), rng.choice(list("abc"), 4000), rng.integers(-70, 140, 4000), rng.integers(0, 3, 4000), rng.integers(0, 2, 4000), strict=True)]
+    found = masks.overlap(spark.createDataFrame(rows, VOXELS).repartition(3), "a", "b")
+    of = lambda v, s: {r[2:] for r in rows if r[:2] == (v, s)}
+    assert {tuple(r)[:5] for r in found.collect()} == {(v, len(of(v, "a")), len(of(v, "b")), len(of(v, "a") & of(v, "b")), len(of(v, "a") | of(v, "b"))) for v in range(3)}
+    assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resampled_masks_meet_their_grids_in_columns(spark):
+    """Repeated voxels give no repeated ones, and slices are counted by their bits, also beyond and below 64."""
+    rows = spark.createDataFrame([(1, "a", z, 2, 1) for z in (0, 3, 64, 130, 130)], VOXELS)
+    own = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0, 2.0, 1.0, 1.0, 200, 5, 5)], "volume long, side string, oz double, oy double, ox double, sz double, sy double, sx double, nz int, ny int, nx int")
+    near = grids.resample_nearest(rows, own, grids.common_grid(own, ["volume"]), ["volume", "side"], ["volume"])
+    assert sorted(tuple(r)[2:] for r in near.collect()) == [(z, 2, 1) for z in (0, 3, 64, 130)]
+    assert "bit_or" in near._jdf.queryExecution().optimizedPlan().toString()
+    found = series.survival(rows.withColumn("z", F.col("z") - 70), near, ["volume", "side"])
+    assert tuple(found.first()) == (1, "a", 4, 4, 1.0) and "count(distinct" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_cube_without_its_inside(spark):
     rows = spark.createDataFrame([(1, "a", *v) for v in product(range(5), repeat=3)], VOXELS)
     assert masks.boundary(rows, ["volume", "side"]).count() == 125 - 27

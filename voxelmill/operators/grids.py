@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .masks import VOXEL, overlap
+from .masks import VOXEL, overlap, packed, with_voxels
 
 #: What lies outside a CT, in Hounsfield units.
 AIR = -1000.0
@@ -72,9 +72,10 @@ def spread(rows: DataFrame, before: float, after: float, keep: Sequence[str]) ->
 def resample_nearest(voxels: DataFrame, grids: DataFrame, target: DataFrame, grid_keys: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Masks on the target grid: its voxels whose nearest source voxel (half a step up) is in the mask; outside is background.
 
-    ``grids`` has a row for each ``grid_keys`` of the voxels, ``target`` one for each of ``keys``, some of these.
+    ``grids`` has a row for each ``grid_keys`` of the voxels, ``target`` one for each of ``keys``, some of these. Masks meet their
+    grids in columns of 64 voxels; repeated voxels count once.
     """
-    near = spread(with_grids(voxels, grids, target, grid_keys, keys), -0.5, 0.5, grid_keys)
+    near = spread(with_voxels(with_grids(packed(voxels, list(grid_keys)), grids, target, grid_keys, keys)), -0.5, 0.5, grid_keys)
     return near.select(*grid_keys, *[F.col(f"t{a}").alias(a) for a in VOXEL])
 
 

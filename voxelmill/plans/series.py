@@ -89,7 +89,7 @@ def nearest_sql(source: str) -> str:
 
 
 def resampled(spark, d):
-    voxels = views.masks(spark, d)
+    voxels = views.repeated_voxels(spark, d)
     own = grid_table(voxels)
     return grids.resample_nearest(voxels, own, grids.common_grid(own, ["volume"]), ["volume", "side"], ["volume"])
 
@@ -116,7 +116,7 @@ SELECT v.volume, v.side, {', '.join(f'w_{a}.i AS {a}' for a in AXES)}, round(sum
 
 
 def pair_score(spark, d):
-    voxels = views.masks(spark, d)
+    voxels = views.repeated_voxels(spark, d)
     found = grids.pair_scores(voxels, grid_table(voxels), "F", "O").select("volume", "n_a", "n_b", "dsc", "rvd")
     return rounded(found, 6, "dsc", "rvd")
 
@@ -198,7 +198,7 @@ def clipped_anchor(spark, d):
 
 
 def slice_survival(spark, d):
-    return rounded(series.survival(views.masks(spark, d), resampled(spark, d), ["volume", "side"]), 6, "ratio")
+    return rounded(series.survival(views.repeated_voxels(spark, d), resampled(spark, d), ["volume", "side"]), 6, "ratio")
 
 
 def outcome_counts(spark, d):
