@@ -63,6 +63,25 @@ def test_cube_without_its_inside(spark):
     assert masks.boundary(rows, ["volume", "side"]).count() == 125 - 27
 
 
+def test_boundaries_meet_across_tiles(spark):
+    """Two masks around the corner of eight tiles, also below zero, with holes and repeated voxels; voxels aren't spread over their neighbours."""
+    rng = np.random.default_rng(14)
+    sets = {s: {tuple(int(c) for c in at - 4 + shift) for at in np.argwhere(rng.random((9, 8, 8)) < 0.97)} for s, shift in (("a", 0), ("b", 64))}
+    rows = [(1, s, *v) for s, m in sets.items() for v in [*m, *list(m)[:20]]]
+    found = masks.boundary(spark.createDataFrame(rows, VOXELS).repartition(3), ["volume", "side"])
+    around = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
+    expected = sorted((1, s, *v) for s, m in sets.items() for v in m if any(tuple(c + i for c, i in zip(v, d, strict=True)) not in m for d in around))
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) < sum(map(len, sets.values()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Join" not in plan
+
+
+def test_bundle_takes_repeated_voxels(spark):
+    rows = [(1, s, *v) for s in "ab" for v in product(range(3), repeat=3)] + [(1, "b", 0, 0, 5)]
+    bundle = lambda r: masks.metric_bundle(spark.createDataFrame(r, VOXELS), "a", "b", (1.0, 1.0, 1.0)).collect()
+    assert bundle(rows * 2) == bundle(rows)
+
+
 def test_surface_distances_by_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = (np.unique(rng.integers(0, 6, (40, 3)), axis=0) for _ in range(2))

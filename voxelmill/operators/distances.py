@@ -136,15 +136,18 @@ def column_distances(batch: pa.RecordBatch, scale_z: float) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(batch.column("asked").value_lengths()))]), pa.int32()), pa.array(values))
 
 
-def distances_to(sources: DataFrame, asked: DataFrame, keys: list[str], spacing: tuple[float, float, float]) -> DataFrame:
+def distances_to(sources: DataFrame, asked: DataFrame, keys: list[str], spacing: tuple[float, float, float], repeated: bool = True) -> DataFrame:
     """(keys, z, y, x, d): for each voxel asked for the distance to the nearest source voxel with equal keys.
 
-    Both have the keys and integer z, y, x; keys aren't null. Repeated voxels count once. Voxels asked for without any
+    Both have the keys and integer z, y, x; keys aren't null. Repeated voxels count once; without
+    ``repeated`` there are none. Voxels asked for without any
     source under their keys have no row. Values between the passes take a double for each source slice and (y, x) of the
     box of what is asked, as a dense map of the slices would.
     """
     scale_z, scale_y, scale_x = (float(s) ** 2 for s in spacing)
-    asked, sources = (v.select(*keys, "z", "y", "x").distinct() for v in (asked, sources))
+    asked, sources = (v.select(*keys, "z", "y", "x") for v in (asked, sources))
+    if repeated:
+        asked, sources = asked.distinct(), sources.distinct()
     tile = F.floor(F.col("x") / TILE).cast("int")
     boxes = asked.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in "yx" for n, f in (("low", F.min), ("high", F.max))])
     slices = sources.groupBy(*keys, "z").agg(F.collect_list(F.struct("y", "x")).alias("sources"))

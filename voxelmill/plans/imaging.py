@@ -352,7 +352,7 @@ QUERIES = {
     "prompt_anchors": prompt_anchors,
     "union_roi": lambda s, d: masks.union_box(views.masks(s, d), SHAPE),
     "boundary_voxels": lambda s, d: masks.boundary(views.dense_masks(s, d), ["volume", "side"]),
-    "surface_metrics": surface(views.masks),
+    "surface_metrics": surface(views.repeated_voxels),
     "surface_metrics_dense": surface(views.dense_masks),
     "asof_tolerance": lambda s, d: masks.nearest_within(clicks(s, d, "click"), clicks(s, d, "purchase"), "key", "moment", LIMIT),
     "nearest_slice": nearest_slice,
