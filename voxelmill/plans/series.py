@@ -122,7 +122,7 @@ def pair_score(spark, d):
 
 
 def metric_bundle(spark, d):
-    return rounded(masks.metric_bundle(views.masks(spark, d), "F", "O", SPACING), 6, "dsc", "assd", "hd", "hd95", "nsd")
+    return rounded(masks.metric_bundle(views.repeated_voxels(spark, d), "F", "O", SPACING), 6, "dsc", "assd", "hd", "hd95", "nsd")
 
 
 def pair_extremes(spark, d):
