@@ -72,3 +72,10 @@ def test_one_pass_gives_what_two_give(documents):
     one = bpe.encode_and_decode(documents, path)
     assert sorted(one.columns) == sorted(two.columns)
     assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))
+
+
+def test_single_words_are_kept_once():
+    """Tokens of a piece that is one word are kept with the piece, not a second time with its words."""
+    own = bpe.PrefixEncoder(bpe.vocabulary())
+    assert own.encode("plainly plainly") and not own.words.new and len(own.pieces.new) == 1
+    assert own.encode("Plainly plainly,") == [*own.encode("plainly"), *own.encode("plainly,")] and "plainly" in own.words.new

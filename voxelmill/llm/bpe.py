@@ -140,9 +140,10 @@ class PrefixEncoder:
             if start:
                 if (before := last[start]) < 0:
                     continue
-                if (fits := pairs.new.get((before, token))) is None and (fits := pairs.get((before, token))) is None:
+                pair = before << 32 | token
+                if (fits := pairs.new.get(pair)) is None and (fits := pairs.get(pair)) is None:
                     fits = self.goes_together(before, token)
-                    pairs.put((before, token), fits)
+                    pairs.put(pair, fits)
                 if not fits:
                     continue
             last[end], came[end] = token, start
@@ -154,21 +155,29 @@ class PrefixEncoder:
             at = came[at]
         return tuple(out[::-1])
 
-    def encode_plain(self, text: str) -> list[int]:
+    def encode_plain(self, text: str) -> list[int] | tuple[int, ...]:
         # capital sigma is lowered without regard to its place
-        lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        lowered = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        words = self.pattern.findall(lowered)
+        if words == [text]:  # its tokens are kept with the piece
+            return self.encode_letters(text)
         out: list[int] = []
-        for word in self.pattern.findall(lowered):
+        for word in words:
             if (ids := self.words.get(word)) is None:
-                ids = self.encode_word(word.encode("utf-8").decode("latin-1").translate(self.letters))
+                ids = self.encode_letters(word)
                 self.words.put(word, ids)
             out += ids
         return out
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_letters(self, word: str) -> tuple[int, ...]:
+        """Tokens of one word; printable ASCII stands for itself in byte letters."""
+        plain = word.isascii() and word.isprintable() and " " not in word
+        return self.encode_word(word if plain else word.encode("utf-8").decode("latin-1").translate(self.letters))
+
+    def encode_piece(self, piece: str) -> list[int] | tuple[int, ...]:
         """Tokens of a stretch without white space; the added tokens' own strings in it are those tokens."""
         if self.added_pattern is None or "<" not in piece:
-            return tuple(self.encode_plain(piece))
+            return self.encode_plain(piece)
         parts = self.added_pattern.split(piece)
         return tuple(chain.from_iterable((self.added[p],) if i % 2 else self.encode_plain(p) for i, p in enumerate(parts) if p))
 
