@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -177,6 +178,21 @@ def test_token_files_round_trip(documents, spark, tmp_path, length, shard_sequen
         assert sorted(r["slot"] for r in part) == [7, 8, 9, 10, 11] and all(np.array_equal(np.frombuffer(bytes(r["tokens"]), "<u2"), read[r["slot"]]) for r in part)
 
 
+def test_ids_without_looking_ahead():
+    """The pattern that texts are matched with looks nowhere ahead, and their ids are those of the tokenizer's own pattern."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    fast = token_shards.encoding(path)[0]
+    assert "(?!" not in fast._pat_str
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=fast._mergeable_ranks, special_tokens={})
+    letters = [" ", " ", " ", "\n", "\r", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "a", "Zé", "1", "'s", "'ll", "!", "漢", "\u0301", "<|endoftext|>"]
+    draw = random.Random(3)
+    for text in ["".join(draw.choices(letters, k=n % 13)) for n in range(20_000)]:
+        assert token_shards.ids_of(text, path).tolist() == whole.encode_ordinary(text), repr(text)
+    assert len(token_shards.ids_of(None, path)) == 0
+
+
 def test_sequences_are_numbered_in_storage_order(spark):
     """Whatever the number of ranges: prefix sums over files, then rows, with ties of files across ranges."""
     stretches = [(f"f{i % 7}", 100 * (i // 7), i % 5 + 1) for i in range(60)]
