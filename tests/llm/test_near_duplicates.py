@@ -157,3 +157,16 @@ def test_recall_of_the_index():
         groups = np.zeros(len(x), np.uint64)
         meets = embeddings.first_meeting(embeddings.bucket_keys(x, groups, tables, hashes, probes), embeddings.bucket_keys(y, groups, tables, hashes, probes), tables)
         assert (meets != np.iinfo(np.int64).max).mean() >= 0.99
+
+
+def test_rows_of_unshared_ngrams_go_before_lists(spark, monkeypatch):
+    """Only n-grams of several rows are gathered whole, and copies of one set in several tasks make no list."""
+    made, store = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: made.setdefault(name, []).append(table := store(df, name)) or made[name].append(table.collect()) or table)
+    text = lambda start: " ".join(f"w{i}" for i in range(start, start + 40))
+    rows = [(i, text(1000 * i)) for i in range(20)] + [(30, text(0)), (31, text(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11, "doc_id")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(docs, 3, 90).collect()}
+    assert found == {i: 0 if i >= 30 else i for i, _ in rows}
+    prefixes, shared, members = (made[name][1] for name in ("prefixes", "shared-rows", "members"))
+    assert len(shared) < len(prefixes) and len({r["x"] for r in members}) == 2

@@ -208,9 +208,13 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     classes = measured.filter("n > 0 AND doc_id IS NOT NULL").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     classes = stored(classes.select("*", *[folded_parity(i).alias(f"f{i}") for i in range(FOLDED)]), "classes")
     rows = stored(prefix_rows(docs.filter("doc_id IS NOT NULL"), k, percent, counts), "prefixes")
-    lists = rows.groupBy("token").agg(F.min(F.struct("at", "n", "x")).alias("leader"), F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high")
-    members = stored(rows.join(lists.select("token", "leader"), "token").distinct(), "members")
+    # most n-grams stand in one row: they go, by their hashes and numbers alone, before whole rows are gathered into lists
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
+    shared = stored(rows.join(several, "token", "left_semi").distinct(), "shared-rows")
     dropped(rows)
+    lists = shared.groupBy("token").agg(F.min(F.struct("at", "n", "x")).alias("leader"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    members = stored(shared.join(lists.select("token", "leader"), "token"), "members")
+    dropped(shared)
 
     def may_link(n1: str, at1: str, n2: str, at2: str) -> Column:
         """What sizes and positions of a pair's first shared n-gram allow: all before it in either list is not shared."""
@@ -229,6 +233,7 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     about = classes.join(together, classes["x"] == together["node"], "left").select("x", F.coalesce("component", "x").alias("group"), *folds)
     named = members.withColumn("lead", F.col("leader.x")).join(about, "x")
     named = stored(named.select("token", "lead", "x", "n", "at", "group", *folds), "lists")
+    dropped(members)
     # of a list, the sets that one leader has already linked are a block; blocks that no other can meet, by size and
     # position, are skipped whole
     blocks = named.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"))
@@ -239,6 +244,7 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     near = apart_allowed(F.col("at") + F.col("at_b"), F.col("most").cast("long") + F.col("most_b"), percent)
     meeting = blocks.join(other, (F.col("token") == F.col("token_b")) & (F.col("group") != F.col("group_b")) & fits & near, "left_semi").select("token", "group")
     open_lists = stored(named.join(stored(meeting, "meeting-blocks"), ["token", "group"], "left_semi"), "open-lists")
+    dropped(named, blocks)
     carried = ("x", "n", "at", "group", *folds)
     left = open_lists.select("token", "lead", *[F.col(c).alias(f"{c}_a") for c in carried])
     right = open_lists.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
@@ -247,7 +253,7 @@ def similar_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     pairs = left.join(right, (F.col("token") == F.col("token_b")) & apart & apart_allowed(bits, F.col("n_a") + F.col("n_b"), percent))
     others = pairs.filter((F.col("x_a") != F.col("lead")) & (F.col("x_b") != F.col("lead"))).groupBy(F.col("x_a").alias("a"), F.col("x_b").alias("b")).agg(F.min("lead").alias("lead"))
     others = stored(near_by_parity(others, classes, percent), "others")
-    dropped(named, blocks, open_lists, members)
+    dropped(open_lists)
     # what sets both apart from their leader tells what sets them apart from each other
     known = answers.filter("apart IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("member"), "apart")
     sizes = classes.select("x", "n")
