@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -62,3 +63,19 @@ def test_empty_tables(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "substring dedup", "mixing sources to target weights", "BPE encoding and decoding"]
     with pytest.raises(Exception):
         corpus_pipeline.run(spark, f"{tmp_path}/nothing")
+
+
+def test_what_a_table_between_jobs_shuffled_is_deleted_with_its_job(spark):
+    """Disk holds the shuffle of the job at work, not those of all jobs before it; the session's setting stays as it was."""
+    from voxelmill import shared
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in map(manager.getAllFiles().apply, range(manager.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get(shared.CLEANUP, None)
+    table = shared.stored(spark.range(20000).repartition(5, "id"), "kept-table")
+    until = time.monotonic() + 5  # the files go beside the driver's work
+    while shuffles() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == 20000
+    assert spark.conf.get(shared.CLEANUP, None) == setting
