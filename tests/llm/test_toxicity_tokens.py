@@ -1,11 +1,16 @@
+import hashlib
+import json
 import random
+import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 
 from voxelmill.llm import token_shards, toxicity
+from voxelmill.llm.shared import shared_folder
 from voxelmill.llm.words import shingle_hashes, word_table
 
 
@@ -223,6 +228,31 @@ def test_token_files_are_the_same_without_broadcasts(documents, spark, tmp_path)
     assert tables[0] == tables[1] and len(tables[0]) > 12
 
 
+def test_texts_are_encoded_once(documents, spark, tmp_path, monkeypatch):
+    """Once the sequences are counted the documents aren't read again, and what is kept between is gone afterwards."""
+    stored, counted = str(tmp_path / "docs"), token_shards.first_sequences
+    documents.repartition(3).write.parquet(stored)
+
+    def counted_and_gone(splits, partitions):
+        found = counted(splits, partitions)
+        shutil.rmtree(stored)
+        return found
+
+    monkeypatch.setattr(token_shards, "first_sequences", counted_and_gone)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
+    out = tmp_path / "out"
+    index = token_shards.write_token_shards(spark, stored, str(out), public_tokenizers.path("byte_bpe_50k.tiktoken"), 8, 5)
+    total = index.count()
+    read = token_shards.read_token_shards(spark, str(out), total, 8, 5)
+    assert total > 12 and index.join(read, ["shard", "slot"]).count() == total
+    assert {x.name.rsplit("-", 1)[0] for x in folder.iterdir() if x.name not in before} == {"token-ranges", "token-index"}
+    for shard in range(-(-total // 5)):
+        data, note = (out / token_shards.shard_name(shard)).read_bytes(), json.loads((out / f"{token_shards.shard_name(shard)}.json").read_text())
+        assert note == {"shard": shard, "sequences": min(5, total - 5 * shard), "length": 8, "sha256": hashlib.sha256(data).hexdigest()}
+        assert len(data) == 16 * note["sequences"]
+
+
 def test_no_documents_no_token_files(documents, spark, tmp_path):
     stored = str(tmp_path / "docs")
     documents.limit(0).write.parquet(stored)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrow import small_batches, stretches
 from .bpe import SPACE
 from .permutation import permuted
-from .shared import fresh_path, stored
+from .shared import dropped, fresh_path, stored
 from .warc import open_store
 
 LENGTH = 512
@@ -27,11 +28,12 @@ SHARD_SEQUENCES = 65_536
 SEED = 20240229
 #: The number after the vocabulary's ends a document; PAD fills its last sequence.
 PAD = 65_535
+FILL = b"\xff"  # each of PAD's two bytes
 INDEX_FIELDS = "shard int, slot long, doc_id long, sequence int, n_tokens int"
 #: The part of the tokenizer's pattern that looks ahead, at many times the cost of the rest: white space but for its last character
-#: where something follows. Texts are cut there instead.
+#: where something follows. Texts are cut there instead. REPEATED is wider by \x1c to \x1f, where CUT finds nothing; the class by name is sought faster.
 AHEAD = r"|\s+(?!\S)"
-REPEATED, CUT = re.compile(f"[{SPACE}]{{2}}"), re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
+REPEATED, CUT = re.compile(r"\s\s"), re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
 CUT_FIELDS = "file string, row long, number long, doc_id long, sequence int, n_tokens int, tokens binary"
 
 
@@ -58,8 +60,14 @@ def id_list(text: str | None, path: str) -> list[int]:
     return [i for part in CUT.split(text) for i in encode(part)]
 
 
+def packed_ids(text: str | None, path: str) -> bytes:
+    """The text's ids as 16-bit numbers, little-endian."""
+    ids = id_list(text, path)
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 def ids_of(text: str | None, path: str) -> np.ndarray:
-    return np.array(id_list(text, path), np.dtype("<u2"))
+    return np.frombuffer(packed_ids(text, path), np.dtype("<u2"))
 
 
 def source_rows(spark: SparkSession, documents: str) -> DataFrame:
@@ -67,20 +75,33 @@ def source_rows(spark: SparkSession, documents: str) -> DataFrame:
     return small_batches(spark.read.parquet(documents)).select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def sequences_by_split(rows: DataFrame, vocabulary: str, length: int) -> DataFrame:
-    """(file, row, sequences) of each stretch of rows that a task reads: its file, its first row, its sequences' number."""
+def cut_sequences(rows: DataFrame, vocabulary: str, length: int) -> DataFrame:
+    """The sequences of all rows, the last one of a text not filled up: a row each, with the file and the first row of the stretch
+    of rows that the task read, and the number in this stretch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[list] = []
-        for texts, files, places in stretches(batches, ["text", "file", "row"]):
-            for text, file, row in zip(texts, files, places, strict=True):
-                if not sums or sums[-1][0] != file:
-                    sums.append([file, row, 0])
-                sums[-1][2] += len(id_list(text, vocabulary)) // length + 1
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sums, strict=True)], names=["file", "row", "sequences"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin, number, end, step = None, 0, 0, struct.pack("<H", encoding(vocabulary)[1]), 2 * length
+        for ids, texts, files, places in stretches(batches, ["doc_id", "text", "file", "row"]):
+            owners, parts, sequences, numbers, begins, names = [], [], [], [], [], []
+            for doc_id, text, file, row in zip(ids, texts, files, places, strict=True):
+                if file != last:
+                    last, begin, number = file, row, 0
+                data = packed_ids(text, vocabulary) + end
+                n = -(-len(data) // step)
+                owners += [doc_id] * n
+                parts += [data[i * step : (i + 1) * step] for i in range(n)]
+                sequences += range(n)
+                numbers += range(number, number + n)
+                names += [file] * n
+                begins += [begin] * n
+                number += n
+            counts = [len(x) // 2 for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(begins, pa.int64()), pa.array(numbers, pa.int64()), pa.array(owners, pa.int64()), pa.array(sequences, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())],
+                names=["file", "row", "number", "doc_id", "sequence", "n_tokens", "tokens"],
+            )
 
-    return stored(rows.mapInArrow(run, "file string, row long, sequences long"), "token-stretches")
+    return rows.mapInArrow(cut, CUT_FIELDS)
 
 
 def first_sequences(splits: DataFrame, partitions: int) -> tuple[DataFrame, int]:
@@ -116,71 +137,79 @@ def write_token_shards(
     (s mod ``shard_sequences``) * 2 * ``length``: a reader can begin anywhere and resume by slot alone. The index has
     (shard, slot, doc_id, sequence, n_tokens) for every sequence. Null and empty texts have one sequence, the end mark;
     repeated rows are written as often as they stand there; an empty table gives no shards. Vocabularies whose ids and two
-    marks don't fit into 16 bits are refused. A first pass counts the sequences of each stretch of rows, into a table that
-    the second joins by stretch, so no tokens are kept between the passes; a shard's file has its name only once it is whole.
+    marks don't fit into 16 bits are refused. Texts are encoded once: their sequences are a table, whose stretches are counted
+    and which then is dealt out by shard. A task packs a shard, and when the table and what was shuffled are gone, a task
+    unpacks it, so that these and the shards, filled up, don't lie on the disk together. A shard's file has its name only
+    once it is whole.
     """
-    rows = source_rows(spark, documents)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    firsts, total = first_sequences(sequences_by_split(rows, vocabulary, length), parts)
+    sequences = stored(cut_sequences(source_rows(spark, documents), vocabulary, length), "token-sequences", "zstd")
+    firsts, total = first_sequences(sequences.groupBy("file", "row").agg(F.count(F.lit(1)).alias("sequences")), parts)
     firsts = stored(firsts, "token-firsts")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, begin, number, end = None, 0, 0, encoding(vocabulary)[1]
-        for ids, texts, files, places in stretches(batches, ["doc_id", "text", "file", "row"]):
-            owners, parts, counts, sequences, numbers, begins, names = [], [], [], [], [], [], []
-            for doc_id, text, file, row in zip(ids, texts, files, places, strict=True):
-                if file != last:
-                    last, begin, number = file, row, 0
-                tokens = ids_of(text, vocabulary)
-                n = len(tokens) // length + 1
-                filled = np.full(n * length, PAD, np.dtype("<u2"))
-                filled[: len(tokens)] = tokens
-                filled[len(tokens)] = end
-                data = filled.tobytes()
-                owners += [doc_id] * n
-                parts += [data[i * 2 * length : (i + 1) * 2 * length] for i in range(n)]
-                counts += [min(length, len(tokens) + 1 - i * length) for i in range(n)]
-                sequences += range(n)
-                numbers += range(number, number + n)
-                names += [file] * n
-                begins += [begin] * n
-                number += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(begins, pa.int64()), pa.array(numbers, pa.int64()), pa.array(owners, pa.int64()), pa.array(sequences, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())],
-                names=["file", "row", "number", "doc_id", "sequence", "n_tokens", "tokens"],
-            )
-
     shards = -(-total // shard_sequences)
     # no hint: Spark broadcasts the stretches' table up to its own bound of size, and merges by stretch beyond it
-    numbered = rows.mapInArrow(cut, CUT_FIELDS).join(firsts, ["file", "row"], "left")
-    first = F.coalesce("first", F.raise_error(F.lit("a stretch of rows was not counted")).cast("long"))
-    placed = numbered.withColumn("slot", permuted(first + F.col("number"), total, seed)).withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("int"))
+    numbered = sequences.join(firsts, ["file", "row"])
+    placed = numbered.withColumn("slot", permuted(F.col("first") + F.col("number"), total, seed)).withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("int"))
     dealt = placed.select("shard", "slot", "doc_id", "sequence", "n_tokens", "tokens").repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, stream, digest, records = None, None, hashlib.sha256(), 0
-        fs, root = open_store(out)
-        attempt = f"{root}/_temporary/{uuid.uuid4().hex}"
+    packed = fresh_path(spark, "token-packed")
+    index = stored(pack_shards(dealt, packed), "token-index")
+    dropped(sequences, firsts)
+    unpack_shards(spark, packed, out, shards, length).count()
+    if shards:
+        fs, root = open_store(packed)
+        fs.delete_dir(root)
+    return index
+
+
+def pack_shards(dealt: DataFrame, packed: str) -> DataFrame:
+    """Writes each partition's tokens, those of one shard in order of slots, as an Arrow file under ``packed``; returns the other columns."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_store(packed)
+        name = f"{root}/{uuid.uuid4().hex}"
+        shard, stream, writer = None, None, None
         for batch in batches:
-            data = batch.column(5)
-            if stream is None and len(batch):
+            if writer is None and len(batch):
                 shard = batch.column(0)[0].as_py()
-                fs.create_dir(attempt, recursive=True)
-                stream = fs.open_output_stream(f"{attempt}/tokens")
-            for value in data:
-                stream.write(value.as_buffer())
-                digest.update(value.as_buffer())
-            records += len(batch)
+                fs.create_dir(root, recursive=True)
+                stream = fs.open_output_stream(name)
+                writer = pa.ipc.new_stream(stream, pa.schema([("tokens", pa.binary())]), options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3)))
+            if len(batch):
+                writer.write_batch(pa.RecordBatch.from_arrays([batch.column(5)], names=["tokens"]))
             yield pa.RecordBatch.from_arrays(batch.columns[:5], names=batch.schema.names[:5])
-        if stream is not None:
+        if writer is not None:
+            writer.close()
             stream.close()
-            with fs.open_output_stream(f"{attempt}/manifest") as note:
-                note.write(json.dumps({"shard": shard, "sequences": records, "length": length, "sha256": digest.hexdigest()}, sort_keys=True).encode())
-            fs.move(f"{attempt}/tokens", f"{root}/{shard_name(shard)}")
-            fs.move(f"{attempt}/manifest", f"{root}/{shard_name(shard)}.json")
-            fs.delete_dir(attempt)
+            fs.move(name, f"{root}/{shard_name(shard)}")
+
+    return dealt.mapInArrow(pack, INDEX_FIELDS)
 
-    return stored(dealt.mapInArrow(write, INDEX_FIELDS), "token-index")
+
+def unpack_shards(spark: SparkSession, packed: str, out: str, shards: int, length: int) -> DataFrame:
+    """Writes the shards' files and their manifests from the packed ones, each by one task; a row for each shard."""
+    full = 2 * length
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, root), (source, folder) = open_store(out), open_store(packed)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                attempt = f"{root}/_temporary/{uuid.uuid4().hex}"
+                fs.create_dir(attempt, recursive=True)
+                digest, records = hashlib.sha256(), 0
+                with source.open_input_stream(f"{folder}/{shard_name(shard)}") as file, fs.open_output_stream(f"{attempt}/tokens") as stream:
+                    for part in pa.ipc.open_stream(file):
+                        data = b"".join([x.ljust(full, FILL) for x in part.column(0).to_pylist()])
+                        stream.write(data)
+                        digest.update(data)
+                        records += len(part)
+                with fs.open_output_stream(f"{attempt}/manifest") as note:
+                    note.write(json.dumps({"shard": shard, "sequences": records, "length": length, "sha256": digest.hexdigest()}, sort_keys=True).encode())
+                fs.move(f"{attempt}/tokens", f"{root}/{shard_name(shard)}")
+                fs.move(f"{attempt}/manifest", f"{root}/{shard_name(shard)}.json")
+                fs.delete_dir(attempt)
+            yield batch
+
+    return spark.range(0, shards, 1, max(1, shards)).mapInArrow(unpack, "id long")
 
 
 def shard_name(shard: int) -> str:
